@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmetrics.functions.text import episode_name, normalize_timecode, timecode_seconds
-from reelmetrics.operators.ordered import ordered_scan
+from reelmetrics.operators.ordered import SLICE, with_slice
 from reelmetrics.settings import DEFAULTS, Settings
 
 CHAPTER = ["disc_id", "chapter_idx"]
@@ -58,44 +58,76 @@ def chapter_counts(chapters: DataFrame, settings: Settings = DEFAULTS) -> DataFr
 def episode_ranges(chapters: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Chapter ranges (disc_id, nth, start_idx, end_idx, is_tail), as computed.
 
-    A main chapter followed by a non-main one ends an episode `extra_chapters` later, at
-    most at the last chapter; the next one starts right after.  What is left at the end
-    is one more episode if it has a main chapter.  Ends that were held back to the last
-    chapter can leave a later range empty (start after end); see `split_ranges`.
+    A main chapter followed by a non-main one is a turn: it ends an episode
+    `extra_chapters` later, at most at the last chapter; the next one starts right after.
+    What is left at the end is one more episode if it has a main chapter.  Ends that were
+    held back to the last chapter can leave a later range empty; see `split_ranges`.
+
+    A disc's chapters are packed into slices of at most `chapter_slice`.  Turns are found
+    slice by slice; across slices only one summary row each is put in order, so a disc
+    with any number of chapters spreads over many tasks.
     """
-    rows = flag_main(chapters, settings).select("disc_id", "chapter_idx", "is_main")
-    discs = rows.groupBy("disc_id").agg(
-        F.max("chapter_idx").alias("last"),
-        F.max(F.when(F.col("is_main"), F.col("chapter_idx"))).alias("last_main"),
-    )
-    scanned = ordered_scan(
-        rows, ["disc_id"], "chapter_idx", settings.chapter_slice, following={"next_main": "is_main"}
-    )
-    turns = scanned.where(F.col("is_main") & ~F.col("next_main"))
-    ends = turns.join(discs, "disc_id").select(
-        "disc_id", "chapter_idx",
-        F.least(F.col("chapter_idx") + settings.extra_chapters, F.col("last")).alias("end_idx"),
-    )
-    numbered = ordered_scan(
-        ends, ["disc_id"], "chapter_idx", settings.chapter_slice,
-        totals={"nth": F.lit(1)}, previous={"previous_end": "end_idx"},
-    )
-    found = numbered.select(
-        "disc_id", "nth",
-        (F.coalesce("previous_end", F.lit(-1)) + 1).alias("start_idx"),
-        "end_idx",
-        F.lit(False).alias("is_tail"),
-    )
-    claimed = ends.groupBy("disc_id").agg(F.max("end_idx").alias("end"), F.count(F.lit(1)).alias("episodes"))
-    last_end = F.coalesce("end", F.lit(-1))
-    tails = discs.join(claimed, "disc_id", "left").where(F.col("last_main") > last_end).select(
-        "disc_id",
-        (F.coalesce("episodes", F.lit(0)) + 1).alias("nth"),
-        (last_end + 1).alias("start_idx"),
-        F.col("last").alias("end_idx"),
-        F.lit(True).alias("is_tail"),
+    rows = with_slice(flag_main(chapters, settings), "chapter_idx", settings.chapter_slice)
+    pair = F.struct(F.col("chapter_idx").alias("i"), F.col("is_main").alias("m"))
+    packed = rows.groupBy("disc_id", SLICE).agg(F.array_sort(F.collect_list(pair)).alias("c"))
+    shifted = F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0)))
+    turn = lambda here, after: F.when(here["m"] & ~after["m"], here["i"])
+    packed = packed.select(
+        "disc_id", SLICE,
+        F.array_compact(F.zip_with("c", shifted, turn)).alias("turns"),
+        F.element_at("c", 1)["m"].alias("first_main"),
+        F.element_at("c", -1).alias("tip"),
+        F.array_max(F.transform(F.filter("c", lambda x: x["m"]), lambda x: x["i"])).alias("top_main"),
+    )
+
+    disc = Window.partitionBy("disc_id")
+    along = disc.orderBy(SLICE)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    summary = packed.select(
+        "disc_id", SLICE, "tip", "top_main",
+        F.size("turns").alias("inner"),
+        F.try_element_at("turns", F.lit(-1)).alias("inner_turn"),
+        F.lead("first_main").over(along).alias("next_main"),
+    )
+    summary = summary.withColumn("turns_at_tip", F.coalesce(F.col("tip.m") & ~F.col("next_main"), F.lit(False)))
+    summary = summary.withColumns(
+        {
+            "count": F.col("inner") + F.col("turns_at_tip").cast("int"),
+            "last_turn": F.when(F.col("turns_at_tip"), F.col("tip.i")).otherwise(F.col("inner_turn")),
+        }
+    )
+    edges = summary.select(
+        "disc_id", SLICE, "turns_at_tip",
+        F.coalesce(F.sum("count").over(before), F.lit(0)).alias("turns_before"),
+        F.last("last_turn", ignorenulls=True).over(before).alias("turn_before"),
+        F.sum("count").over(disc).alias("turns_total"),
+        F.max("last_turn").over(disc).alias("final_turn"),
+        F.max("tip.i").over(disc).alias("last"),
+        F.max("top_main").over(disc).alias("last_main"),
+        F.col("next_main").isNull().alias("is_last_slice"),
+    )
+    joined = packed.select("disc_id", SLICE, "turns", "tip").join(edges, ["disc_id", SLICE])
+    none = F.array().cast("array<bigint>")
+    joined = joined.withColumn(
+        "turns", F.concat("turns", F.when(F.col("turns_at_tip"), F.array("tip.i")).otherwise(none))
     )
-    return found.unionByName(tails)
+    end_of = lambda t: F.when(
+        t.isNotNull(), F.least(t + settings.extra_chapters, F.col("last"))
+    )
+    item = lambda nth, start, end, tail: F.struct(
+        nth.cast("bigint").alias("nth"), start.cast("bigint").alias("start_idx"),
+        end.cast("bigint").alias("end_idx"), F.lit(tail).alias("is_tail"),
+    )
+
+    def found(turn: Column, at: Column) -> Column:
+        earlier = F.coalesce(F.when(at > 0, F.try_element_at("turns", at)), F.col("turn_before"))
+        return item(F.col("turns_before") + at + 1, F.coalesce(end_of(earlier) + 1, F.lit(0)), end_of(turn), False)
+
+    claimed = F.coalesce(end_of(F.col("final_turn")), F.lit(-1))
+    tail = item(F.col("turns_total") + 1, claimed + 1, F.col("last"), True)
+    has_tail = F.col("is_last_slice") & (F.col("last_main") > claimed)
+    tails = F.array_compact(F.array(F.when(has_tail, tail)))
+    return joined.select("disc_id", F.inline(F.concat(F.transform("turns", found), tails)))
 
 
 def split_ranges(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,25 +145,24 @@ def episode_chapters(
 ) -> DataFrame:
     """Every claimed chapter with its episode and its new number inside it.
 
-    Episodes lie back to back from chapter 0, so a chapter's episode is one more than the
-    number of ends before it, and the episode's start is the sum of the lengths before.
+    A range join on (disc, run of 64 chapters): an episode is repeated for every run it
+    touches, so neither a long disc nor a long episode lands in one task.
     """
     found = episodes(chapters, settings) if ranges is None else ranges
-    ends = found.select(
-        "disc_id", F.col("end_idx").alias("chapter_idx"), (F.col("end_idx") - F.col("start_idx") + 1).alias("length")
-    )
-    marked = chapters.join(ends, CHAPTER, "left")
-    closes = F.when(F.col("length").isNotNull(), 1).otherwise(0)
-    scanned = ordered_scan(
-        marked, ["disc_id"], "chapter_idx", settings.chapter_slice,
-        totals={"closed": closes, "closed_length": F.coalesce(F.col("length"), F.lit(0))},
-    )
-    claimed = found.groupBy("disc_id").agg(F.max("end_idx").alias("claimed_to"))
-    rows = scanned.join(claimed, "disc_id").where(F.col("chapter_idx") <= F.col("claimed_to"))
-    number = F.col("chapter_idx") - (F.col("closed_length") - F.coalesce(F.col("length"), F.lit(0))) + 1
-    return rows.select(
+    run, block = 64, 65536
+    blocks = F.sequence(F.floor(F.col("start_idx") / block), F.floor(F.col("end_idx") / block))
+    pieces = found.select("disc_id", "nth", "start_idx", "end_idx", F.explode(blocks).alias("__b"))
+    first = F.greatest(F.col("start_idx"), F.col("__b") * block)
+    last = F.least(F.col("end_idx"), (F.col("__b") + 1) * block - 1)
+    pieces = pieces.select(
+        "disc_id", "nth", "start_idx", "end_idx",
+        F.explode(F.sequence(F.floor(first / run), F.floor(last / run))).alias("__run"),
+    )
+    rows = chapters.withColumn("__run", F.floor(F.col("chapter_idx") / run)).join(pieces, ["disc_id", "__run"])
+    number = F.col("chapter_idx") - F.col("start_idx") + 1
+    return rows.where(F.col("chapter_idx").between(F.col("start_idx"), F.col("end_idx"))).select(
         *chapters.columns,
-        (F.col("closed") - closes + start_episode).alias("episode"),
+        (F.col("nth") + start_episode - 1).alias("episode"),
         number.alias("number"),
         F.concat(F.lit("Chapter "), number.cast("string")).alias("label"),
         F.lit("en").alias("label_language"),
@@ -150,10 +181,19 @@ def episode_manifest(
     """What to cut: one row per episode with its bounds and output name."""
     series = F.lit(series) if isinstance(series, str) else series
     found = episodes(chapters, settings)
-    starts = chapters.select("disc_id", F.col("chapter_idx").alias("start_idx"), F.col(start).alias("cut_start"))
-    stops = chapters.select("disc_id", F.col("chapter_idx").alias("end_idx"), F.col(end).alias("cut_end"))
+    # Both bounds of every episode are looked up in one join.
+    bounds = F.array(
+        F.struct(F.col("start_idx").alias("chapter_idx"), F.lit(True).alias("opens")),
+        F.struct(F.col("end_idx").alias("chapter_idx"), F.lit(False).alias("opens")),
+    )
+    asked = found.select("disc_id", "nth", "start_idx", "end_idx", F.inline(bounds))
+    times = chapters.select(*CHAPTER, F.col(start).alias("cut_start"), F.col(end).alias("cut_end"))
+    cut = asked.join(times, CHAPTER).groupBy("disc_id", "nth", "start_idx", "end_idx").agg(
+        F.max(F.when(F.col("opens"), F.col("cut_start"))).alias("cut_start"),
+        F.max(F.when(~F.col("opens"), F.col("cut_end"))).alias("cut_end"),
+    )
     episode = F.col("nth") + start_episode - 1
-    return found.join(starts, ["disc_id", "start_idx"]).join(stops, ["disc_id", "end_idx"]).select(
+    return cut.select(
         "disc_id",
         episode.alias("episode"),
         "start_idx", "end_idx", "cut_start", "cut_end",

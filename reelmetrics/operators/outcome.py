@@ -12,68 +12,87 @@ MIN_PROGRESSIVE = 0.99
 MAX_RESIDUAL_CADENCE = 0.05
 
 
-def verify_outputs(plans: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Compare each restored output with its plan.
-
-    `plans` has video_id, mode, out_num, out_den; `outputs` has video_id, has_video,
-    progressive_fraction, cadence_rate, fps.  No output row means the probe failed.
-    """
-    rows = plans.join(outputs.withColumn("__probed", F.lit(True)), "video_id", "left")
-    expected = F.col("out_num") / F.col("out_den")
-    warnings = F.array_compact(
+def verification(
+    mode: Column, expected_rate: Column, probed: Column, has_video: Column,
+    progressive_fraction: Column, cadence_rate: Column, fps: Column,
+) -> Column:
+    """struct<skipped,passed,warnings,notes>: what a restored output has to keep."""
+    found = F.array_compact(
         F.array(
-            F.when(F.col("progressive_fraction") < MIN_PROGRESSIVE, "residual_interlacing"),
-            F.when((F.col("mode") == "ivtc") & (F.col("cadence_rate") > MAX_RESIDUAL_CADENCE), "residual_cadence"),
-            F.when(F.abs(F.col("fps") - expected) >= TOLERANCE, "unexpected_rate"),
+            F.when(progressive_fraction < MIN_PROGRESSIVE, "residual_interlacing"),
+            F.when((mode == "ivtc") & (cadence_rate > MAX_RESIDUAL_CADENCE), "residual_cadence"),
+            F.when(F.abs(fps - expected_rate) >= TOLERANCE, "unexpected_rate"),
         )
     )
-    skipped = F.col("mode") == "none"
-    broken = F.when(F.col("__probed").isNull(), "probe failed").when(
-        ~F.coalesce(F.col("has_video"), F.lit(False)), "no video stream"
-    ).when(F.col("progressive_fraction").isNull(), "detection failed")
-    none = F.array().cast("array<string>")
-    rows = rows.withColumn("warnings", F.when(skipped | broken.isNotNull(), none).otherwise(warnings))
-    passed = skipped | (broken.isNull() & (F.size("warnings") == 0))
-    return rows.select(
-        "video_id", "mode", skipped.alias("skipped"), passed.alias("passed"), "warnings",
+    skipped = mode == "none"
+    broken = (
+        F.when(~F.coalesce(probed, F.lit(False)), "probe failed")
+        .when(~F.coalesce(has_video, F.lit(False)), "no video stream")
+        .when(progressive_fraction.isNull(), "detection failed")
+    )
+    warnings = F.when(skipped | broken.isNotNull(), F.array().cast("array<string>")).otherwise(found)
+    passed = skipped | (broken.isNull() & (F.size(warnings) == 0))
+    return F.struct(
+        skipped.alias("skipped"),
+        passed.alias("passed"),
+        warnings.alias("warnings"),
         F.when(skipped, "pass-through, nothing to verify")
         .when(broken.isNotNull(), broken)
         .when(passed, "passed")
-        .otherwise(F.format_string("%d issue(s)", F.size("warnings")))
+        .otherwise(F.format_string("%d issue(s)", F.size(warnings)))
         .alias("notes"),
     )
 
 
-def size_guard(sizes: DataFrame) -> DataFrame:
-    """Keep the encode, or fall back to a plain copy of the source.
+def verify_outputs(plans: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Compare each restored output with its plan.
 
-    Needs video_id, mode, input_bytes, encoded_bytes, passthrough_bytes (null: the copy
-    failed).  Equal sizes do not count as smaller; a tie keeps the encode.
+    `plans` has video_id, mode, out_num, out_den; `outputs` has video_id, has_video,
+    progressive_fraction, cadence_rate, fps.  No output row means the probe failed.
+    """
+    rows = plans.join(outputs.withColumn("__probed", F.lit(True)), "video_id", "left")
+    verdict = verification(
+        F.col("mode"), F.col("out_num") / F.col("out_den"), F.col("__probed"), F.col("has_video"),
+        F.col("progressive_fraction"), F.col("cadence_rate"), F.col("fps"),
+    )
+    return rows.select("video_id", "mode", verdict.alias("__v")).select("video_id", "mode", "__v.*")
+
+
+def size_verdict(mode: Column, source: Column, encoded: Column, copied: Column) -> Column:
+    """struct<outcome,fell_back,output,passthrough_bytes,saved_pct,bloat_pct,copy_saved_pct>.
+
+    Keep the encode, or fall back to a plain copy of the source (null: the copy failed).
+    Equal sizes do not count as smaller; a tie keeps the encode.
     """
-    source, encoded, copied = F.col("input_bytes"), F.col("encoded_bytes"), F.col("passthrough_bytes")
     outcome = (
         F.when(encoded < source, "kept_smaller")
-        .when(F.col("mode") != "none", "kept_restored")
+        .when(mode != "none", "kept_restored")
         .when(copied.isNull(), "kept_copy_failed")
         .when(copied >= encoded, "kept")
         .otherwise("fell_back")
     )
-    rows = sizes.withColumn("outcome", outcome)
-    tried = F.col("outcome").isin("kept", "fell_back")
-    fell_back = F.col("outcome") == "fell_back"
+    fell_back = outcome == "fell_back"
     change = (F.try_divide(encoded.cast("double"), source) - 1.0) * 100.0
-    return rows.select(
-        "video_id", "mode", "input_bytes", "encoded_bytes",
-        F.when(tried, copied).alias("passthrough_bytes"),
-        "outcome",
+    return F.struct(
+        outcome.alias("outcome"),
         fell_back.alias("fell_back"),
         F.when(fell_back, "passthrough").otherwise("encode").alias("output"),
+        F.when(outcome.isin("kept", "fell_back"), copied).alias("passthrough_bytes"),
         F.when(change < 0, -change).alias("saved_pct"),
         F.when(change >= 0, change).alias("bloat_pct"),
         F.when(fell_back, (F.lit(1.0) - F.try_divide(copied.cast("double"), source)) * 100.0).alias("copy_saved_pct"),
     )
 
 
+def size_guard(sizes: DataFrame) -> DataFrame:
+    """Needs video_id, mode, input_bytes, encoded_bytes and passthrough_bytes."""
+    verdict = size_verdict(
+        F.col("mode"), F.col("input_bytes"), F.col("encoded_bytes"), F.col("passthrough_bytes")
+    )
+    kept = ["video_id", "mode", "input_bytes", "encoded_bytes"]
+    return sizes.select(*kept, verdict.alias("__v")).select(*kept, "__v.*")
+
+
 def result_level(verify_passed: Column, fell_back: Column, is_marginal: Column) -> Column:
     """Failed verification outranks a fallback, that outranks a marginal pick."""
     yes, no = F.lit(True), F.lit(False)

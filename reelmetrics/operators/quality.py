@@ -122,9 +122,10 @@ def failure_text(settings: Settings = DEFAULTS, row: str = "") -> Column:
 
 
 def gates(levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One boolean per gate, the verdict, and why it failed."""
+    """One boolean per gate, the verdict, the missed gates, and the same as text with values."""
     rows = levels.withColumns({f"{c}_ok": _met(c, t) for c, t in settings.targets})
-    return rows.withColumns({"passed": passes(settings), "failure": failure_text(settings)})
+    missed = F.array_compact(F.array(*[F.when(~F.col(f"{c}_ok"), c) for c, _ in settings.targets]))
+    return rows.withColumns({"passed": passes(settings), "missed": missed, "failure": failure_text(settings)})
 
 
 def sample_means(scores: DataFrame) -> DataFrame:
@@ -133,7 +134,8 @@ def sample_means(scores: DataFrame) -> DataFrame:
 
 def sample_outliers(scores: DataFrame, keep: int = 3) -> DataFrame:
     """The samples with the lowest mean of every level."""
-    worst = Window.partitionBy(*LEVEL).orderBy(F.col("mean").asc(), F.col("sample_idx").asc())
+    # Means are compared to nine digits: beyond that the order of summation shows.
+    worst = Window.partitionBy(*LEVEL).orderBy(F.round("mean", 9).asc(), F.col("sample_idx").asc())
     ranked = sample_means(scores).withColumn("rank", F.row_number().over(worst))
     return ranked.where(F.col("rank") <= keep)
 
@@ -143,7 +145,7 @@ def select_level(levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     facts = F.struct(*[c for c in levels.columns if c != "video_id"])
     chosen = levels.groupBy("video_id").agg(
         F.max_by(facts, F.when(passes(settings), F.col("cq"))).alias("best"),
-        F.max_by(facts, F.struct(F.col("mean"), -F.col("cq"))).alias("fallback"),
+        F.max_by(facts, F.struct(F.round("mean", 9), -F.col("cq"))).alias("fallback"),
     )
     gates_text = ", ".join(f"{c}>={t:.1f}" for c, t in settings.targets)
     return chosen.select(
@@ -158,8 +160,22 @@ def select_level(levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     )
 
 
-def add_marginal(selection: DataFrame, levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Flag picks close to a gate and show the neighbouring levels, where there are any."""
+def add_neighbours(levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Adds the measured levels one above and one below as `above` and `below`.
+
+    A video has at most 64 levels, which is all that meets in this window.
+    """
+    facts = F.struct("cq", *[c for c, _ in settings.targets], failure_text(settings).alias("failure"))
+    video = Window.partitionBy("video_id").orderBy("cq")
+    sides = {"above": F.lead("__f").over(video), "below": F.lag("__f").over(video)}
+    rows = levels.withColumn("__f", facts).withColumns(sides)
+    for side, shift in (("above", 1), ("below", -1)):
+        rows = rows.withColumn(side, F.when(F.col(f"{side}.cq") == F.col("cq") + shift, F.col(side)))
+    return rows.drop("__f")
+
+
+def add_marginal(selection: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Flag picks close to a gate.  Neighbours, where selected along, stay for those only."""
     near = [
         F.when(
             F.abs(F.col(c) - t) < settings.marginal_band,
@@ -171,14 +187,6 @@ def add_marginal(selection: DataFrame, levels: DataFrame, settings: Settings = D
     reasons = F.when(F.col("fell_short"), F.array(short)).otherwise(F.array_compact(F.array(*near)))
     rows = selection.withColumn("marginal_reasons", reasons)
     rows = rows.withColumn("is_marginal", F.size("marginal_reasons") > 0)
-    metrics = [c for c, _ in settings.targets]
-    for side, shift in (("above", 1), ("below", -1)):
-        beside = levels.select(
-            "video_id",
-            (F.col("cq") - shift).alias("cq"),
-            F.struct(F.col("cq").alias("cq"), *metrics, failure_text(settings).alias("failure")).alias(side),
-        )
-        rows = rows.join(beside, LEVEL, "left")
-        shown = F.col("is_marginal") & ~F.col("fell_short")
-        rows = rows.withColumn(side, F.when(shown, F.col(side)))
-    return rows
+    shown = F.col("is_marginal") & ~F.col("fell_short")
+    sides = [c for c in ("above", "below") if c in rows.columns]
+    return rows.withColumns({c: F.when(shown, F.col(c)) for c in sides}) if sides else rows

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelmetrics.functions.probe import range_problem
-from reelmetrics.operators.quality import gates, level_stats
+from reelmetrics.operators.quality import gates, level_stats, passes
 from reelmetrics.settings import DEFAULTS, Settings
 
 # 64 levels (0..63) need at most seven probes.
@@ -35,13 +35,18 @@ def expected_probes(low: Column, high: Column) -> Column:
     return F.ceil(F.log2((high - low + 2).cast("double"))).cast("int")
 
 
-def level_bits(levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Which levels passed and which were measured, as two 64-bit sets per video."""
+def grouped_levels(levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Per video the passing and the measured levels as 64-bit sets, and the level rows.
+
+    Levels outside 0..63 cannot be searched, so a video has 64 rows at most.
+    """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cq").cast("int"))
-    judged = gates(levels, settings)
-    return judged.groupBy("video_id").agg(
-        F.coalesce(F.bit_or(F.when(F.col("passed"), bit)), F.lit(0).cast("long")).alias("passing"),
+    known = levels.where(F.col("cq").between(0, 63)).withColumn("__ok", passes(settings))
+    facts = F.struct(*[c for c in levels.columns if c != "video_id"])
+    return known.groupBy("video_id").agg(
+        F.bit_or(F.when(F.col("__ok"), bit)).alias("passing"),
         F.bit_or(bit).alias("measured"),
+        F.collect_list(facts).alias("levels"),
     )
 
 
@@ -52,12 +57,12 @@ def _has(bits: Column, level: Column) -> Column:
 def bisect(levels: DataFrame, ranges: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Run the search of every video over levels that are all measured already.
 
-    `ranges` has video_id, min_cq, max_cq.  Returns the best level (null if none
-    passed), the number of probes and the steps taken; a level that was never measured
-    counts as failing and is marked so.  A video without levels gets an empty measured set.
+    `ranges` has video_id, min_cq, max_cq.  Returns the best level (null if none passed),
+    the number of probes, the steps taken and the video's level rows; a level that was
+    never measured counts as failing and is marked so.
     """
     rows = ranges.where(range_problem(F.col("min_cq"), F.col("max_cq")).isNull()).join(
-        level_bits(levels, settings), "video_id", "left"
+        grouped_levels(levels, settings), "video_id", "left"
     )
     none = F.lit(0).cast("long")
     rows = rows.withColumns({"passing": F.coalesce("passing", none), "measured": F.coalesce("measured", none)})
@@ -91,6 +96,7 @@ def bisect(levels: DataFrame, ranges: DataFrame, settings: Settings = DEFAULTS)
         F.size("__d.steps").alias("probes"),
         expected_probes(F.col("min_cq"), F.col("max_cq")).alias("expected_probes"),
         F.col("__d.steps").alias("steps"),
+        "levels",
     )
 
 
@@ -101,8 +107,9 @@ def bisect_trace(levels: DataFrame, ranges: DataFrame, settings: Settings = DEFA
 
 def probed_levels(levels: DataFrame, ranges: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The level rows a search would really have measured."""
-    trace = bisect_trace(levels, ranges, settings).select("video_id", "cq")
-    return levels.join(trace, ["video_id", "cq"], "left_semi")
+    taken = F.transform("steps", lambda s: s["cq"])
+    kept = F.filter("levels", lambda row: F.array_contains(taken, row["cq"].cast("int")))
+    return bisect(levels, ranges, settings).select("video_id", F.inline(kept))
 
 
 def search_levels(

@@ -30,9 +30,8 @@ def plan_sampling(videos: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
 
 def tune(scores: DataFrame, ranges: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Selection per video over the levels the search would have measured."""
-    levels = quality.level_stats(scores)
-    seen = search.probed_levels(levels, ranges, settings)
-    return quality.add_marginal(quality.select_level(seen, settings), seen, settings)
+    seen = search.probed_levels(quality.level_stats(scores), ranges, settings)
+    return quality.add_marginal(quality.select_level(quality.add_neighbours(seen, settings), settings), settings)
 
 
 def search_ranges(streams: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -58,23 +57,35 @@ def compress_summary(
     """
     featured = add_features(streams, settings)
     detected = detection.add_restore(detection.detect(frames, streams, totals, settings))
-    plan = detected.select("video_id", "mode", "filter_graph", "out_num", "out_den", "notes", "confidence")
-    ranges = featured.select("video_id", "search.min_cq", "search.max_cq")
-    guarded = outcome.size_guard(sizes.join(plan.select("video_id", "mode"), "video_id"))
-    chosen = tune(scores, ranges, settings)
-    dropped = ("mode", "filter_graph", "out_num", "out_den", "notes")
-    parts = {
-        "detection": detected.drop(*dropped, *[c for c in streams.columns if c != "video_id"]),
-        "restore": plan,
-        "tuning": chosen,
-        "size_guard": guarded.drop("mode"),
-    }
+    plan = ["mode", "filter_graph", "out_num", "out_den", "notes"]
+    facts = [c for c in detected.columns if c not in (*plan, *streams.columns)]
+    guard = outcome.size_verdict(
+        F.col("restore.mode"), F.col("input_bytes"), F.col("encoded_bytes"), F.col("passthrough_bytes")
+    )
+    rows = detected.select(
+        "video_id", F.struct(*facts).alias("detection"), F.struct(*plan, "confidence").alias("restore")
+    )
+    rows = featured.join(rows, "video_id", "left").join(sizes, "video_id", "left")
+    rows = rows.withColumn("size_guard", F.when(F.col("encoded_bytes").isNotNull(), guard))
     if output_frames is not None and output_streams is not None:
         found = detection.detect(output_frames, output_streams, None, settings)
-        seen = output_streams.select("video_id").join(
+        seen = output_streams.select("video_id", F.lit(True).alias("has_video")).join(
             found.select("video_id", "progressive_fraction", "cadence_rate", "fps"), "video_id", "left"
         )
-        parts["verification"] = outcome.verify_outputs(plan, seen.withColumn("has_video", F.lit(True))).drop("mode")
+        output = F.struct(*[c for c in seen.columns if c != "video_id"])
+        rows = rows.join(seen.select("video_id", output.alias("output")), "video_id", "left").withColumn(
+            "verification",
+            outcome.verification(
+                F.col("restore.mode"), F.col("restore.out_num") / F.col("restore.out_den"), F.col("output").isNotNull(),
+                F.col("output.has_video"), F.col("output.progressive_fraction"), F.col("output.cadence_rate"),
+                F.col("output.fps"),
+            ),
+        )
+    else:
+        rows = rows.withColumn(
+            "verification", F.lit(None).cast("struct<skipped:boolean,passed:boolean,warnings:array<string>,notes:string>")
+        )
+    parts = {"tuning": tune(scores, featured.select("video_id", "search.min_cq", "search.max_cq"), settings)}
     if hdr is not None:
         parts["hdr"] = hdr
     if ops is not None:
@@ -85,12 +96,12 @@ def compress_summary(
             F.max("total_ms").alias("total_ms"), F.array_sort(F.collect_list(row)).alias("phases")
         )
         parts["resource_share"] = usage.resource_share(ops)
-    summary = assemble(featured, parts)
-    passed = F.col("verification.passed") if "verification" in parts else F.lit(None).cast("boolean")
-    return summary.withColumns(
+    return assemble(rows, parts).withColumns(
         {
             "final_cq": F.col("tuning.cq"),
-            "level": outcome.result_level(passed, F.col("size_guard.fell_back"), F.col("tuning.is_marginal")),
+            "level": outcome.result_level(
+                F.col("verification.passed"), F.col("size_guard.fell_back"), F.col("tuning.is_marginal")
+            ),
         }
     )
 

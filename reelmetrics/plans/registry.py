@@ -263,10 +263,14 @@ def level_stats(d: Inputs) -> DataFrame:
     return stats.select("video_id", "cq", r("mean"), r("harmonic"), r("p05"), r("p01"), r("min"), "n")
 
 
-@query("SELECT video_id, cq, mean_ok, p05_ok, p01_ok, passed, failure FROM gated")
+@query("""
+SELECT video_id, cq, mean_ok, p05_ok, p01_ok, passed, concat_ws(',', CASE WHEN NOT mean_ok THEN 'mean' END, CASE WHEN NOT p05_ok THEN 'p05' END,
+ CASE WHEN NOT p01_ok THEN 'p01' END) AS missed FROM gated""")
 def gates(d: Inputs) -> DataFrame:
     judged = quality.gates(quality.level_stats(d.v_scores))
-    return judged.select("video_id", "cq", "mean_ok", "p05_ok", "p01_ok", "passed", "failure")
+    return judged.select(
+        "video_id", "cq", "mean_ok", "p05_ok", "p01_ok", "passed", F.concat_ws(",", "missed").alias("missed")
+    )
 
 
 @query("""
@@ -283,17 +287,17 @@ def select_level(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT p.video_id, p.cq, is_marginal, near, CASE WHEN is_marginal AND NOT fell_short THEN a.cq END AS above_cq, CASE WHEN is_marginal AND NOT fell_short THEN a.failure END AS above_failure,
+SELECT p.video_id, p.cq, is_marginal, near, CASE WHEN is_marginal AND NOT fell_short THEN a.cq END AS above_cq, CASE WHEN is_marginal AND NOT fell_short THEN round(a.mean, 6) END AS above_mean,
  CASE WHEN is_marginal AND NOT fell_short THEN b.cq END AS below_cq
 FROM (SELECT *, fell_short OR near > 0 AS is_marginal FROM (SELECT *, CASE WHEN fell_short THEN 1 ELSE
   CASE WHEN abs(mean - 97) < 0.5e0 THEN 1 ELSE 0 END + CASE WHEN abs(p05 - 95) < 0.5e0 THEN 1 ELSE 0 END + CASE WHEN abs(p01 - 90) < 0.5e0 THEN 1 ELSE 0 END END AS near FROM picked) q) p
 LEFT JOIN gated a ON a.video_id = p.video_id AND a.cq = p.cq + 1 LEFT JOIN gated b ON b.video_id = p.video_id AND b.cq = p.cq - 1""")
 def marginal(d: Inputs) -> DataFrame:
-    levels = quality.level_stats(d.v_scores)
-    rows = quality.add_marginal(quality.select_level(levels), levels)
+    levels = quality.add_neighbours(quality.level_stats(d.v_scores))
+    rows = quality.add_marginal(quality.select_level(levels))
     return rows.select(
         "video_id", "cq", "is_marginal", F.size("marginal_reasons").alias("near"),
-        F.col("above.cq").alias("above_cq"), F.col("above.failure").alias("above_failure"),
+        F.col("above.cq").alias("above_cq"), F.round("above.mean", 6).alias("above_mean"),
         F.col("below.cq").alias("below_cq"),
     )
 

@@ -208,13 +208,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame; running sums are built the way that scales."""
     if name == "v_chapters":
         rows = ordered_scan(
-            view(spark, sf_dir, "v_chapter_rows"), ["disc_id"], "o_orderkey", 1 << 20,
+            view(spark, sf_dir, "v_chapter_rows"), ["disc_id"], "o_orderkey", 1 << 16,
             totals={"n": F.lit(1), "end_s": F.col("dur")},
         )
         return rows.select("disc_id", (F.col("n") - 1).alias("chapter_idx"), (F.col("end_s") - F.col("dur")).alias("start_s"), "end_s")
     if name == "v_ticks":
         return ordered_scan(
-            view(spark, sf_dir, "v_tick_rows"), ["host"], "tick_id", 1 << 20,
+            view(spark, sf_dir, "v_tick_rows"), ["host"], "tick_id", 1 << 16,
             totals={"cpu_total": F.lit(100), "cpu_idle": F.col("idle")},
         ).drop("idle")
     text = compose(f"SELECT * FROM {name}")
