@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelmetrics.functions.once import let
+
 # Rate tolerance, float scale, NTSC rates, variable-rate ratio.
 TOLERANCE = 0.01
 FLOAT_SCALE = 100000
@@ -18,28 +20,38 @@ _DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor; 46 Euclid steps settle any two 32-bit integers."""
+    """Greatest common divisor; 48 Euclid steps settle any two 32-bit integers."""
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(
         F.struct(s["b"].alias("a"), F.coalesce(F.try_mod(s["a"], s["b"]), F.lit(0)).alias("b"))
     )
     start = F.struct(F.coalesce(a, F.lit(0)).alias("a"), F.coalesce(b, F.lit(0)).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step, lambda s: s["a"])
+    euclid = F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, step, lambda s: s["a"])
+    return F.when(b == 1, F.lit(1)).when(F.try_mod(a, b) == 0, b).otherwise(euclid)
 
 
 def rate(text: Column) -> Column:
     """`num/den` or decimal text to a reduced struct<num,den>; null when unusable."""
-    num = F.regexp_extract(text, _FRACTION, 1).try_cast("int")
-    den = F.regexp_extract(text, _FRACTION, 2).try_cast("int")
-    value = F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("double"))
-    scaled = F.rint(value * FLOAT_SCALE).try_cast("int")
-    n = F.when((num > 0) & (den > 0), num).otherwise(F.when(value > 0, scaled))
-    d = F.when((num > 0) & (den > 0), den).otherwise(F.when(value > 0, F.lit(FLOAT_SCALE)))
-    g = F.greatest(gcd(n, d), F.lit(1))
-    return F.when(
-        n.isNotNull() & d.isNotNull(),
-        F.struct(F.floor(n / g).cast("int").alias("num"), F.floor(d / g).cast("int").alias("den")),
+    read = F.struct(
+        F.regexp_extract(text, _FRACTION, 1).try_cast("int").alias("num"),
+        F.regexp_extract(text, _FRACTION, 2).try_cast("int").alias("den"),
+        F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("double")).alias("value"),
     )
 
+    def chosen(r: Column) -> Column:
+        whole = (r["num"] > 0) & (r["den"] > 0)
+        n = F.when(whole, r["num"]).when(r["value"] > 0, F.rint(r["value"] * FLOAT_SCALE).try_cast("int"))
+        d = F.when(whole, r["den"]).when(r["value"] > 0, F.lit(FLOAT_SCALE))
+        return F.struct(n.alias("n"), d.alias("d"))
+
+    def reduced(r: Column) -> Column:
+        by = lambda g: F.struct(
+            F.floor(r["n"] / g).cast("int").alias("num"), F.floor(r["d"] / g).cast("int").alias("den")
+        )
+        usable = r["n"].isNotNull() & r["d"].isNotNull()
+        return F.when(usable, let(F.greatest(gcd(r["n"], r["d"]), F.lit(1)), by))
+
+    return let(let(read, chosen), reduced)
+
 
 def as_double(r: Column) -> Column:
     return F.try_divide(r["num"].cast("double"), r["den"].cast("double"))

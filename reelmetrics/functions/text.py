@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reelmetrics.functions.once import let
+
 
 def file_stem(path: Column) -> Column:
     """File name without directories and without its last extension."""
@@ -22,14 +24,20 @@ def normalize_timecode(text: Column) -> Column:
     return F.when(text.contains("."), trimmed).otherwise(F.coalesce(text, F.lit("")))
 
 
+_TIMECODE = r"^\s*([0-9]+\.)?([01]?[0-9]|2[0-3]):[0-5]?[0-9](:[0-5]?[0-9](\.[0-9]{1,9})?)?\s*$"
+
+
 def timecode_seconds(text: Column) -> Column:
     """`[d.]HH:MM[:SS[.fraction]]` to decimal seconds; null when it is not a time code."""
-    pattern = r"^\s*(?:([0-9]+)\.)?([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2})(\.[0-9]{1,9})?)?\s*$"
-    part = lambda i: F.coalesce(F.regexp_extract(text, pattern, i).try_cast("int"), F.lit(0))
-    fraction = F.coalesce(F.concat(F.lit("0"), F.regexp_extract(text, pattern, 5)).try_cast("decimal(18,9)"), F.lit(0))
-    whole = part(1) * 86400 + part(2) * 3600 + part(3) * 60 + part(4)
-    valid = text.rlike(pattern) & (part(2) < 24) & (part(3) < 60) & (part(4) < 60)
-    return F.when(valid, whole.cast("decimal(18,9)") + fraction.cast("decimal(18,9)")).cast("decimal(18,9)")
+
+    def seconds(parts: Column) -> Column:
+        head = F.split(F.get(parts, F.lit(0)), r"\.")
+        days = F.when(F.size(head) == 2, F.get(head, F.lit(0)).try_cast("bigint")).otherwise(F.lit(0))
+        minutes = days * 1440 + F.element_at(head, -1).try_cast("int") * 60 + F.get(parts, F.lit(1)).try_cast("int")
+        tail = F.coalesce(F.get(parts, F.lit(2)).try_cast("decimal(18,9)"), F.lit(0).cast("decimal(18,9)"))
+        return (minutes * 60 + tail).cast("decimal(18,9)")
+
+    return F.when(text.rlike(_TIMECODE), let(F.split(F.trim(text), ":"), seconds))
 
 
 def episode_name(series: Column, season: Column, episode: Column) -> Column:

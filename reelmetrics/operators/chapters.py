@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelmetrics.functions.once import settled
 from reelmetrics.functions.text import episode_name, normalize_timecode, timecode_seconds
 from reelmetrics.operators.ordered import SLICE, with_slice
 from reelmetrics.settings import DEFAULTS, Settings
@@ -14,14 +15,14 @@ CHAPTER = ["disc_id", "chapter_idx"]
 
 def add_times(chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Time codes to seconds.  Returns (good rows, rows whose time code is not one)."""
-    rows = chapters.withColumns(
-        {
-            "start_text": normalize_timecode(F.col("start_text")),
-            "end_text": normalize_timecode(F.col("end_text")),
-            "start_s": timecode_seconds(F.col("start_text")),
-            "end_s": timecode_seconds(F.col("end_text")),
-        }
-    )
+    columns = [c for c in chapters.columns if c not in ("start_text", "end_text")]
+    times = F.struct(
+        normalize_timecode(F.col("start_text")).alias("start_text"),
+        normalize_timecode(F.col("end_text")).alias("end_text"),
+        timecode_seconds(F.col("start_text")).alias("start_s"),
+        timecode_seconds(F.col("end_text")).alias("end_s"),
+    )
+    rows = settled(chapters, "__t", times).select(*columns, "__t.*")
     bad = F.col("start_s").isNull() | F.col("end_s").isNull()
     return rows.where(~bad), rows.where(bad)
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 def log_warnings(logs: DataFrame, keyword: str = "fieldmatch") -> DataFrame:
     """Every trimmed line that contains the keyword, in any case."""
-    lines = logs.select("video_id", F.posexplode(F.split("log", "\n")).alias("line_no", "line"))
+    has = lambda c: F.contains(F.lower(c), F.lit(keyword.lower()))
+    lines = logs.select("video_id", F.posexplode_outer(F.split("log", "\n")).alias("line_no", "line"))
+    # Untrimmed lines are tested first, so only the few that remain are trimmed.
     trimmed = F.regexp_replace("line", r"^\s+|\s+$", "")
-    return lines.withColumn("line", trimmed).where(F.contains(F.lower("line"), F.lit(keyword.lower())))
+    return lines.where(has("line")).withColumn("line", trimmed).where(has("line"))
 
 
 def log_warning_counts(logs: DataFrame, keyword: str = "fieldmatch") -> DataFrame:

@@ -15,8 +15,12 @@ CELLS_PER_POINT = 64
 
 
 def _cell(score: Column) -> Column:
-    """Order-preserving cell number; scores outside 0..100 fall into the end cells."""
-    return F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)) * CELLS_PER_POINT)
+    """Order-preserving cell number; scores outside 0..100 fall into the end cells.
+
+    It is never null by type, so a join on it adds no filter and both sides of the join
+    in `level_stats` read the same shuffle.
+    """
+    return F.coalesce(F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)) * CELLS_PER_POINT), F.lit(0))
 
 
 def level_stats(scores: DataFrame) -> DataFrame:

@@ -53,17 +53,25 @@ def time_card(ops: DataFrame) -> DataFrame:
 
 
 def op_stats(ops: DataFrame) -> DataFrame:
-    """Waits, holds and fallbacks per video, op and level (the level is part of the op name)."""
-    level = F.regexp_extract("op", r"\.cq([0-9]+)$", 1).try_cast("int")
-    name = F.regexp_replace("op", r"\.cq[0-9]+$", "")
-    return ops.select("video_id", name.alias("op"), level.alias("cq"), "wait_ms", "hold_ms", "alt_index").groupBy(
-        "video_id", "op", "cq"
-    ).agg(
+    """Waits, holds and fallbacks per video, op and level (the level is part of the op name).
+
+    Rows are added up by the raw op text first, so that names are taken apart once per
+    distinct text and not once per row.
+    """
+    measures = ("wait", "hold")
+    raw = ops.groupBy("video_id", "op").agg(
         F.count(F.lit(1)).alias("n"),
-        *[f(f"{c}_ms").alias(f"{c}_{label}") for c in ("wait", "hold")
-          for label, f in (("avg", F.avg), ("max", F.max), ("sum", F.sum))],
+        *[f(f"{c}_ms").alias(f"{c}_{label}") for c in measures for label, f in (("max", F.max), ("sum", F.sum))],
         F.count_if(F.col("alt_index") > 0).alias("fallbacks"),
     )
+    level = F.regexp_extract("op", r"\.cq([0-9]+)$", 1).try_cast("int")
+    name = F.regexp_replace("op", r"\.cq[0-9]+$", "")
+    merged = raw.withColumns({"op": name, "cq": level}).groupBy("video_id", "op", "cq").agg(
+        F.sum("n").alias("n"),
+        *[f(f"{c}_{label}").alias(f"{c}_{label}") for c in measures for label, f in (("max", F.max), ("sum", F.sum))],
+        F.sum("fallbacks").alias("fallbacks"),
+    )
+    return merged.withColumns({f"{c}_avg": F.col(f"{c}_sum") / F.col("n") for c in measures})
 
 
 def resource_share(ops: DataFrame) -> DataFrame:
@@ -91,20 +99,21 @@ def resource_top(share: DataFrame, keep: int = 5) -> DataFrame:
     totals = used.groupBy("resource").agg(F.sum("ms").alias("total"), F.count(F.lit(1)).alias("users"))
     order = Window.partitionBy("resource").orderBy(F.col("ms").desc(), F.col("video_id"))
     top = used.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
-    shown = top.groupBy("resource").agg(F.sum("ms").alias("shown"), F.count(F.lit(1)).alias("n"))
-    # One row per resource, four at most.
-    totals = F.broadcast(totals)
-    named = top.join(totals, "resource").select(
-        "resource", "rank", F.col("video_id").cast("string").alias("video"), F.lit(1).cast("long").alias("videos"),
-        "ms", (F.col("ms") * 100 / F.col("total")).alias("pct"),
+    row = F.struct(
+        F.col("rank"), F.col("video_id").cast("string").alias("video"), F.lit(1).cast("bigint").alias("videos"), F.col("ms")
+    )
+    # From here on there is one row per resource, four at most, with `keep` entries each.
+    lists = top.groupBy("resource").agg(F.collect_list(row).alias("shown"), F.sum("ms").alias("shown_ms"))
+    joined = lists.join(F.broadcast(totals), "resource")
+    left = F.col("users") - F.size("shown")
+    others = F.struct(
+        F.lit(keep + 1).alias("rank"), F.lit("others").alias("video"), left.alias("videos"),
+        (F.col("total") - F.col("shown_ms")).alias("ms"),
     )
-    rest = F.col("total") - F.col("shown")
-    others = shown.join(totals, "resource").where(F.col("users") > F.col("n")).select(
-        "resource", F.lit(keep + 1).alias("rank"), F.lit("others").alias("video"),
-        (F.col("users") - F.col("n")).alias("videos"),
-        rest.alias("ms"), (rest * 100 / F.col("total")).alias("pct"),
+    rows = F.concat("shown", F.array_compact(F.array(F.when(left > 0, others))))
+    return joined.select("resource", "total", F.inline(rows)).select(
+        "resource", "rank", "video", "videos", "ms", (F.col("ms") * 100 / F.col("total")).alias("pct")
     )
-    return named.unionByName(others)
 
 
 def top_waits(ops: DataFrame, keep: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelmetrics import schemas
 from reelmetrics.functions import probe, rates
+from reelmetrics.functions.once import settled
 from reelmetrics.settings import DEFAULTS, Settings
 
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -20,7 +21,7 @@ def number(text: Column) -> Column:
 def parse_probe(docs: DataFrame, text: str = "doc") -> DataFrame:
     """Probe documents: duration_s, bit_rate, size, streams, the first real video, usability."""
     keep = [c for c in docs.columns if c != text]
-    rows = docs.withColumn("__d", F.from_json(F.col(text), schemas.PROBE_DOCUMENT)).select(
+    rows = settled(docs, "__d", F.from_json(F.col(text), schemas.PROBE_DOCUMENT)).select(
         *keep,
         number(F.col("__d.format.duration")).alias("duration_s"),
         F.coalesce(F.col("__d.format.bit_rate").try_cast("bigint"), F.lit(0)).alias("bit_rate"),
@@ -66,7 +67,8 @@ def parse_frame_records(records: DataFrame, text: str = "value") -> DataFrame:
     keep = [c for c in records.columns if c != text]
     word = F.lower(F.regexp_extract(text, r"lavfi\.idet\.multiple\.current_frame=(\w+)", 1))
     number_text = F.regexp_extract(text, r"^\s*([0-9]+)", 1)
-    rows = records.select(*keep, number_text.try_cast("bigint").alias("frame_idx"), word.alias("__w"))
+    read = F.struct(number_text.try_cast("bigint").alias("frame_idx"), word.alias("__w"))
+    rows = settled(records, "__r", read).select(*keep, "__r.*")
     known = F.col("__w").isin("progressive", "tff", "bff")
     return rows.where(F.col("frame_idx").isNotNull() & (F.col("__w") != "")).select(
         *keep, "frame_idx", F.when(known, F.col("__w")).otherwise("undetermined").alias("flag")
@@ -92,7 +94,7 @@ def parse_totals(logs: DataFrame, text: str = "log") -> DataFrame:
 
 def _scored(docs: DataFrame, text: str) -> DataFrame:
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.from_json(F.col(text), schemas.SCORE_DOCUMENT).alias("__d"))
+    return settled(docs, "__d", F.from_json(F.col(text), schemas.SCORE_DOCUMENT)).select(*keep, "__d")
 
 
 def parse_scores(docs: DataFrame, text: str = "doc") -> DataFrame:
@@ -134,7 +136,7 @@ def parse_hdr(docs: DataFrame, text: str = "doc") -> DataFrame:
         F.from_json(F.col(text), schemas.SIDE_DATA_DOCUMENT)["frames"],
         lambda f: F.coalesce(f["side_data_list"], F.array().cast(empty)),
     )
-    rows = docs.select(*keep, F.flatten(lists).alias("__e"))
+    rows = settled(docs, "__e", F.flatten(lists)).select(*keep, "__e")
 
     def luminance(t: Column) -> Column:
         parts = F.split(t, "/")
@@ -149,12 +151,12 @@ def parse_hdr(docs: DataFrame, text: str = "doc") -> DataFrame:
 
     whole = lambda t: F.trim(t).try_cast("int")
     light, display = "Content light level metadata", "Mastering display metadata"
-    rows = rows.select(
-        *keep,
+    values = F.struct(
         last(light, "max_content", whole).alias("max_cll"),
         last(light, "max_average", whole).alias("max_fall"),
         F.rint(last(display, "max_luminance", luminance)).try_cast("int").alias("mastering_max_luminance"),
     )
+    rows = settled(rows, "__v", values).select(*keep, "__v.*")
     found = F.coalesce("max_cll", "max_fall", "mastering_max_luminance").isNotNull()
     return rows.where(found).withColumns(
         {
@@ -198,7 +200,7 @@ def parse_events(lines: DataFrame, text: str = "value") -> DataFrame:
     keep = [c for c in lines.columns if c != text]
     props = F.col("props")
     get = lambda name, kind: F.try_variant_get(props, f"$['{name}']", kind)
-    rows = lines.select(*keep, F.try_parse_json(F.col(text)).alias("props")).where(props.isNotNull())
+    rows = settled(lines, "props", F.try_parse_json(F.col(text))).select(*keep, "props").where(props.isNotNull())
     rows = rows.select(
         *keep,
         F.try_to_timestamp(get("@t", "string")).alias("t"),
