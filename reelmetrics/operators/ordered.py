@@ -16,7 +16,8 @@ SLICE = "__slice"
 
 
 def with_slice(rows: DataFrame, order: str, width: int) -> DataFrame:
-    return rows.withColumn(SLICE, F.floor(F.col(order) / F.lit(width)).cast("long"))
+    """Adds the slice number; never null by type, so joins on it add no filter of their own."""
+    return rows.withColumn(SLICE, F.coalesce(F.floor(F.col(order) / F.lit(width)).cast("long"), F.lit(0)))
 
 
 def ordered_scan(

@@ -23,6 +23,8 @@ def read_catalog(spark: SparkSession, folder: str, settings: Settings = DEFAULTS
     """Files below `folder` with their key; file contents are never read.
 
     The size limit is given to the source, so tiny files are dropped while listing.
+    Spark's own listing leaves out names that begin with '_' and folders that begin with
+    '.'; where those matter, give a listing table to `documents.candidates` instead.
     """
     files = (
         spark.read.format("binaryFile")
@@ -42,7 +44,7 @@ def duplicate_keys(catalog: DataFrame) -> DataFrame:
 
 
 def _whole_files(spark: SparkSession, path: str, key: str) -> DataFrame:
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return rows.select(_video_key("_metadata.file_path").alias(key), F.col("value").alias("doc"))
 
 
@@ -52,7 +54,7 @@ def read_probes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """Score documents named `{video}/cq{level}_s{sample}.json`."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     file = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
     named = rows.select(
         safe_id(F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)).alias("video_id"),
