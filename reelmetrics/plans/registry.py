@@ -274,10 +274,11 @@ def gates(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT video_id, cq, sample_idx, round(mean, 6) AS mean, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id, cq ORDER BY mean, sample_idx) AS rank
+SELECT video_id, cq, sample_idx, mean, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id, cq ORDER BY mean, sample_idx) AS rank
  FROM (SELECT video_id, cq, sample_idx, round(avg(score), 9) AS mean, count(*) AS n FROM v_scores GROUP BY video_id, cq, sample_idx) s) t WHERE rank <= 3""")
 def sample_outliers(d: Inputs) -> DataFrame:
-    return quality.sample_outliers(d.v_scores).select("video_id", "cq", "sample_idx", r("mean"), "n", "rank")
+    worst = quality.sample_outliers(d.v_scores)
+    return worst.select("video_id", "cq", "sample_idx", F.round("mean", 9).alias("mean"), "n", "rank")
 
 
 @query("SELECT video_id, cq, fell_short, round(mean, 6) AS mean, round(p05, 6) AS p05, round(p01, 6) AS p01, n FROM picked")
