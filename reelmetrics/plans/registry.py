@@ -17,9 +17,10 @@ from reelmetrics.operators import (
 )
 from reelmetrics.plans import flows
 from reelmetrics.plans.checks import check
-from reelmetrics.plans.views import view
+from reelmetrics.plans.views import view, view_over
 from reelmetrics.settings import DEFAULTS
 from reelmetrics.sources import documents
+from reelmetrics.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -35,11 +36,11 @@ class Inputs:
         return view(self.spark, self.sf_dir, name)
 
 
-def query(sql: str):
+def query(sql: str, name: str | None = None):
     def register(build: Callable[[Inputs], DataFrame]):
-        name = build.__name__
-        QUERIES[name] = lambda spark, sf_dir: build(Inputs(spark, sf_dir))
-        CHECKS[name] = check(sql)
+        key = name or build.__name__
+        QUERIES[key] = lambda spark, sf_dir: build(Inputs(spark, sf_dir))
+        CHECKS[key] = check(sql)
         return build
 
     return register
@@ -168,7 +169,7 @@ def safe_id(d: Inputs) -> DataFrame:
     return d.v_catalog.select("page_id", text.safe_id(text.file_stem(F.col("path"))).alias("video_id"))
 
 
-@query("SELECT file_id, num, den, round(fps, 6) AS fps, rate_text, is_ntsc, is_ntsc30, is_cfr FROM probe_rates")
+@query("SELECT file_id, num, den, round(fps, 6) AS fps, rate_text, is_ntsc, is_ntsc30, is_cfr FROM probe_rates", name="rates")
 def rate_features(d: Inputs) -> DataFrame:
     rows = rates.add_rates(d.v_probe)
     return rows.select(
@@ -217,7 +218,7 @@ def frame_counts(d: Inputs) -> DataFrame:
     )
 
 
-@query("SELECT video_id, total, round(cadence_rate, 6) AS cadence_rate, round(i_in_cadence, 6) AS i_in_cadence FROM metrics")
+@query("SELECT video_id, total, round(cadence_rate, 6) AS cadence_rate, round(i_in_cadence, 6) AS i_in_cadence FROM metrics", name="cadence")
 def frame_cadence(d: Inputs) -> DataFrame:
     return cadence.frame_metrics(d.v_frames).select("video_id", "total", r("cadence_rate"), r("i_in_cadence"))
 
@@ -596,3 +597,62 @@ def video_summary(d: Inputs) -> DataFrame:
         "video_id", "detection.content_type", "restore.mode", "final_cq", "tuning.fell_short", "size_guard.outcome",
         "level", "resource_share.cpu_ms", "detection.totals_agree",
     )
+
+
+# --- streams: the table is read as a stream, run to its end, and the result is checked like a batch ---
+
+
+def _stream(d: Inputs, table: str, name: str) -> DataFrame:
+    """A derived input over a table that is read as a stream."""
+    source = d.spark.read.parquet(f"{d.sf_dir}/{table}.parquet").schema
+    # The file source takes folders or patterns, so the one file is named by a pattern.
+    rows = d.spark.readStream.schema(source).parquet(f"{d.sf_dir}/{table[:-1]}[{table[-1]}].parquet")
+    return view_over(rows, table, name)
+
+
+@query("""
+SELECT video_id, progressive, tff, bff, interlaced, undetermined, total, round(progressive_fraction, 6) AS progressive_fraction,
+ round(undetermined_share, 6) AS undetermined_share, undetermined_share > 0.02e0 AS undetermined_high FROM metrics""")
+def stream_frame_counts(d: Inputs) -> DataFrame:
+    counts = streams.drain(streams.live_frame_counts(_stream(d, "events", "v_frames")), "complete")
+    return counts.withColumns({c: r(c) for c in ("progressive_fraction", "undetermined_share")})
+
+
+@query("""
+SELECT host, count(*) AS samples, round(100e0 * (20 - avg(cpu_free)) / 20, 6) AS cpu_busy_pct, min(cpu_free) AS cpu_free_min,
+ round(100e0 * (4 - avg(nvenc_free)) / 4, 6) AS nvenc_busy_pct, min(nvenc_free) AS nvenc_free_min, round(avg(gpu_pct), 6) AS gpu_pct_avg,
+ max(gpu_pct) AS gpu_pct_max FROM v_tick_rows GROUP BY host""")
+def stream_pool_busy(d: Inputs) -> DataFrame:
+    return _rounded(streams.drain(streams.live_tick_summary(_stream(d, "events", "v_tick_rows")), "complete"))
+
+
+@query("""
+SELECT host, tick_id, tick_ms, round(CASE WHEN cpu_total > pt THEN 100e0 * ((cpu_total - pt) - greatest(cpu_idle - pi, 0)) / (cpu_total - pt) ELSE 0e0 END, 6) AS cpu_pct
+FROM (SELECT *, lag(cpu_total) OVER (PARTITION BY host ORDER BY tick_ms) AS pt, lag(cpu_idle) OVER (PARTITION BY host ORDER BY tick_ms) AS pi FROM v_counters)""")
+def stream_cpu_pct(d: Inputs) -> DataFrame:
+    streams.use_rocksdb(d.spark)
+    return streams.drain(streams.live_cpu_pct(_stream(d, "events", "v_counters"))).withColumn("cpu_pct", r("cpu_pct"))
+
+
+@query("""
+SELECT slot, seq, stage, detail FROM (SELECT *, lag(stage) OVER (PARTITION BY slot ORDER BY seq) AS before FROM v_stages) s WHERE stage IS DISTINCT FROM before""")
+def stream_stages(d: Inputs) -> DataFrame:
+    streams.use_rocksdb(d.spark)
+    raw = _stream(d, "conversations", "v_stages")
+    # Every slot is opened by its first row.
+    opening = F.struct(F.lit(-1).cast("bigint").alias("seq"), F.lit("begin").alias("kind"), F.lit(None).cast("string").alias("stage"))
+    change = F.struct(F.col("seq"), F.lit("set").alias("kind"), F.col("stage"))
+    updates = raw.select(
+        F.lit("run").alias("run_id"), "slot", "detail", F.lit("file").alias("file"), F.lit(None).cast("string").alias("level"),
+        F.inline(F.when(F.col("seq") == 0, F.array(opening, change)).otherwise(F.array(change))),
+    )
+    changes = streams.drain(streams.live_stages(updates))
+    return changes.where(F.col("change") == "stage").select("slot", "seq", "stage", "detail")
+
+
+@query("""
+SELECT video_id, op, start_ms, wait_ms, hold_ms, 'acquire' AS event FROM v_ops WHERE wait_ms > 0
+UNION ALL SELECT video_id, op, start_ms, wait_ms, hold_ms, 'release' FROM v_ops WHERE woken > 0 OR hold_ms >= 30000""")
+def stream_thinning(d: Inputs) -> DataFrame:
+    kept = streams.live_thin_events(_stream(d, "lineitem", "v_ops"))
+    return streams.drain(kept.select("video_id", "op", "start_ms", "wait_ms", "hold_ms", "event"))

@@ -88,6 +88,10 @@ SELECT host, tick_id, tick_ms,
  CAST(sum(idle) OVER (PARTITION BY host ORDER BY tick_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cpu_idle,
  gpu_pct, cpu_free, nvenc_free
 FROM v_tick_rows""",
+    # Counters that can be told from one row, for the stream.
+    "v_counters": """
+SELECT event_id % 4 AS host, event_id AS tick_id, event_id * 1500 AS tick_ms, event_id * 100 AS cpu_total, event_id * 40 + event_id % 97 AS cpu_idle
+FROM events""",
     "v_probe": """
 SELECT p_partkey AS file_id, CASE p_size % 10 WHEN 0 THEN '30000/1001' WHEN 1 THEN '24000/1001' WHEN 2 THEN '60000/1001' WHEN 3 THEN '25/1'
   WHEN 4 THEN '60/2' WHEN 5 THEN '29.97' WHEN 6 THEN '0/0' WHEN 7 THEN 'nope' WHEN 8 THEN '30/1' ELSE NULL END AS r_frame_rate,
@@ -221,3 +225,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in TABLES:
         text = re.sub(rf"\bFROM {t}\b", f"FROM parquet.`{sf_dir}/{t}.parquet`", text)
     return spark.sql(text)
+
+
+def view_over(rows: DataFrame, table_name: str, name: str) -> DataFrame:
+    """A derived input over given rows (also a stream) in place of the stored table."""
+    text = re.sub(rf"\bFROM {table_name}\b", "FROM {rows}", compose(f"SELECT * FROM {name}"))
+    return rows.sparkSession.sql(text, rows=rows)

@@ -46,7 +46,7 @@ class Settings:
     # rows may get before it is cut into slices that are worked on separately.
     frame_slice: int = 1 << 20
     chapter_slice: int = 1 << 16
-    tick_slice_ms: int = 86_400_000
+    tick_slice_ms: int = 3_600_000
     stage_slice: int = 1 << 20
 
     @property

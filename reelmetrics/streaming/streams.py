@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -149,15 +151,47 @@ def progress(changes: DataFrame) -> DataFrame:
 
 
 def with_recent(table: str, view: str, keep: int = 8) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: add the batch to `table`, rewrite `view` with the newest completions.
+    """foreachBatch function: add the batch to `table` and keep the newest completions in `view`.
 
-    The batch is written to its own folder, so a batch that is retried replaces itself.
+    Every batch writes its own folder, so one that is retried replaces itself.  The view of a
+    batch is made from the view before it and the batch alone; `view/batch={id}` is the latest.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        kept = batch.sparkSession.read.schema(batch.schema).parquet(table)
-        done = kept.where(F.col("change").isin("complete", "skip"))
-        stages.recent(done, "seq", "slot", keep).write.mode("overwrite").parquet(view)
+        done = spark.read.schema(batch.schema).parquet(f"{table}/batch={batch_id}").where(
+            F.col("change").isin("complete", "skip")
+        )
+        if batch_id > 0:
+            done = done.unionByName(spark.read.schema(batch.schema).parquet(f"{view}/batch={batch_id - 1}"))
+        stages.recent(done, "seq", "slot", keep).write.mode("overwrite").parquet(f"{view}/batch={batch_id}")
 
     return write
+
+
+def scratch_folder(spark) -> str:
+    """A new folder below the one the cluster names for checkpoints; a local one only if none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4()}"
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over everything that is there now and return what it wrote.
+
+    In complete mode the last batch's result is what counts.
+    """
+    spark = stream.sparkSession
+    folder = scratch_folder(spark)
+    out = f"{folder}/out"
+    writer = (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+    )
+    if mode == "append":
+        query = writer.format("parquet").start(out)
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
