@@ -20,7 +20,7 @@ def safe_id(stem: Column) -> Column:
 
 def normalize_timecode(text: Column) -> Column:
     """Drop trailing zeros of the fraction; text without a fraction stays as it is."""
-    trimmed = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.+$", "")
+    trimmed = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
     return F.when(text.contains("."), trimmed).otherwise(F.coalesce(text, F.lit("")))
 
 

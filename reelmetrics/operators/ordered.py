@@ -31,14 +31,14 @@ def ordered_scan(
 ) -> DataFrame:
     """Add columns computed along `order` within `keys`.
 
-    `totals` maps a new column to the value summed up to and including the row;
+    `totals` maps a new column to the value summed up to and including the row (null adds 0);
     `previous` and `following` map a new column to the column whose neighbouring
     value it takes.  `order` is a non-null number, unique within `keys`; keys are not null.
     """
     totals, previous, following = dict(totals or {}), dict(previous or {}), dict(following or {})
     sliced = with_slice(rows, order, width)
     for name, value in totals.items():
-        sliced = sliced.withColumn(f"__v_{name}", value)
+        sliced = sliced.withColumn(f"__v_{name}", F.coalesce(value, F.lit(0)))
 
     def picked(columns: Mapping[str, str]) -> Column:
         return F.struct(*[F.col(source).alias(name) for name, source in columns.items()])
