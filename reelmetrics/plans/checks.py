@@ -118,7 +118,8 @@ GROUP BY f.disc_id HAVING max(CASE WHEN f.is_main THEN f.chapter_idx END) > coal
 SELECT *, CASE WHEN op LIKE 'detection%' THEN 'detection' WHEN op LIKE 'phase1.%' THEN 'phase1' WHEN op LIKE 'phase2.%' THEN 'phase2'
  WHEN op LIKE 'final-encode%' THEN 'final_encode' WHEN op LIKE 'verification%' THEN 'verification' ELSE 'other' END AS phase FROM v_ops""",
     "shares": """
-SELECT video_id, sum(cpu * hold_ms) AS cpu_ms, sum(nvenc * hold_ms) AS nvenc_ms, sum(nvdec * hold_ms) AS nvdec_ms, sum(cuda * hold_ms) AS cuda_ms
+SELECT video_id, CAST(sum(cpu * hold_ms) AS BIGINT) AS cpu_ms, CAST(sum(nvenc * hold_ms) AS BIGINT) AS nvenc_ms, CAST(sum(nvdec * hold_ms) AS BIGINT) AS nvdec_ms,
+ CAST(sum(cuda * hold_ms) AS BIGINT) AS cuda_ms
 FROM v_ops GROUP BY video_id""",
     "share_rows": """
 SELECT *, row_number() OVER (PARTITION BY resource ORDER BY ms DESC, video_id) AS rank, sum(ms) OVER (PARTITION BY resource) AS total FROM (
@@ -136,6 +137,21 @@ SELECT *, mode = 'none' AS skipped, CASE WHEN mode = 'none' THEN '' ELSE concat_
   CASE WHEN mode = 'ivtc' AND abs(fps - 24000/1001.0) >= 0.01 THEN 'unexpected_rate' END) END AS warnings
 FROM (SELECT v.video_id, v.mode, m.progressive_fraction, m.cadence_rate, r.fps FROM v_video v
  JOIN video_rates r USING (video_id) LEFT JOIN metrics m USING (video_id))""",
+    "reconciled": """
+SELECT m.video_id, coalesce(abs(m.progressive - t.progressive) <= 1 AND abs(m.tff - t.tff) <= 1 AND abs(m.bff - t.bff) <= 1
+ AND abs(m.undetermined - t.undetermined) <= 1, true) AS totals_agree FROM metrics m LEFT JOIN v_totals t USING (video_id)""",
+    "searched": """
+SELECT *, fell_short OR abs(mean - 97) < 0.5e0 OR abs(p05 - 95) < 0.5e0 OR abs(p01 - 90) < 0.5e0 AS is_marginal
+FROM (SELECT l.*, NOT bool_or(l.passed) OVER (PARTITION BY l.video_id) AS fell_short,
+  row_number() OVER (PARTITION BY l.video_id ORDER BY l.passed DESC, CASE WHEN l.passed THEN l.cq END DESC NULLS LAST, l.mean DESC, l.cq) AS choice
+ FROM gated l JOIN search q ON q.video_id = l.video_id AND q.cq = l.cq) z WHERE choice = 1""",
+    "summarised": """
+SELECT r.video_id, r.content_type, r.plan_mode AS mode, r.undetermined_share, r.parity_mismatch, p.cq AS final_cq, p.fell_short, p.is_marginal, g.outcome,
+ CASE WHEN g.outcome = 'fell_back' THEN 'passthrough' WHEN p.is_marginal THEN 'marginal' ELSE 'ok' END AS level, s.cpu_ms, t.totals_agree
+FROM restored r LEFT JOIN searched p ON p.video_id = r.video_id
+LEFT JOIN (SELECT z.video_id, CASE WHEN encoded_bytes < input_bytes THEN 'kept_smaller' WHEN r2.plan_mode <> 'none' THEN 'kept_restored'
+   WHEN passthrough_bytes >= encoded_bytes THEN 'kept' ELSE 'fell_back' END AS outcome FROM v_sizes z JOIN restored r2 ON r2.video_id = z.video_id) g ON g.video_id = r.video_id
+LEFT JOIN shares s ON s.video_id = r.video_id LEFT JOIN reconciled t ON t.video_id = r.video_id""",
 }
 
 

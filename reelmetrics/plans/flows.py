@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -106,6 +108,29 @@ def compress_summary(
     )
 
 
+def run_summary(
+    results: DataFrame, run_id: str, started: datetime, finished: datetime | None = None, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """The run's own row: times, settings and outcome totals.
+
+    Videos, errors and samples are tables of their own and are found through run_id.
+    """
+    config = F.struct(
+        *[
+            (F.array(*map(F.lit, value)) if isinstance(value, tuple) else F.lit(value)).alias(name)
+            for name, value in asdict(settings).items()
+        ]
+    )
+    totals = outcome.run_outcomes(results)
+    return totals.select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(started).alias("started"),
+        F.lit(finished).cast("timestamp").alias("finished"),
+        config.alias("config"),
+        F.struct(*totals.columns).alias("outcomes"),
+    )
+
+
 def split(
     chapters: DataFrame,
     series: str,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from reelmetrics.functions import probe, rates, text
 from reelmetrics.operators import (
-    cadence, chapters, detection, logs, outcome, quality, ranges, sampling, search, stages, ticks, usage,
+    cadence, chapters, decisions, detection, logs, outcome, quality, ranges, sampling, search, stages, ticks, usage,
 )
 from reelmetrics.plans import flows
 from reelmetrics.plans.checks import check
@@ -91,7 +91,7 @@ def frame_log_parse(d: Inputs) -> DataFrame:
 
 @query("""
 SELECT o_orderkey AS video_id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS progressive, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS tff,
- CASE WHEN o_orderkey % 3 <> 0 THEN 7 END AS bff, CASE WHEN o_orderkey % 3 <> 0 THEN 1 END AS undetermined FROM orders""")
+ CASE WHEN o_orderkey % 3 <> 0 THEN CAST(7 AS BIGINT) END AS bff, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(1 AS BIGINT) END AS undetermined FROM orders""")
 def totals_parse(d: Inputs) -> DataFrame:
     return documents.parse_totals(d.v_total_logs)
 
@@ -106,7 +106,7 @@ def score_parse(d: Inputs) -> DataFrame:
 
 @query("""
 SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 2 = 0 THEN (90 + p_size % 10 + 0.5e0 + 97.25e0) / 2 ELSE 96.5e0 END AS mean,
- 0e0 AS harmonic_mean, least(90 + p_size % 10 + 0.5e0, 97.25e0) AS min, 2 AS n FROM part""")
+ 0e0 AS harmonic_mean, least(90 + p_size % 10 + 0.5e0, 97.25e0) AS min, CAST(2 AS BIGINT) AS n FROM part""")
 def pooled_parse(d: Inputs) -> DataFrame:
     return documents.parse_pooled(d.v_score_json)
 
@@ -122,7 +122,7 @@ def hdr_parse(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT disc_id, chapter_idx, uid, start_text, end_text, title, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end_s FROM (
+SELECT disc_id, CAST(chapter_idx AS BIGINT) AS chapter_idx, uid, start_text, end_text, title, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end_s FROM (
  SELECT o_orderkey AS disc_id, 0 AS chapter_idx, o_orderkey AS uid, '00:00:00' AS start_text, concat('00:0', o_custkey % 10, ':30.5') AS end_text, 'Opening' AS title,
   0e0 AS start_s, o_custkey % 10 * 60 + 30.5e0 AS end_s FROM orders
  UNION ALL SELECT o_orderkey, 1, o_orderkey + 1, concat('00:0', o_custkey % 10, ':30.5'), concat('01:1', o_orderkey % 10, ':10'), '',
@@ -136,7 +136,7 @@ def chapter_parse(d: Inputs) -> DataFrame:
 @query("""
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Information' END AS level,
  CASE event_type WHEN 'view' THEN 'release' WHEN 'click' THEN 'acquire' ELSE 'message' END AS kind,
- concat('f', user_id) AS file, event_type AS op, event_id % 10 AS second, event_id % 1000 AS wait_ms, event_id % 4 AS cpu FROM events""")
+ concat('f', user_id) AS file, event_type AS op, CAST(event_id % 10 AS INTEGER) AS second, event_id % 1000 AS wait_ms, CAST(event_id % 4 AS INTEGER) AS cpu FROM events""")
 def event_parse(d: Inputs) -> DataFrame:
     parsed = documents.parse_events(d.v_event_lines)
     return parsed.select(
@@ -147,8 +147,8 @@ def event_parse(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT event_id AS tick_id, event_id % 101 AS gpu_pct, CASE WHEN event_type <> 'error' THEN event_id % 77 END AS mem_pct,
- event_id * 3 AS vram_mb, CASE WHEN event_type <> 'view' THEN event_id % 5 END AS nvenc_sessions FROM events""")
+SELECT event_id AS tick_id, CAST(event_id % 101 AS INTEGER) AS gpu_pct, CASE WHEN event_type <> 'error' THEN CAST(event_id % 77 AS INTEGER) END AS mem_pct,
+ CAST(event_id * 3 AS INTEGER) AS vram_mb, CASE WHEN event_type <> 'view' THEN CAST(event_id % 5 AS INTEGER) END AS nvenc_sessions FROM events""")
 def gpu_csv_parse(d: Inputs) -> DataFrame:
     return documents.parse_gpu_csv(d.v_gpu_lines)
 
@@ -169,7 +169,7 @@ def safe_id(d: Inputs) -> DataFrame:
     return d.v_catalog.select("page_id", text.safe_id(text.file_stem(F.col("path"))).alias("video_id"))
 
 
-@query("SELECT file_id, num, den, round(fps, 6) AS fps, rate_text, is_ntsc, is_ntsc30, is_cfr FROM probe_rates", name="rates")
+@query("SELECT file_id, CAST(num AS INTEGER) AS num, CAST(den AS INTEGER) AS den, round(fps, 6) AS fps, rate_text, is_ntsc, is_ntsc30, is_cfr FROM probe_rates", name="rates")
 def rate_features(d: Inputs) -> DataFrame:
     rows = rates.add_rates(d.v_probe)
     return rows.select(
@@ -224,7 +224,7 @@ def frame_cadence(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT video_id, probe_parity, parity, from_ntsc, probe_parity <> 'auto' AND parity <> 'auto' AND probe_parity <> parity AS parity_mismatch FROM paritied""")
+SELECT CAST(video_id AS INTEGER) AS video_id, probe_parity, parity, from_ntsc, probe_parity <> 'auto' AND parity <> 'auto' AND probe_parity <> parity AS parity_mismatch FROM paritied""")
 def parity(d: Inputs) -> DataFrame:
     counts = cadence.frame_counts(d.v_frames)
     rows = detection.add_parity(rates.add_rates(d.v_video).join(counts, "video_id"))
@@ -239,7 +239,7 @@ def reconcile(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT video_id, progressive, interlaced, tff, round(cadence_rate, 6) AS cadence_rate, round(i_in_cadence, 6) AS i_in_cadence,
+SELECT CAST(video_id AS INTEGER) AS video_id, progressive, interlaced, tff, round(cadence_rate, 6) AS cadence_rate, round(i_in_cadence, 6) AS i_in_cadence,
  parity_mismatch, content_type, round(confidence, 6) AS confidence, branch FROM classed""")
 def classify(d: Inputs) -> DataFrame:
     return detection.detect(d.v_frames, d.v_video).select(
@@ -248,7 +248,7 @@ def classify(d: Inputs) -> DataFrame:
     )
 
 
-@query("SELECT video_id, content_type, plan_mode AS mode, filter_graph, out_num, out_den FROM restored")
+@query("SELECT CAST(video_id AS INTEGER) AS video_id, content_type, plan_mode AS mode, filter_graph, out_num, out_den FROM restored")
 def restore_plan(d: Inputs) -> DataFrame:
     planned = detection.add_restore(detection.detect(d.v_frames, d.v_video.drop("mode")))
     return planned.select("video_id", "content_type", "mode", "filter_graph", "out_num", "out_den")
@@ -275,7 +275,7 @@ def gates(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT video_id, cq, sample_idx, mean, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id, cq ORDER BY mean, sample_idx) AS rank
+SELECT video_id, cq, sample_idx, mean, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id, cq ORDER BY mean, sample_idx) AS rank
  FROM (SELECT video_id, cq, sample_idx, round(avg(score), 9) AS mean, count(*) AS n FROM v_scores GROUP BY video_id, cq, sample_idx) s) t WHERE rank <= 3""")
 def sample_outliers(d: Inputs) -> DataFrame:
     worst = quality.sample_outliers(d.v_scores)
@@ -317,7 +317,7 @@ def bisect_trace(d: Inputs) -> DataFrame:
     return search.bisect_trace(levels, default_ranges(d.v_scores)).drop("measured")
 
 
-@query("SELECT video_id, i AS sample_idx, round(start_s, 6) AS start_s, round(length_s, 6) AS length_s FROM drawn")
+@query("SELECT video_id, CAST(i AS INTEGER) AS sample_idx, round(start_s, 6) AS start_s, round(length_s, 6) AS length_s FROM drawn")
 def sample_windows(d: Inputs) -> DataFrame:
     drawn = sampling.sample_windows(d.v_durations, uniform=sampling.modular_uniform)
     return drawn.select("video_id", "sample_idx", r("start_s"), r("length_s"))
@@ -339,7 +339,7 @@ SELECT w.video_id, i AS sample_idx, ceil(start_s * fps) AS first_frame, ceil((st
 
 
 @query(f"""
-SELECT f.video_id, s.sample_idx, f.frame_idx, f.flag FROM v_frames f JOIN ({_SPANS}) s
+SELECT f.video_id, CAST(s.sample_idx AS INTEGER) AS sample_idx, f.frame_idx, f.flag FROM v_frames f JOIN ({_SPANS}) s
  ON f.video_id = s.video_id AND f.frame_idx BETWEEN s.first_frame AND s.last_frame""")
 def window_frames(d: Inputs) -> DataFrame:
     streams = d.v_video.select("video_id", "r_frame_rate", "avg_frame_rate")
@@ -394,7 +394,7 @@ def episode_chapters(d: Inputs) -> DataFrame:
 @query("""
 SELECT *, round(100e0 * wall_ms / total_ms, 6) AS total_pct FROM (SELECT video_id, phase, e - b AS wall_ms, queue_ms, run_ms, ops,
  max(e) OVER (PARTITION BY video_id) - min(b) OVER (PARTITION BY video_id) AS total_ms
- FROM (SELECT video_id, phase, min(start_ms - wait_ms) AS b, max(start_ms + hold_ms) AS e, sum(wait_ms) AS queue_ms, sum(hold_ms) AS run_ms, count(*) AS ops
+ FROM (SELECT video_id, phase, min(start_ms - wait_ms) AS b, max(start_ms + hold_ms) AS e, CAST(sum(wait_ms) AS BIGINT) AS queue_ms, CAST(sum(hold_ms) AS BIGINT) AS run_ms, count(*) AS ops
   FROM phased GROUP BY video_id, phase) p) q""")
 def time_card(d: Inputs) -> DataFrame:
     card = usage.time_card(d.v_ops)
@@ -403,21 +403,22 @@ def time_card(d: Inputs) -> DataFrame:
 
 @query("""
 SELECT video_id, regexp_replace(op, '\\.cq[0-9]+$', '') AS op, TRY_CAST(regexp_extract(op, '\\.cq([0-9]+)$', 1) AS INTEGER) AS cq, count(*) AS n,
- round(avg(wait_ms), 6) AS wait_avg, max(wait_ms) AS wait_max, sum(wait_ms) AS wait_sum, round(avg(hold_ms), 6) AS hold_avg, max(hold_ms) AS hold_max,
- sum(hold_ms) AS hold_sum, count(*) FILTER (alt_index > 0) AS fallbacks FROM v_level_ops GROUP BY ALL""")
+ round(avg(wait_ms), 6) AS wait_avg, max(wait_ms) AS wait_max, CAST(sum(wait_ms) AS BIGINT) AS wait_sum, round(avg(hold_ms), 6) AS hold_avg, max(hold_ms) AS hold_max,
+ CAST(sum(hold_ms) AS BIGINT) AS hold_sum, count(*) FILTER (alt_index > 0) AS fallbacks FROM v_level_ops GROUP BY ALL""")
 def op_stats(d: Inputs) -> DataFrame:
     s = usage.op_stats(d.v_level_ops)
     return s.select(*[r(c) if c.endswith("_avg") else c for c in s.columns])
 
 
 @query("""
-SELECT video_id, sum(cpu_ms) AS cpu_ms, sum(nvenc_ms) AS nvenc_ms, sum(nvdec_ms) AS nvdec_ms, sum(cuda_ms) AS cuda_ms FROM shares GROUP BY ROLLUP (video_id)""")
+SELECT video_id, CAST(sum(cpu_ms) AS BIGINT) AS cpu_ms, CAST(sum(nvenc_ms) AS BIGINT) AS nvenc_ms, CAST(sum(nvdec_ms) AS BIGINT) AS nvdec_ms,
+ CAST(sum(cuda_ms) AS BIGINT) AS cuda_ms FROM shares GROUP BY ROLLUP (video_id)""")
 def resource_share(d: Inputs) -> DataFrame:
     return usage.resource_totals(usage.resource_share(d.v_ops))
 
 
 @query("""
-SELECT resource, least(rank, 6) AS rank, CASE WHEN rank <= 5 THEN CAST(min(video_id) AS VARCHAR) ELSE 'others' END AS video, count(*) AS videos, sum(ms) AS ms,
+SELECT resource, CAST(least(rank, 6) AS INTEGER) AS rank, CASE WHEN rank <= 5 THEN CAST(min(video_id) AS VARCHAR) ELSE 'others' END AS video, count(*) AS videos, CAST(sum(ms) AS BIGINT) AS ms,
  round(100e0 * sum(ms) / any_value(total), 6) AS pct FROM share_rows GROUP BY resource, least(rank, 6), rank <= 5""")
 def resource_top(d: Inputs) -> DataFrame:
     top = usage.resource_top(usage.resource_share(d.v_ops))
@@ -425,7 +426,7 @@ def resource_top(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT video_id, rank, wait_ms FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY wait_ms DESC, start_ms, op, hold_ms, cpu) AS rank
+SELECT video_id, CAST(rank AS INTEGER) AS rank, wait_ms FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY wait_ms DESC, start_ms, op, hold_ms, cpu) AS rank
  FROM v_ops WHERE wait_ms > 0) w WHERE rank <= 3""")
 def top_waits(d: Inputs) -> DataFrame:
     return usage.top_waits(d.v_ops).select("video_id", "rank", "wait_ms")
@@ -445,8 +446,8 @@ def held_ops(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT t.tick_id, count(o.op) AS held_ops, coalesce(sum(o.cpu), 0) AS held_cpu, coalesce(sum(o.nvenc), 0) AS held_nvenc, coalesce(sum(o.nvdec), 0) AS held_nvdec,
- coalesce(sum(o.cuda), 0) AS held_cuda FROM v_ticks t LEFT JOIN v_ops o ON t.tick_ms >= o.start_ms AND t.tick_ms < o.start_ms + o.hold_ms GROUP BY t.tick_id""")
+SELECT t.tick_id, count(o.op) AS held_ops, CAST(coalesce(sum(o.cpu), 0) AS BIGINT) AS held_cpu, CAST(coalesce(sum(o.nvenc), 0) AS BIGINT) AS held_nvenc, CAST(coalesce(sum(o.nvdec), 0) AS BIGINT) AS held_nvdec,
+ CAST(coalesce(sum(o.cuda), 0) AS BIGINT) AS held_cuda FROM v_ticks t LEFT JOIN v_ops o ON t.tick_ms >= o.start_ms AND t.tick_ms < o.start_ms + o.hold_ms GROUP BY t.tick_id""")
 def held_load(d: Inputs) -> DataFrame:
     run = F.lit(0).alias("run_id")
     at = d.v_ticks.select(run, "tick_id", "tick_ms")
@@ -513,7 +514,7 @@ def recent(d: Inputs) -> DataFrame:
 
 
 @query("""
-SELECT video_id, idx - 1 AS line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM (
+SELECT video_id, CAST(idx - 1 AS INTEGER) AS line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM (
  SELECT video_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS idx FROM (SELECT video_id, string_split(log, chr(10)) AS parts FROM v_logs) p) l
 WHERE contains(lower(line), 'license')""")
 def log_warnings(d: Inputs) -> DataFrame:
@@ -569,36 +570,35 @@ def run_outcomes(d: Inputs) -> DataFrame:
     return outcome.run_outcomes(outcome.combine_results(done, todo))
 
 
-@query("""
-SELECT r.video_id, r.content_type, r.plan_mode AS mode, p.cq AS final_cq, p.fell_short, g.outcome,
- CASE WHEN g.outcome = 'fell_back' THEN 'passthrough' WHEN p.fell_short OR abs(p.mean - 97) < 0.5e0 OR abs(p.p05 - 95) < 0.5e0 OR abs(p.p01 - 90) < 0.5e0 THEN 'marginal' ELSE 'ok' END AS level,
- s.cpu_ms, t.totals_agree
-FROM restored r
-LEFT JOIN (SELECT * FROM (SELECT l.*, NOT bool_or(l.passed) OVER (PARTITION BY l.video_id) AS fell_short,
-   row_number() OVER (PARTITION BY l.video_id ORDER BY l.passed DESC, CASE WHEN l.passed THEN l.cq END DESC NULLS LAST, l.mean DESC, l.cq) AS choice
-   FROM gated l JOIN search q ON q.video_id = l.video_id AND q.cq = l.cq) z WHERE choice = 1) p ON p.video_id = r.video_id
-LEFT JOIN (SELECT z.video_id, CASE WHEN encoded_bytes < input_bytes THEN 'kept_smaller' WHEN r2.plan_mode <> 'none' THEN 'kept_restored'
-   WHEN passthrough_bytes >= encoded_bytes THEN 'kept' ELSE 'fell_back' END AS outcome FROM v_sizes z JOIN restored r2 ON r2.video_id = z.video_id) g ON g.video_id = r.video_id
-LEFT JOIN shares s ON s.video_id = r.video_id
-LEFT JOIN (SELECT m.video_id, coalesce(abs(m.progressive - t.progressive) <= 1 AND abs(m.tff - t.tff) <= 1 AND abs(m.bff - t.bff) <= 1
-   AND abs(m.undetermined - t.undetermined) <= 1, true) AS totals_agree FROM metrics m LEFT JOIN v_totals t USING (video_id)) t ON t.video_id = r.video_id""")
-def video_summary(d: Inputs) -> DataFrame:
+def _summaries(d: Inputs) -> DataFrame:
     # Every video gets the UHD range here, as in the search queries.
-    streams = d.v_video.drop("mode").withColumns(
+    streams_ = d.v_video.drop("mode").withColumns(
         {
             "width": F.lit(3840), "height": F.lit(2160),
             "pix_fmt": F.lit("yuv420p10le"), "color_transfer": F.lit("bt709"),
         }
     )
-    rows = flows.compress_summary(
-        streams, d.v_frames, d.v_scores, d.v_sizes.drop("mode"), totals=d.v_totals, ops=d.v_ops
+    return flows.compress_summary(
+        streams_, d.v_frames, d.v_scores, d.v_sizes.drop("mode"), totals=d.v_totals, ops=d.v_ops
     )
-    return rows.select(
+
+
+@query("SELECT CAST(video_id AS INTEGER) AS video_id, content_type, mode, final_cq, fell_short, outcome, level, cpu_ms, totals_agree FROM summarised")
+def video_summary(d: Inputs) -> DataFrame:
+    return _summaries(d).select(
         "video_id", "detection.content_type", "restore.mode", "final_cq", "tuning.fell_short", "size_guard.outcome",
         "level", "resource_share.cpu_ms", "detection.totals_agree",
     )
 
 
+@query("""
+SELECT CAST(video_id AS INTEGER) AS video_id, concat_ws(',', CASE WHEN undetermined_share > 0.02e0 THEN 'undetermined_high' END, CASE WHEN parity_mismatch THEN 'parity_mismatch' END,
+ CASE WHEN NOT totals_agree THEN 'totals_disagree' END, CASE WHEN is_marginal THEN 'marginal' END, CASE WHEN outcome <> 'kept_smaller' THEN outcome END) AS warnings FROM summarised""")
+def video_warnings(d: Inputs) -> DataFrame:
+    found = decisions.video_warnings(_summaries(d))
+    return found.select("video_id", F.concat_ws(",", F.transform("warnings", lambda w: w["code"])).alias("warnings"))
+
+
 # --- streams: the table is read as a stream, run to its end, and the result is checked like a batch ---
 
 

@@ -1,11 +1,12 @@
 """Verification, size guard, resume, totals and the summary row."""
 
 import json
+from datetime import datetime
 
 from conftest import rows
 from pyspark.sql import functions as F
 
-from reelmetrics.operators import outcome
+from reelmetrics.operators import decisions, outcome
 from reelmetrics.plans import flows
 from reelmetrics.plans.views import view
 from reelmetrics.sources import readers, writers
@@ -94,6 +95,25 @@ def test_summary_row_goes_out_and_comes_back(spark, small, tmp_path):
     assert todo.count() == 6 and done.count() == 4
 
 
+def test_warnings_decisions_and_run_row(spark, small, tmp_path):
+    get = lambda name: view(spark, small, name)
+    streams = get("v_video").drop("mode").withColumns({"pix_fmt": F.lit("yuv420p"), "color_transfer": F.lit(None).cast("string")})
+    summary = flows.compress_summary(streams, get("v_frames"), get("v_scores"), get("v_sizes").drop("mode"), totals=get("v_totals")).cache()
+    found = {r["video_id"]: r for r in rows(decisions.video_warnings(summary))}
+    assert "undetermined_high" in [w["code"] for w in found[9]["warnings"]]
+    assert all(r["count"] == len(r["warnings"]) for r in found.values())
+    writers.write_events(decisions.decision_events(summary, "r1"), str(tmp_path / "events"))
+    back = rows(spark.read.json(str(tmp_path / "events")))
+    assert {r["run_id"] for r in back} == {"r1"} and len({r["file"] for r in back}) == 10
+    assert len([r for r in back if r["op"] == "detection" and r["level"] == "Information"]) == 10
+    assert len([r for r in back if r["level"] == "Warning"]) >= sum(r["count"] for r in found.values())
+    results = summary.select(
+        F.lit(None).cast("string").alias("error"), F.lit(False).alias("resumed"), "verification.passed", "size_guard.fell_back", "tuning.is_marginal"
+    ).withColumnRenamed("passed", "verify_passed")
+    (run,) = rows(flows.run_summary(results, "r1", datetime(2024, 1, 1)))
+    assert run["outcomes"]["videos"] == 10 and run["config"]["uhd_range"] == [25, 55] and run["finished"] is None
+
+
 def test_other_sinks(spark, tmp_path):
     events = spark.createDataFrame([("r1", "f1", "x"), ("r1", "f2", None)], "run_id STRING, file STRING, message STRING")
     writers.write_events(events, str(tmp_path / "events"), by_video=True)
