@@ -11,6 +11,11 @@ from reelmetrics.settings import DEFAULTS, Settings
 # Fixed value: above this share of undetermined frames a video is flagged.
 UNDETERMINED_WARN = 0.02
 SPAN = 5
+# Frame codes: one small number goes through the shuffle instead of a text, and the sum over
+# five frames modulo FIELD tells how many of them are progressive (1 each) and interlaced (8 each).
+FIELD = 64
+CODES = {"progressive": 1, "tff": 8, "bff": 8 + FIELD, "undetermined": 0}
+MATCH = 3 * CODES["progressive"] + 2 * CODES["tff"]
 
 
 def _share(part: Column, whole: Column, empty: float) -> Column:
@@ -38,6 +43,32 @@ def _counts() -> list[Column]:
     return [*known, other.alias("undetermined")]
 
 
+def _look_ahead(rows: DataFrame, *keys: str) -> DataFrame:
+    """Adds span (the codes of this and the next four frames added up), centre and is_head.
+
+    The span is null where fewer than four frames follow.  Plain look-ahead is several
+    times cheaper here than aggregates over a moving frame.
+    """
+    order = Window.partitionBy(*keys).orderBy("frame_idx")
+    following = [F.lead("code", n).over(order).alias(f"__f{n}") for n in range(1, SPAN)]
+    seen = rows.select("*", *following, F.lag("code", SPAN - 1).over(order).isNull().alias("is_head"))
+    span = F.col("code")
+    for n in range(1, SPAN):
+        span = span + F.col(f"__f{n}")
+    return seen.withColumns({"span": span, "centre": F.col(f"__f{SPAN // 2}")}).drop(*[f"__f{n}" for n in range(1, SPAN)])
+
+
+def _tallies(counted: Column) -> dict[str, Column]:
+    """What to count among the rows that open a whole window."""
+    hit, centred = F.col("span") % FIELD == MATCH, F.col("centre") >= CODES["tff"]
+    return {
+        "windows": counted,
+        "matches": counted & hit,
+        "centres": counted & centred,
+        "centre_matches": counted & centred & hit,
+    }
+
+
 def frame_counts(frames: DataFrame) -> DataFrame:
     """One row per video: frames by flag and the shares derived from them."""
     return _derived(frames.groupBy("video_id").agg(*_counts()))
@@ -54,58 +85,25 @@ def frame_metrics(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
     settled there; the at most eight frames at a slice's two ends go on to a second,
     tiny pass that settles the windows crossing slice borders.
     """
-    is_p = (F.col("flag") == "progressive").cast("int")
-    is_i = F.col("flag").isin("tff", "bff").cast("int")
-    rows = with_slice(frames.select("video_id", "frame_idx", "flag"), "frame_idx", settings.frame_slice)
-    rows = rows.withColumns({"p": F.coalesce(is_p, F.lit(0)), "i": F.coalesce(is_i, F.lit(0))})
-
-    inside = Window.partitionBy("video_id", SLICE).orderBy("frame_idx")
-    ahead = inside.rowsBetween(0, SPAN - 1)
-    viewed = rows.select(
-        "video_id", SLICE, "frame_idx", "flag", "p", "i",
-        F.count(F.lit(1)).over(ahead).alias("seen"),
-        F.sum("p").over(ahead).alias("np"),
-        F.sum("i").over(ahead).alias("ni"),
-        F.lead("i", SPAN // 2).over(inside).alias("centre"),
-        F.count(F.lit(1)).over(inside.rowsBetween(-(SPAN - 1), 0)).alias("behind"),
-    )
-    full, hit, centred = F.col("seen") == SPAN, (F.col("np") == 3) & (F.col("ni") == 2), F.col("centre") == 1
-    tallies = {
-        "windows": F.count_if(full),
-        "matches": F.count_if(full & hit),
-        "centres": F.count_if(full & centred),
-        "centre_matches": F.count_if(full & centred & hit),
-    }
-    at_edge = F.when(
-        (F.col("seen") < SPAN) | (F.col("behind") < SPAN),
-        F.struct("frame_idx", "p", "i", (F.col("seen") < SPAN).alias("open")),
-    )
-    names = ["progressive", "tff", "bff", "undetermined", *tallies]
+    flag = F.col("flag")
+    code = F.when(flag == "progressive", CODES["progressive"]).when(flag == "tff", CODES["tff"]).when(flag == "bff", CODES["bff"])
+    rows = frames.select("video_id", "frame_idx", code.otherwise(CODES["undetermined"]).alias("code"))
+    rows = with_slice(rows, "frame_idx", settings.frame_slice)
+    viewed = _look_ahead(rows, "video_id", SLICE)
+    is_open = F.col("span").isNull()
+    tallies = _tallies(~is_open)
+    at_edge = F.when(is_open | F.col("is_head"), F.struct("frame_idx", "code", is_open.alias("open")))
+    tallies = {name: F.col("code") == code for name, code in CODES.items()} | tallies
+    names = list(tallies)
     slices = viewed.groupBy("video_id", SLICE).agg(
-        *_counts(), *[t.alias(n) for n, t in tallies.items()], F.collect_list(at_edge).alias("edge")
+        *[F.count_if(t).alias(n) for n, t in tallies.items()], F.collect_list(at_edge).alias("edge")
     )
     # Each slice's tallies travel with its first edge frame only.
     edges = slices.select("video_id", *names, F.posexplode("edge")).select(
-        "video_id", "col.frame_idx", "col.p", "col.i", "col.open",
-        *[F.when(F.col("pos") == 0, F.col(n)).otherwise(F.lit(0)).alias(n) for n in names],
-    )
-    whole = Window.partitionBy("video_id").orderBy("frame_idx")
-    ahead = whole.rowsBetween(0, SPAN - 1)
-    edges = edges.withColumns(
-        {
-            "seen": F.count(F.lit(1)).over(ahead),
-            "np": F.sum("p").over(ahead),
-            "ni": F.sum("i").over(ahead),
-            "centre": F.lead("i", SPAN // 2).over(whole),
-        }
+        "video_id", "col.*", *[F.when(F.col("pos") == 0, F.col(n)).otherwise(F.lit(0)).alias(n) for n in names],
     )
-    full = full & F.col("open")
-    crossing = {
-        "windows": full,
-        "matches": full & hit,
-        "centres": full & centred,
-        "centre_matches": full & centred & hit,
-    }
+    crossing = _tallies(F.col("open") & F.col("span").isNotNull())
+    edges = _look_ahead(edges, "video_id")
     sums = [(F.sum(n) + F.count_if(crossing[n])).alias(n) if n in crossing else F.sum(n).alias(n) for n in names]
     summed = edges.groupBy("video_id").agg(*sums)
     return _derived(summed).withColumns(
@@ -113,4 +111,4 @@ def frame_metrics(frames: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
             "cadence_rate": _share(F.col("matches"), F.col("windows"), 0.0),
             "i_in_cadence": _share(F.col("centre_matches"), F.col("centres"), 0.0),
         }
-    ).drop(*tallies)
+    ).drop(*crossing)
