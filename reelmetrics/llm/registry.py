@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reelmetrics.llm import simhash
+from reelmetrics.llm import mixing, packing, simhash
 from reelmetrics.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,7 +19,28 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def tokenizer_path() -> str:
+    """Place of the public vocabulary that packing counts tokens with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in a mix of the sources, weighted by their volume to the power 0.7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("chars"))
+    mixed = mixing.mix(docs, size=F.col("chars"))
+    return mixed.select("row.doc_id", "row.source", "block", "start", "release", "slot", "deadline", "phase", "in_mix")
+
+
 @query
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 4096 tokens and its place in it."""
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), 4096), 4096)
