@@ -147,10 +147,10 @@ def mix(
     if not volume[-1] and all_:  # without this, a group of no documents would take part
         blocks[-1] = int(bool(rows.where(F.col("source_group") == rest).take(1)))
     plan = [(r.source, r.phase, r.first, r.first + r.count, r.share, r.base, r.slots, r.weight >= enough) for r in phases(blocks, weight, period) if r.count]
-    runs = docs.sparkSession.createDataFrame(plan, "source_group int, phase int, first long, after long, share long, base long, slots array<int>, in_mix boolean")
+    runs = docs.sparkSession.createDataFrame(plan, "source_group int, phase int, begin long, after long, share long, base long, slots array<int>, in_mix boolean")
     # At most max_sources phases of `period` slots in all: a few MB.
-    placed = placed.join(F.broadcast(runs), (placed.source_group == runs.source_group) & (placed.block >= runs.first) & (placed.block < runs.after)).drop(runs.source_group)
-    return placed.withColumn("nth", F.col("block") - F.col("first")).select(
+    placed = placed.join(F.broadcast(runs), (placed["source_group"] == runs["source_group"]) & (placed["block"] >= runs["begin"]) & (placed["block"] < runs["after"])).drop(runs["source_group"])
+    return placed.withColumn("nth", F.col("block") - F.col("begin")).select(
         "row",
         "source_group",
         "block",
