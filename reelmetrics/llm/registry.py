@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import mixing, packing, simhash
-from reelmetrics.llm.common import table
+from reelmetrics.llm import language, mixing, packing, simhash
+from reelmetrics.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -44,3 +44,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of at most 4096 tokens and its place in it."""
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), 4096), 4096)
+
+
+#: Folds by id whose documents language identification does not learn from.
+LANGUAGE_FOLDS = 5
+
+
+@query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of every document, learned from those outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), LANGUAGE_FOLDS) == 0
+    model = language.learn(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.mixture_of(docs["text"], model, spark).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.languages", "found.fits")
