@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import language, mixing, packing, simhash
+from reelmetrics.llm import language, mixing, packing, pseudonyms, simhash
 from reelmetrics.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Stands for a secret, which a user passes.
+PSEUDONYM_KEY = "not a secret"
+
+
+@query
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms for personal data, and where they are."""
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", pseudonyms.pseudonyms_of(docs["text"], PSEUDONYM_KEY).alias("found"))
+    return found.select("doc_id", "found.text", F.size("found.spans").alias("n_replaced"), "found.spans")
+
+
 @query
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of at most 4096 tokens and its place in it."""
