@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import language, mixing, packing, pseudonyms, simhash
-from reelmetrics.llm.common import fold, table
+from reelmetrics.llm import language, mixing, packing, pseudonyms, simhash, warc
+from reelmetrics.llm.common import fold, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -52,6 +52,14 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.text", F.size("found.spans").alias("n_replaced"), "found.spans")
 
 
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives that it was written to."""
+    folder = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, shard_bytes=32 << 20, file_bytes=8 << 20)
+    return warc.read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
+
+
 @query
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of at most 4096 tokens and its place in it."""
