@@ -7,9 +7,11 @@ Spark numbers the pieces of each length and looks up what recipe a number falls
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,8 +23,13 @@ from pyspark.sql import functions as F
 from reelmetrics.llm.common import kept
 
 END = 1
-#: Rows tokenised together; words remembered, and the longest of them.
-SLICE, MEMO, MEMO_BYTES = 256, 400_000, 64
+#: Rows tokenised together.
+SLICE = 256
+#: Words and parts of words remembered, and the most bytes of each.
+WORDS, PARTS, LONGEST = 400_000, 400_000, 64
+_WORD = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
+#: Letters below the first have no marks to compose and, but for the second, one letter as their lower case.
+_LATIN, _DOTTED = "\u0250", "\u0130"
 #: Pieces of one length that are numbered in one group, about.
 SLICE_ROWS = 50_000
 
@@ -36,27 +43,68 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Encoder:
-    """Token ids of texts as little-endian bytes. The tokenizer splits at white space first, so words are encoded one by one and remembered."""
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b if b in seen else next(others)) for b in range(256)]
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer, self.memo = _tokenizer(path), {}
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        return {w: np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+class _Memo(dict):
+    """Remembers what `make` gives for keys that are not long."""
+
+    def __init__(self, make: Callable[[bytes], bytes], most: int) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
 
-    def texts(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        for words in split:
-            long = {}
-            if missing := [w for w in set(words) if w not in memo]:
-                found = self._learn(missing)
-                long = {w: i for w, i in found.items() if len(w) > MEMO_BYTES}
-                memo.update((w, i) for w, i in found.items() if len(w) <= MEMO_BYTES)
-            yield b"".join([memo[w] for w in words]) if not long else b"".join([memo[w] if w in memo else long[w] for w in words])
+class _Encoder:
+    """Token ids of texts as little-endian bytes.
+
+    The tokenizer splits at white space first, and then between letters and what is neither letter nor digit. So words are
+    encoded one by one and remembered, those made of letters and punctuation as the ids of both parts. Latin letters,
+    which it only puts into lower case, can go to its merges at once.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = _tokenizer(path)
+        self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.words, self.parts = _Memo(self._word, WORDS), _Memo(self._part, PARTS)
+
+    def _part(self, part: bytes) -> bytes:
+        text = part.decode()
+        if text.isalpha() and max(text) < _LATIN and _DOTTED not in text:
+            mapped = text if text.isascii() else "".join([self.letters[b] for b in part])
+            ids = [t.id for t in self.merges(mapped)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: bytes) -> bytes:
+        match = _WORD.fullmatch(word)
+        if not match:
+            return self.parts[word]
+        head, tail = match.groups()
+        if head.isalpha():  # of ASCII letters
+            head = head.lower()
+        else:
+            text = head.decode()
+            if not text.isalpha():
+                return self.parts[word]
+            if max(text) < _LATIN and _DOTTED not in text:
+                head = text.lower().encode()
+        return self.parts[head] + self.parts[tail] if tail else self.parts[head]
+
+    def text(self, text: str | None) -> bytes:
+        return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
 
 
 def _piece_batches(path: str, capacity: int, with_ids: bool):
@@ -66,8 +114,8 @@ def _piece_batches(path: str, capacity: int, with_ids: bool):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 keys, rows = batch.column(0).slice(at, SLICE).to_pylist(), []
-                for key, ids in zip(keys, encoder.texts(batch.column(1).slice(at, SLICE).to_pylist()), strict=True):
-                    ids += end
+                for key, text in zip(keys, batch.column(1).slice(at, SLICE).to_pylist(), strict=True):
+                    ids = encoder.text(text) + end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
                         rows.append((key, piece, start // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))

@@ -54,9 +54,10 @@ def test_number_of_recipes_does_not_follow_the_counts():
 
 
 def test_words_encode_like_whole_texts():
-    texts = ["", None, "Hello, world's  end\n\tÄÖß 12345 !!!", "a b c d\x1ce <|endoftext|>x ΑΣ ΣΑΣ.", "x" * 5000, "é é ́a", "'ll it's o'clock", "汉字 テスト 🙂🙂"]
+    texts = ["THAN, Than. than's than'S it''s don't, '' '' x<|ENDOFTEXT|> ÀÉ, J\u030c I\u0307 ǅ. naïve… …a éa,b", "", None, "Hello, world's  end\n\tÄÖß 12345 !!!", "a b c d\x1ce <|endoftext|>x ΑΣ ΣΑΣ.", "x" * 5000, "é é ́a", "'ll it's o'clock", "汉字 テスト 🙂🙂"]
     tokenizer = Tokenizer.from_file(PATH)
-    got = [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in packing._Encoder(PATH).texts(texts)]
+    encoder = packing._Encoder(PATH)
+    got = [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in map(encoder.text, texts)]
     assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
