@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import language, mixing, packing, pseudonyms, simhash, warc
+from reelmetrics.llm import language, mixing, packing, pseudonyms, simhash, toxicity, warc
 from reelmetrics.llm.common import fold, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,20 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), 4096), 4096)
 
 
+#: Folds by id, and the one whose labels toxicity does not learn from; scores from which a document counts as toxic.
+TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_FROM = 4, 2, 0.3
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lambda key: F.coalesce(fold(key, TOXIC_FOLDS) == TOXIC_HELD_OUT, F.lit(False))
+    classifier = toxicity.learn(docs, labels.where(~held_out(F.col("doc_id"))))
+    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity.score_of(docs["text"], classifier, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
 #: Folds by id whose documents language identification does not learn from.
 LANGUAGE_FOLDS = 5
 
@@ -74,7 +88,7 @@ LANGUAGE_FOLDS = 5
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main language of every document, learned from those outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
-    held_out = fold(F.col("doc_id"), LANGUAGE_FOLDS) == 0
+    held_out = F.coalesce(fold(F.col("doc_id"), LANGUAGE_FOLDS) == 0, F.lit(False))
     model = language.learn(docs.where(~held_out))
     found = docs.select("doc_id", held_out.alias("held_out"), language.mixture_of(docs["text"], model, spark).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.languages", "found.fits")
