@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import language, mixing, packing, pseudonyms, simhash, toxicity, warc
+from reelmetrics.llm import language, licenses, mixing, packing, pseudonyms, simhash, toxicity, warc
 from reelmetrics.llm.common import fold, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,16 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in every document, and the sentences that tell."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, " ") for c in ("sentences", "licenses")})
+
+
+CHECKS["op4_licenses"] = licenses.check_sql()
+
+
 #: Stands for a secret, which a user passes.
 PSEUDONYM_KEY = "not a secret"
 

