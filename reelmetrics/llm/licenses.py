@@ -198,17 +198,17 @@ WITH known(form, name) AS (VALUES {names}),
 cut AS (
   SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\f\\r\\x0B]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
 ),
-forms AS (SELECT r, generate_subscripts(parts, 1) AS at, trim(lower(regexp_replace(unnest(parts), '[^A-Za-z0-9]+', ' ', 'g'))) AS form FROM cut),
+forms AS (SELECT r, generate_subscripts(parts, 1) AS nth, trim(lower(regexp_replace(unnest(parts), '[^A-Za-z0-9]+', ' ', 'g'))) AS form FROM cut),
 seen AS (
-  SELECT r, list(name ORDER BY at) FILTER (name IS NOT NULL) AS names, count(*) FILTER (name IS NULL AND regexp_matches(form, {quote(_HINT)})) AS n_unknown
+  SELECT r, list(name ORDER BY nth) FILTER (name IS NOT NULL) AS names, count(*) FILTER (name IS NULL AND regexp_matches(form, {quote(_HINT)})) AS n_unknown
   FROM forms LEFT JOIN known USING (form) GROUP BY r
 ),
 r0 AS (SELECT doc_id, coalesce(names, []) AS sentences, n_unknown, CASE WHEN names IS NULL THEN '' ELSE ' ' || array_to_string(names, '  ') || ' ' END AS s0 FROM cut JOIN seen USING (r)),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(sentences, ' ') AS sentences,
-  array_to_string(list_transform(list_filter(list_transform([{hits}], (x, i) -> CASE WHEN x IS NOT NULL AND list_position([{hits}], x) = i THEN x END), x -> x IS NOT NULL), x -> x), ' ') AS licenses,
+  array_to_string([x FOR x, i IN [{hits}] IF x IS NOT NULL AND list_position([{hits}], x) = i], ' ') AS licenses,
   CAST({" + ".join(counts)} AS INTEGER) AS n_matches,
-  CAST(len(list_filter(string_split({rest}, ' '), x -> x <> '' AND x <> '*')) AS INTEGER) AS n_unmatched,
+  CAST(len([x FOR x IN string_split({rest}, ' ') IF x <> '' AND x <> '*']) AS INTEGER) AS n_unmatched,
   CAST(n_unknown AS INTEGER) AS n_unknown
 FROM r{len(RULES)}
 """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import language, licenses, mixing, packing, pseudonyms, simhash, toxicity, warc
+from reelmetrics.llm import decision_list, language, licenses, mixing, packing, pseudonyms, simhash, toxicity, warc
 from reelmetrics.llm.common import fold, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics of every document, and whether the learned rules keep it."""
+    stats = decision_list.describe(table(spark, sf_dir, "documents"))
+    return decision_list.judge(stats, decision_list.learn(stats, table(spark, sf_dir, "labels")))
+
+
 @query
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence of at most 4096 tokens and its place in it."""
