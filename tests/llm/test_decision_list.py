@@ -60,7 +60,7 @@ def test_covering_finds_planted_rules():
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    rows = [(i, " ".join(f"w{RNG.randrange(10**6)}{'***' if i % 4 == 0 else ''}" for _ in range(30)), 1) for i in range(200)]
+    rows = [(i, " ".join(f"w{RNG.randrange(10**5):05d}{'abc' if i % 4 else '***'}" for _ in range(30)), 1) for i in range(200)]
     labels = [(i, int(i % 4 != 0), 1) for i in range(160)] + [(None, 0, 1), (1, None, 1), (2, 5, 1), (4, 0, 1), (10**6, 0, 1)]
     return spark.createDataFrame(rows, "doc_id long, text string, rule int"), spark.createDataFrame(labels, "doc_id long, quality int, text int")
 
