@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import decision_list, language, licenses, mixing, packing, pseudonyms, simhash, toxicity, warc
+from reelmetrics.llm import covertree, decision_list, language, licenses, mixing, packing, pseudonyms, simhash, toxicity, warc
 from reelmetrics.llm.common import fold, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate group of every embedding."""
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences named in every document, and the sentences that tell."""

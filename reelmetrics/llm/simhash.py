@@ -22,8 +22,9 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from reelmetrics.llm.common import components, kept
 
@@ -58,18 +59,17 @@ def fingerprint_bytes(text: str | None) -> bytes:
     return np.packbits(2 * counts > len(table)).tobytes()
 
 
-def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = []
-        for at in range(0, batch.num_rows, SLICE):
-            found += [fingerprint_bytes(t) for t in batch.column(1).slice(at, SLICE).to_pylist()]
-        bits = np.frombuffer(b"".join(found), ">u8").astype(np.uint64)
-        yield pa.record_batch([batch.column(0), pa.array(bits.view(np.int64))], ["id", "bits"])
+@F.arrow_udf(LongType())
+def fingerprint_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The fingerprints of a column of texts, as signed longs. A null text counts as empty."""
+    for column in columns:
+        found = [fingerprint_bytes(t) for at in range(0, len(column), SLICE) for t in column.slice(at, SLICE).to_pylist()]
+        yield pa.array(np.frombuffer(b"".join(found), ">u8").astype(np.uint64).view(np.int64))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id (long) and bits, the fingerprint as a signed long. A null text counts as empty."""
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_fingerprint_batches, "id long, bits long")
+    """One row per document: id (long) and bits, its fingerprint."""
+    return docs.select(F.col(key).cast("long").alias("id"), fingerprint_of(docs[text]).alias("bits"))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -320,3 +320,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
         "component_id",
         F.expr("id <=> component_id").alias("kept"),
     )
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
+    """The rows of `docs` with one document left of each group, the one with the least id; all columns stay, whatever they are called.
+
+    Of rows that repeat an id the first by the text's hash stays, if its text is in the group that the id stands for.
+    """
+    found = near_duplicates(docs, key, text, bits)
+    print_ = F.min(F.when(F.col("kept"), F.col("fingerprint")))
+    chosen = kept(found.groupBy("doc_id").agg(F.count("*").alias("n"), print_.alias("print")).where("print is not null").select(F.col("doc_id").alias("_chosen"), "n", "print"))
+    same = docs[key].cast("long").eqNullSafe(F.col("_chosen"))
+    once = docs.join(chosen.where("n = 1"), same, "left_semi")
+    repeated = chosen.where("n > 1")
+    if repeated.isEmpty():
+        return once
+    rows = docs.join(repeated, same).select("_chosen", "print", F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs[text]).alias("hash"))
+    rows = rows.where(F.conv(F.col("print"), 16, -10).cast("long") == fingerprint_of(F.col("row")[text]))
+    first = F.row_number().over(Window.partitionBy("_chosen").orderBy("hash"))
+    return once.unionByName(rows.withColumn("first", first).where("first = 1").select("row.*"))
