@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "__slice"
+# The keys in a struct: never null itself, and equal where the keys are equal or both null.
+KEY = "__key"
 
 
 def with_slice(rows: DataFrame, order: str, width: int) -> DataFrame:
@@ -33,10 +35,11 @@ def ordered_scan(
 
     `totals` maps a new column to the value summed up to and including the row (null adds 0);
     `previous` and `following` map a new column to the column whose neighbouring
-    value it takes.  `order` is a non-null number, unique within `keys`; keys are not null.
+    value it takes.  `order` is a number, unique within `keys`; a null stands before all others.
+    Keys may be null: rows with null keys make up a key of their own.
     """
     totals, previous, following = dict(totals or {}), dict(previous or {}), dict(following or {})
-    sliced = with_slice(rows, order, width)
+    sliced = with_slice(rows, order, width).withColumn(KEY, F.struct(*keys))
     for name, value in totals.items():
         sliced = sliced.withColumn(f"__v_{name}", F.coalesce(value, F.lit(0)))
 
@@ -48,23 +51,23 @@ def ordered_scan(
         summaries.append(F.max_by(picked(previous), F.col(order)).alias("__last"))
     if following:
         summaries.append(F.min_by(picked(following), F.col(order)).alias("__first"))
-    across = Window.partitionBy(*keys).orderBy(SLICE)
+    across = Window.partitionBy(KEY).orderBy(SLICE)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in totals]
     if previous:
         carried.append(F.lag("__last").over(across).alias("__carry_previous"))
     if following:
         carried.append(F.lead("__first").over(across).alias("__carry_following"))
-    edges = sliced.groupBy(*keys, SLICE).agg(*summaries).select(*keys, SLICE, *carried)
+    edges = sliced.groupBy(KEY, SLICE).agg(*summaries).select(KEY, SLICE, *carried)
 
-    within = Window.partitionBy(*keys, SLICE).orderBy(order)
+    within = Window.partitionBy(KEY, SLICE).orderBy(order)
     upto = within.rowsBetween(Window.unboundedPreceding, 0)
     added = [(F.sum(f"__v_{n}").over(upto) + F.col(f"__c_{n}")).alias(n) for n in totals]
     if previous:
         added.append(F.coalesce(F.lag(picked(previous)).over(within), F.col("__carry_previous")).alias("__prev"))
     if following:
         added.append(F.coalesce(F.lead(picked(following)).over(within), F.col("__carry_following")).alias("__next"))
-    scanned = sliced.join(edges, [*keys, SLICE]).select(*rows.columns, *added)
+    scanned = sliced.join(edges, [KEY, SLICE]).select(*rows.columns, *added)
     return scanned.select(
         *rows.columns,
         *totals,

@@ -26,14 +26,16 @@ def _cell(score: Column) -> Column:
 def level_stats(scores: DataFrame) -> DataFrame:
     """Mean, harmonic mean, exact interpolated p05/p01, minimum and count per level.
 
+    A level without any score has mean, harmonic mean and minimum 0, no percentiles and count 0.  A level
+    with a score that is not a number has a count but no statistics, so that it meets no gate.
+
     The percentiles are found by rank, without bringing a level's scores together:
     equal scores are counted first (map side), counts are added up per cell, the few
     cells that hold the wanted ranks are looked up, and only their values are ordered.
     """
     counted = (
-        scores.where(F.col("score").isNotNull())
-        .groupBy(*LEVEL, F.col("score").cast("double").alias("score"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        scores.groupBy(*LEVEL, F.col("score").cast("double").alias("score"))
+        .agg(F.count("score").alias("n"))
         .withColumn("cell", _cell(F.col("score")))
     )
     cells = counted.groupBy(*LEVEL, "cell").agg(
@@ -42,6 +44,7 @@ def level_stats(scores: DataFrame) -> DataFrame:
         F.min("score").alias("low"),
         F.sum(F.when(F.col("score") > 0, F.col("n"))).alias("positive"),
         F.sum(F.when(F.col("score") > 0, F.col("n") / F.col("score"))).alias("inverse"),
+        F.max(F.coalesce(F.isnan("score"), F.lit(False))).alias("odd"),
     )
     level = Window.partitionBy(*LEVEL)
     before = level.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,12 +56,14 @@ def level_stats(scores: DataFrame) -> DataFrame:
         F.min("low").over(level).alias("min"),
         F.sum("positive").over(level).alias("positive"),
         F.sum("inverse").over(level).alias("inverse"),
+        F.max("odd").over(level).alias("odd"),
     )
     ranks = {name: (F.col("total") - 1) * F.lit(p) for name, p in PERCENTILES.items()}
     wanted = {}
     for name, rank in ranks.items():
         wanted[f"{name}_lo"], wanted[f"{name}_hi"] = F.floor(rank), F.ceil(rank)
-    in_cell = F.lit(False)
+    # An empty level has one cell, which is kept as it is.
+    in_cell = F.col("total") == 0
     for position in wanted.values():
         in_cell = in_cell | ((position >= F.col("start")) & (position < F.col("start") + F.col("c")))
     hits = cells.where(in_cell).drop("c")
@@ -73,40 +78,44 @@ def level_stats(scores: DataFrame) -> DataFrame:
         F.max(F.when((pos >= F.col("begin")) & (pos < F.col("end")), F.col("score"))).alias(name)
         for name, pos in wanted.items()
     ]
-    kept = [F.first(c).alias(c) for c in ("total", "s", "min", "positive", "inverse")]
+    kept = [F.first(c).alias(c) for c in ("total", "s", "min", "positive", "inverse", "odd")]
     found = ranked.groupBy(*LEVEL).agg(*picked, *kept)
 
     def interpolated(name: str) -> Column:
         weight = ranks[name] - F.floor(ranks[name])
         return F.col(f"{name}_lo") * (F.lit(1.0) - weight) + F.col(f"{name}_hi") * weight
 
+    zero = F.lit(0.0)
+    known = {
+        "mean": F.coalesce(F.try_divide(F.col("s"), F.col("total")), zero),
+        "harmonic": F.coalesce(F.try_divide(F.col("positive"), F.col("inverse")), zero),
+        **{name: interpolated(name) for name in PERCENTILES},
+        "min": F.coalesce("min", zero),
+    }
     return found.select(
-        *LEVEL,
-        (F.col("s") / F.col("total")).alias("mean"),
-        F.coalesce(F.try_divide(F.col("positive"), F.col("inverse")), F.lit(0.0)).alias("harmonic"),
-        *[interpolated(name).alias(name) for name in PERCENTILES],
-        "min",
-        F.col("total").alias("n"),
+        *LEVEL, *[F.when(~F.col("odd"), value).alias(name) for name, value in known.items()], F.col("total").alias("n")
     )
 
 
 def level_stats_approx(scores: DataFrame, accuracy: int = 10000) -> DataFrame:
     """The same columns in one aggregation, with approximate percentiles."""
-    s = F.col("score")
-    tails = [F.percentile_approx(s, p, accuracy).alias(name) for name, p in PERCENTILES.items()]
-    return scores.where(s.isNotNull()).groupBy(*LEVEL).agg(
-        F.avg(s).alias("mean"),
-        F.coalesce(
-            F.try_divide(F.count_if(s > 0), F.sum(F.when(s > 0, F.lit(1.0) / s))), F.lit(0.0)
-        ).alias("harmonic"),
+    s = F.col("score").cast("double")
+    fine = ~F.coalesce(F.max(F.isnan(s)), F.lit(False))
+    zero = F.lit(0.0)
+    tails = [F.when(fine, F.percentile_approx(s, p, accuracy)).alias(name) for name, p in PERCENTILES.items()]
+    harmonic = F.try_divide(F.count_if(s > 0), F.sum(F.when(s > 0, F.lit(1.0) / s)))
+    return scores.groupBy(*LEVEL).agg(
+        F.when(fine, F.coalesce(F.avg(s), zero)).alias("mean"),
+        F.when(fine, F.coalesce(harmonic, zero)).alias("harmonic"),
         *tails,
-        F.min(s).alias("min"),
+        F.when(fine, F.coalesce(F.min(s), zero)).alias("min"),
         F.count(s).alias("n"),
     )
 
 
 def _met(column: str, target: float) -> Column:
-    return F.coalesce(F.col(column) >= target, F.lit(False))
+    """A value that is missing or not a number misses the gate (it would sort above all numbers)."""
+    return F.coalesce((F.col(column) >= target) & ~F.isnan(column), F.lit(False))
 
 
 def passes(settings: Settings = DEFAULTS) -> Column:
@@ -117,12 +126,13 @@ def passes(settings: Settings = DEFAULTS) -> Column:
 
 
 def failure_text(settings: Settings = DEFAULTS, row: str = "") -> Column:
-    """`passed`, or every gate that was missed with its value."""
+    """`all gates met`, or for every gate that was missed what it needs and what there is."""
     missed = [
-        F.when(F.col(row + c) < t, F.format_string(f"{c}=%.2f<{t:.1f}", F.col(row + c))) for c, t in settings.targets
+        F.when(~_met(row + c, t), F.format_string(f"{c} needs {t:.1f}, has %s", F.coalesce(F.format_number(row + c, 2), F.lit("none"))))
+        for c, t in settings.targets
     ]
-    text = F.concat_ws(", ", *missed)
-    return F.when(text == "", F.lit("passed")).otherwise(text)
+    text = F.concat_ws("; ", *missed)
+    return F.when(text == "", F.lit("all gates met")).otherwise(text)
 
 
 def gates(levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -140,7 +150,7 @@ def sample_outliers(scores: DataFrame, keep: int = 3) -> DataFrame:
     """The samples with the lowest mean of every level."""
     # Means are compared to nine digits: beyond that the order of summation shows.
     worst = Window.partitionBy(*LEVEL).orderBy(F.round("mean", 9).asc(), F.col("sample_idx").asc())
-    ranked = sample_means(scores).withColumn("rank", F.row_number().over(worst))
+    ranked = sample_means(scores).where(F.col("mean").isNotNull()).withColumn("rank", F.row_number().over(worst))
     return ranked.where(F.col("rank") <= keep)
 
 

@@ -8,65 +8,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmetrics.functions.rates import add_rates
-from reelmetrics.operators.ordered import ordered_scan
+from reelmetrics.operators.ordered import KEY, ordered_scan
 from reelmetrics.settings import DEFAULTS, Settings
 
 RESOURCES = ("cpu", "nvenc", "nvdec", "cuda")
 
 
+# Ops are kept in buckets about as wide as they are long: each step is so many times the one before.
+STEP, STEPS = 8, 7
+
+
 def held_ops(
-    ticks: DataFrame, ops: DataFrame, keys: Sequence[str] = (), bucket_ms: int = 10_000, salts: int = 8
+    ticks: DataFrame, ops: DataFrame, keys: Sequence[str], bucket_ms: int = 10_000, salts: int = 64
 ) -> DataFrame:
-    """Every (tick, op) pair with the tick inside [start_ms, start_ms + hold_ms).
+    """Every (tick, op) pair of the same `keys` with the tick inside [start_ms, start_ms + hold_ms).
 
-    An op is repeated once per time bucket it touches, a tick lies in one bucket, so each
-    pair meets once.  Ops of one bucket are spread over `salts` parts and its (few) ticks
-    repeated for each, so that a burst of ops is shared by several tasks.
+    An op is repeated for the at most nine buckets of its own width that it touches (only ops longer than all
+    widths touch more), a tick lies in one bucket of each width, so each pair meets once.  The ops of a bucket
+    are spread over parts, and its ticks repeated for the parts that have ops, so a burst of ops is shared by
+    several tasks.  Keys may be null; rows without a time pair with nothing.
     """
-    bucket = lambda c: F.floor(c / bucket_ms)
+    width = lambda step: (F.lit(bucket_ms) * F.pow(F.lit(STEP), step)).cast("bigint")
+    bucket = lambda c, step: F.floor(c / width(step))
     end = F.col("start_ms") + F.col("hold_ms")
-    spread = F.pmod(F.xxhash64(*[c for c in ops.columns if c not in keys]), F.lit(salts)).cast("int")
-    held = ops.where(F.col("hold_ms") > 0).select(
-        "*",
-        end.alias("end_ms"),
-        spread.alias("__salt"),
-        F.explode(F.sequence(bucket(F.col("start_ms")), bucket(end - 1))).alias("__bucket"),
-    )
-    at = ticks.select(
-        *keys, "tick_id", "tick_ms",
-        bucket(F.col("tick_ms")).alias("__bucket"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"),
-    )
+    step = F.least(F.greatest(F.ceil(F.log(float(STEP), F.col("hold_ms") / bucket_ms)), F.lit(0)), F.lit(STEPS - 1)).cast("int")
+    part = F.pmod(F.xxhash64(*[c for c in ops.columns if c not in keys]), F.lit(salts)).cast("int")
+    held = ops.where((F.col("hold_ms") > 0) & F.col("start_ms").isNotNull())
+    held = held.select("*", end.alias("end_ms"), part.alias("__salt"), step.alias("__step"), F.struct(*keys).alias(KEY))
+    touched = F.sequence(bucket(F.col("start_ms"), F.col("__step")), bucket(F.col("end_ms") - 1, F.col("__step")))
+    held = held.withColumn("__bucket", F.explode(touched))
+    place = [KEY, "__step", "__bucket"]
+    parts = held.groupBy(*place).agg(F.collect_set("__salt").alias("__salts"))
+    at = ticks.where(F.col("tick_ms").isNotNull()).select(
+        F.struct(*keys).alias(KEY), "tick_id", "tick_ms", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("__step")
+    ).withColumn("__bucket", bucket(F.col("tick_ms"), F.col("__step")))
+    at = at.join(parts, place).withColumn("__salt", F.explode("__salts")).drop("__salts")
     inside = (F.col("tick_ms") >= F.col("start_ms")) & (F.col("tick_ms") < F.col("end_ms"))
-    return at.join(held, [*keys, "__bucket", "__salt"]).where(inside).drop("__bucket", "__salt", "end_ms")
+    pairs = at.join(held, [*place, "__salt"]).where(inside)
+    return pairs.select(*keys, "tick_id", "tick_ms", *[c for c in ops.columns if c not in keys])
 
 
 def held_load(ticks: DataFrame, ops: DataFrame, keys: Sequence[str], slice_ms: int = 3_600_000) -> DataFrame:
-    """Number of ops and units of each resource held at every tick, without forming pairs.
+    """Number of ops and units of each resource held at every tick of the same `keys`, without forming pairs.
 
-    Each op adds its units when it starts and takes them back when it ends; the running
-    total at a tick's time is what is held.  Work grows with ops + ticks, not with pairs.
+    Each op adds its units when it starts and takes them back when it ends; the running total at a tick's
+    time is what is held.  Ticks go through the sweep as rows of their own.  Work grows with ops + ticks, not
+    with pairs.  Keys may be null; at a tick without a time nothing is known.
     """
-    changes = ops.where(F.col("hold_ms") > 0).select(
-        *keys,
-        *RESOURCES,
-        F.explode(
-            F.array(
-                F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("sign")),
-                F.struct((F.col("start_ms") + F.col("hold_ms")).alias("at"), F.lit(-1).alias("sign")),
-            )
-        ).alias("c"),
-    ).select(
-        *keys, F.col("c.at").alias("at"), F.col("c.sign").alias("d_ops"),
-        *[(F.col(r) * F.col("c.sign")).alias(f"d_{r}") for r in RESOURCES],
-    )
     names = ["ops", *RESOURCES]
-    watched = ticks.select(*keys, F.col("tick_ms").alias("at"), *[F.lit(0).alias(f"d_{n}") for n in names])
-    moments = changes.unionByName(watched).groupBy(*keys, "at").agg(*[F.sum(f"d_{n}").alias(f"d_{n}") for n in names])
-    totals = ordered_scan(
-        moments, keys, "at", slice_ms, totals={f"held_{n}": F.col(f"d_{n}") for n in names}
-    ).select(*keys, F.col("at").alias("tick_ms"), *[f"held_{n}" for n in names])
-    return ticks.select(*keys, "tick_id", "tick_ms").join(totals, [*keys, "tick_ms"])
+    both = F.array(
+        F.struct(F.col("start_ms").alias("at"), F.lit(1).alias("sign")),
+        F.struct((F.col("start_ms") + F.col("hold_ms")).alias("at"), F.lit(-1).alias("sign")),
+    )
+    timed = ops.where((F.col("hold_ms") > 0) & F.col("start_ms").isNotNull())
+    changes = timed.select(*keys, *RESOURCES, F.lit(1).alias("ops"), F.inline(both)).select(
+        *keys, "at", F.lit(None).alias("tick"), *[(F.col(n) * F.col("sign")).alias(f"d_{n}") for n in names]
+    )
+    watched = ticks.select(
+        *keys, F.col("tick_ms").alias("at"), F.struct("tick_id").alias("tick"), *[F.lit(0).alias(f"d_{n}") for n in names]
+    )
+    moments = watched.unionByName(changes).groupBy(*keys, "at").agg(
+        F.collect_list("tick").alias("ticks"), *[F.sum(f"d_{n}").alias(f"d_{n}") for n in names]
+    )
+    totals = ordered_scan(moments, keys, "at", slice_ms, totals={f"held_{n}": F.col(f"d_{n}") for n in names})
+    known = [F.when(F.col("at").isNotNull(), F.col(f"held_{n}")).alias(f"held_{n}") for n in names]
+    return totals.select(*keys, F.inline("ticks"), F.col("at").alias("tick_ms"), *known)
 
 
 def frame_ranges(windows: DataFrame, streams: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,18 +11,17 @@ from pyspark.sql import functions as F
 from reelmetrics.functions.probe import range_problem
 from reelmetrics.operators.quality import gates, level_stats, passes
 from reelmetrics.settings import DEFAULTS, Settings
+from reelmetrics.sources.folders import shared_folder
 
 # 64 levels (0..63) need at most seven probes.
 MAX_PROBES = 7
 
 
 def cut_lineage(rows: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only if none is set."""
-    spark = rows.sparkSession
-    context = spark.sparkContext
+    """Reliable checkpoint in the folder that driver and executors share."""
+    context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint(eager=True)
 
 
@@ -35,13 +33,23 @@ def expected_probes(low: Column, high: Column) -> Column:
     return F.ceil(F.log2((high - low + 2).cast("double"))).cast("int")
 
 
+def _searchable() -> Column:
+    return F.coalesce(F.col("cq").between(0, 63), F.lit(False))
+
+
+def level_rejects(levels: DataFrame) -> DataFrame:
+    """Level rows that a search cannot use, with the reason."""
+    reason = F.when(F.col("cq").isNull(), "level is missing").otherwise("level is outside 0..63")
+    return levels.where(~_searchable()).withColumn("reason", reason)
+
+
 def grouped_levels(levels: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Per video the passing and the measured levels as 64-bit sets, and the level rows.
 
-    Levels outside 0..63 cannot be searched, so a video has 64 rows at most.
+    Levels outside 0..63 cannot be searched, so a video has 64 rows at most; see `level_rejects`.
     """
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cq").cast("int"))
-    known = levels.where(F.col("cq").between(0, 63)).withColumn("__ok", passes(settings))
+    known = levels.where(_searchable()).withColumn("__ok", passes(settings))
     facts = F.struct(*[c for c in levels.columns if c != "video_id"])
     return known.groupBy("video_id").agg(
         F.bit_or(F.when(F.col("__ok"), bit)).alias("passing"),

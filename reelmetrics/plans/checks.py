@@ -78,16 +78,18 @@ FROM (SELECT *, CASE WHEN content_type = 'progressive' THEN 'none' WHEN content_
    WHEN content_type = 'mixed_progressive_interlaced' AND progressive_fraction < 0.9e0 THEN 'deinterlace'
    WHEN is_ntsc30 AND is_cfr THEN 'ivtc' ELSE 'none' END AS plan_mode FROM classed) a""",
     "levels": """
-SELECT video_id, cq, avg(score) AS mean, coalesce(count(*) FILTER (score > 0) / sum(CASE WHEN score > 0 THEN 1e0 / score END), 0e0) AS harmonic,
- quantile_cont(score, 0.05) AS p05, quantile_cont(score, 0.01) AS p01, min(score) AS min, count(*) AS n
-FROM v_scores GROUP BY video_id, cq""",
+SELECT video_id, cq, CASE WHEN fine THEN coalesce(mean, 0e0) END AS mean, CASE WHEN fine THEN coalesce(harmonic, 0e0) END AS harmonic,
+ CASE WHEN fine THEN p05 END AS p05, CASE WHEN fine THEN p01 END AS p01, CASE WHEN fine THEN coalesce(low, 0e0) END AS min, n
+FROM (SELECT video_id, cq, avg(score) AS mean, count(*) FILTER (score > 0) / sum(CASE WHEN score > 0 THEN 1e0 / score END) AS harmonic,
+  quantile_cont(score, 0.05) AS p05, quantile_cont(score, 0.01) AS p01, min(score) AS low, count(score) AS n, NOT coalesce(bool_or(isnan(score)), false) AS fine
+ FROM v_scores GROUP BY video_id, cq) a""",
     "gated": """
-SELECT *, mean >= 97 AS mean_ok, p05 >= 95 AS p05_ok, p01 >= 90 AS p01_ok, mean >= 97 AND p05 >= 95 AND p01 >= 90 AS passed
-FROM levels""",
+SELECT *, mean_ok AND p05_ok AND p01_ok AS passed
+FROM (SELECT *, coalesce(mean >= 97, false) AS mean_ok, coalesce(p05 >= 95, false) AS p05_ok, coalesce(p01 >= 90, false) AS p01_ok FROM levels) g""",
     "picked": """
 SELECT *, NOT any_passed AS fell_short FROM (
  SELECT *, bool_or(passed) OVER (PARTITION BY video_id) AS any_passed,
-  row_number() OVER (PARTITION BY video_id ORDER BY passed DESC, CASE WHEN passed THEN cq END DESC NULLS LAST, mean DESC, cq) AS choice FROM gated)
+  row_number() OVER (PARTITION BY video_id ORDER BY passed DESC, CASE WHEN passed THEN cq END DESC NULLS LAST, mean DESC NULLS LAST, cq) AS choice FROM gated)
 WHERE choice = 1""",
     "search": """
 SELECT video_id, 0 AS step, 25 AS lo, 55 AS hi, CAST(NULL AS INTEGER) AS best, CAST(NULL AS INTEGER) AS cq, CAST(NULL AS INTEGER) AS from_lo,
@@ -143,7 +145,7 @@ SELECT m.video_id, coalesce(abs(m.progressive - t.progressive) <= 1 AND abs(m.tf
     "searched": """
 SELECT *, fell_short OR abs(mean - 97) < 0.5e0 OR abs(p05 - 95) < 0.5e0 OR abs(p01 - 90) < 0.5e0 AS is_marginal
 FROM (SELECT l.*, NOT bool_or(l.passed) OVER (PARTITION BY l.video_id) AS fell_short,
-  row_number() OVER (PARTITION BY l.video_id ORDER BY l.passed DESC, CASE WHEN l.passed THEN l.cq END DESC NULLS LAST, l.mean DESC, l.cq) AS choice
+  row_number() OVER (PARTITION BY l.video_id ORDER BY l.passed DESC, CASE WHEN l.passed THEN l.cq END DESC NULLS LAST, l.mean DESC NULLS LAST, l.cq) AS choice
  FROM gated l JOIN search q ON q.video_id = l.video_id AND q.cq = l.cq) z WHERE choice = 1""",
     "summarised": """
 SELECT r.video_id, r.content_type, r.plan_mode AS mode, r.undetermined_share, r.parity_mismatch, p.cq AS final_cq, p.fell_short, p.is_marginal, g.outcome,

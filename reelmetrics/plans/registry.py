@@ -60,7 +60,7 @@ def default_ranges(levels: DataFrame) -> DataFrame:
 
 @query("SELECT page_id, path, length FROM v_catalog WHERE length >= 10240 AND NOT starts_with(regexp_extract(path, '([^/]*)$', 1), '.')")
 def catalog_scan(d: Inputs) -> DataFrame:
-    return documents.candidates(d.v_catalog)
+    return documents.catalog_order(documents.candidates(d.v_catalog))
 
 
 @query("""
@@ -123,16 +123,23 @@ def hdr_parse(d: Inputs) -> DataFrame:
 
 @query("""
 SELECT disc_id, CAST(chapter_idx AS BIGINT) AS chapter_idx, uid, start_text, end_text, title, CAST(start_s AS DOUBLE) AS start_s, CAST(end_s AS DOUBLE) AS end_s FROM (
- SELECT o_orderkey AS disc_id, 0 AS chapter_idx, o_orderkey AS uid, '00:00:00' AS start_text, concat('00:0', o_custkey % 10, ':30.5') AS end_text, 'Opening' AS title,
+ SELECT o_orderkey AS disc_id, 0 AS chapter_idx, CAST(18446744073709551615 - CAST(o_orderkey AS HUGEINT) AS DECIMAL(20,0)) AS uid, '00:00:00' AS start_text, concat('00:0', o_custkey % 10, ':30.5') AS end_text, 'Opening' AS title,
   0e0 AS start_s, o_custkey % 10 * 60 + 30.5e0 AS end_s FROM orders
- UNION ALL SELECT o_orderkey, 1, o_orderkey + 1, concat('00:0', o_custkey % 10, ':30.5'), concat('01:1', o_orderkey % 10, ':10'), '',
-  o_custkey % 10 * 60 + 30.5e0, 3600 + (10 + o_orderkey % 10) * 60 + 10e0 FROM orders) c""")
+ UNION ALL SELECT o_orderkey, 1, CAST(o_orderkey + 1 AS DECIMAL(20,0)), concat('00:0', o_custkey % 10, ':30.5'), concat('01:1', o_orderkey % 10, ':10'), '',
+  o_custkey % 10 * 60 + 30.5e0, 3600 + (10 + o_orderkey % 10) * 60 + 10e0 FROM orders) c WHERE disc_id % 13 > 1""")
 def chapter_parse(d: Inputs) -> DataFrame:
     good, _ = chapters.add_times(documents.parse_chapters(d.v_chapter_xml))
     columns = ["disc_id", "chapter_idx", "uid", "start_text", "end_text", "title"]
     return good.select(*columns, F.col("start_s").cast("double"), F.col("end_s").cast("double"))
 
 
+@query("""
+SELECT o_orderkey AS disc_id, CASE o_orderkey % 13 WHEN 0 THEN 'document is not readable' ELSE 'document has no chapters' END AS reason
+FROM orders WHERE o_orderkey % 13 < 2""")
+def chapter_rejects(d: Inputs) -> DataFrame:
+    return documents.chapter_rejects(d.v_chapter_xml).select("disc_id", "reason")
+
+
 @query("""
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'Warning' ELSE 'Information' END AS level,
  CASE event_type WHEN 'view' THEN 'release' WHEN 'click' THEN 'acquire' ELSE 'message' END AS kind,
@@ -276,7 +283,7 @@ def gates(d: Inputs) -> DataFrame:
 
 @query("""
 SELECT video_id, cq, sample_idx, mean, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id, cq ORDER BY mean, sample_idx) AS rank
- FROM (SELECT video_id, cq, sample_idx, round(avg(score), 9) AS mean, count(*) AS n FROM v_scores GROUP BY video_id, cq, sample_idx) s) t WHERE rank <= 3""")
+ FROM (SELECT video_id, cq, sample_idx, round(avg(score), 9) AS mean, count(*) AS n FROM v_scores WHERE score IS NOT NULL GROUP BY video_id, cq, sample_idx) s) t WHERE rank <= 3""")
 def sample_outliers(d: Inputs) -> DataFrame:
     worst = quality.sample_outliers(d.v_scores)
     return worst.select("video_id", "cq", "sample_idx", F.round("mean", 9).alias("mean"), "n", "rank")
@@ -308,13 +315,21 @@ def marginal(d: Inputs) -> DataFrame:
 SELECT video_id, best AS best_cq, step AS probes, CAST(ceil(log2(55 - 25 + 2)) AS INTEGER) AS expected_probes FROM search WHERE lo > hi""")
 def bisect_level(d: Inputs) -> DataFrame:
     levels = quality.level_stats(d.v_scores)
-    return search.bisect(levels, default_ranges(d.v_scores)).select("video_id", "best_cq", "probes", "expected_probes")
+    return search.bisect(levels, default_ranges(levels)).select("video_id", "best_cq", "probes", "expected_probes")
+
+
+@query("""
+SELECT video_id, cq, n, CASE WHEN cq IS NULL THEN 'level is missing' ELSE 'level is outside 0..63' END AS reason FROM (
+ SELECT video_id, nullif(cq * 2, 60) AS cq, n FROM levels) l WHERE cq IS NULL OR cq > 63""")
+def level_rejects(d: Inputs) -> DataFrame:
+    doubled = quality.level_stats(d.v_scores).withColumn("cq", F.nullif(F.col("cq") * 2, F.lit(60)))
+    return search.level_rejects(doubled).select("video_id", "cq", "n", "reason")
 
 
 @query("SELECT video_id, step, from_lo AS lo, from_hi AS hi, cq, passed FROM search WHERE step > 0")
 def bisect_trace(d: Inputs) -> DataFrame:
     levels = quality.level_stats(d.v_scores)
-    return search.bisect_trace(levels, default_ranges(d.v_scores)).drop("measured")
+    return search.bisect_trace(levels, default_ranges(levels)).drop("measured")
 
 
 @query("SELECT video_id, CAST(i AS INTEGER) AS sample_idx, round(start_s, 6) AS start_s, round(length_s, 6) AS length_s FROM drawn")
@@ -439,20 +454,24 @@ def event_thinning(d: Inputs) -> DataFrame:
     return usage.thin_events(d.v_ops).select("video_id", "op", "start_ms", "wait_ms", "hold_ms", "event")
 
 
+def _host_ops(d: Inputs) -> DataFrame:
+    """Ops with the host that ran them; some hosts are unknown, as among the ticks."""
+    return d.v_ops.withColumn("host", F.nullif(F.col("video_id") % 4, F.lit(3)))
+
+
 @query("""
-SELECT t.tick_id, o.video_id, o.op, o.start_ms FROM v_ticks t JOIN v_ops o ON t.tick_ms >= o.start_ms AND t.tick_ms < o.start_ms + o.hold_ms""")
+SELECT t.tick_id, o.video_id, o.op, o.start_ms FROM v_ticks t JOIN v_ops o ON t.host IS NOT DISTINCT FROM nullif(o.video_id % 4, 3) AND t.tick_ms >= o.start_ms AND t.tick_ms < o.start_ms + o.hold_ms""")
 def held_ops(d: Inputs) -> DataFrame:
-    return ranges.held_ops(d.v_ticks.select("tick_id", "tick_ms"), d.v_ops).select("tick_id", "video_id", "op", "start_ms")
+    found = ranges.held_ops(d.v_ticks.select("host", "tick_id", "tick_ms"), _host_ops(d), ["host"])
+    return found.select("tick_id", "video_id", "op", "start_ms")
 
 
 @query("""
 SELECT t.tick_id, count(o.op) AS held_ops, CAST(coalesce(sum(o.cpu), 0) AS BIGINT) AS held_cpu, CAST(coalesce(sum(o.nvenc), 0) AS BIGINT) AS held_nvenc, CAST(coalesce(sum(o.nvdec), 0) AS BIGINT) AS held_nvdec,
- CAST(coalesce(sum(o.cuda), 0) AS BIGINT) AS held_cuda FROM v_ticks t LEFT JOIN v_ops o ON t.tick_ms >= o.start_ms AND t.tick_ms < o.start_ms + o.hold_ms GROUP BY t.tick_id""")
+ CAST(coalesce(sum(o.cuda), 0) AS BIGINT) AS held_cuda FROM v_ticks t LEFT JOIN v_ops o ON t.host IS NOT DISTINCT FROM nullif(o.video_id % 4, 3) AND t.tick_ms >= o.start_ms AND t.tick_ms < o.start_ms + o.hold_ms GROUP BY t.tick_id""")
 def held_load(d: Inputs) -> DataFrame:
-    run = F.lit(0).alias("run_id")
-    at = d.v_ticks.select(run, "tick_id", "tick_ms")
-    load = ranges.held_load(at, d.v_ops.select(run, "*"), ["run_id"])
-    return load.drop("run_id", "tick_ms")
+    load = ranges.held_load(d.v_ticks.select("host", "tick_id", "tick_ms"), _host_ops(d), ["host"])
+    return load.drop("host", "tick_ms")
 
 
 @query("SELECT host, tick_id, round(cpu_pct, 6) AS cpu_pct FROM cpu_ticks")
@@ -630,14 +649,12 @@ def stream_pool_busy(d: Inputs) -> DataFrame:
 SELECT host, tick_id, tick_ms, round(CASE WHEN cpu_total > pt THEN 100e0 * ((cpu_total - pt) - greatest(cpu_idle - pi, 0)) / (cpu_total - pt) ELSE 0e0 END, 6) AS cpu_pct
 FROM (SELECT *, lag(cpu_total) OVER (PARTITION BY host ORDER BY tick_ms) AS pt, lag(cpu_idle) OVER (PARTITION BY host ORDER BY tick_ms) AS pi FROM v_counters)""")
 def stream_cpu_pct(d: Inputs) -> DataFrame:
-    streams.use_rocksdb(d.spark)
-    return streams.drain(streams.live_cpu_pct(_stream(d, "events", "v_counters"))).withColumn("cpu_pct", r("cpu_pct"))
+    return streams.drain(streams.live_cpu_pct(_stream(d, "events", "v_counters"))).withColumn("cpu_pct", r("cpu_pct")).drop("late")
 
 
 @query("""
 SELECT slot, seq, stage, detail FROM (SELECT *, lag(stage) OVER (PARTITION BY slot ORDER BY seq) AS before FROM v_stages) s WHERE stage IS DISTINCT FROM before""")
 def stream_stages(d: Inputs) -> DataFrame:
-    streams.use_rocksdb(d.spark)
     raw = _stream(d, "conversations", "v_stages")
     # Every slot is opened by its first row.
     opening = F.struct(F.lit(-1).cast("bigint").alias("seq"), F.lit("begin").alias("kind"), F.lit(None).cast("string").alias("stage"))

@@ -51,8 +51,8 @@ FROM (SELECT video_id, count(CASE WHEN flag = 'progressive' THEN 1 END) AS p, co
  FROM v_frames GROUP BY video_id) c""",
     "v_scores": """
 SELECT l_suppkey % 10 AS video_id, 25 + l_orderkey % 31 AS cq, l_partkey % 16 AS sample_idx,
- 99.5e0 - l_discount * 10e0 - (l_orderkey % 31) * 0.1e0 * (1e0 + (l_suppkey % 10) / 10e0) - l_quantity / 50e0
- - CASE WHEN l_suppkey % 10 = 7 THEN 4e0 ELSE 0e0 END AS score
+ CASE WHEN l_suppkey % 10 = 3 AND l_orderkey % 31 = 30 THEN NULL WHEN l_suppkey % 10 = 4 AND l_orderkey % 31 = 1 AND l_partkey % 16 = 5 THEN CAST('NaN' AS DOUBLE) ELSE 99.5e0 - l_discount * 10e0 - (l_orderkey % 31) * 0.1e0 * (1e0 + (l_suppkey % 10) / 10e0) - l_quantity / 50e0
+ - CASE WHEN l_suppkey % 10 = 7 THEN 4e0 ELSE 0e0 END END AS score
 FROM lineitem""",
     "v_durations": "SELECT o_orderkey AS video_id, o_totalprice / 70e0 AS duration_s FROM orders",
     "v_chapter_rows": """
@@ -77,7 +77,7 @@ FROM lineitem""",
 SELECT video_id, CASE WHEN op LIKE 'phase2.%' THEN concat(op, '.cq', CAST(25 + start_ms / 1000 % 31 AS INT)) ELSE op END AS op,
  alt_index, wait_ms, hold_ms FROM v_ops""",
     "v_tick_rows": """
-SELECT event_id % 4 AS host, event_id AS tick_id, event_id * 1500 AS tick_ms,
+SELECT nullif(event_id % 4, 3) AS host, event_id AS tick_id, event_id * 1500 AS tick_ms,
  CAST(floor(CASE WHEN value < 100 THEN value ELSE 100e0 END) AS BIGINT) AS idle,
  CASE WHEN event_type = 'error' THEN NULL ELSE CAST(floor(value) AS BIGINT) % 101 END AS gpu_pct,
  20 - event_id % 21 AS cpu_free, 4 - event_id % 5 AS nvenc_free
@@ -119,12 +119,12 @@ SELECT p_partkey AS file_id, concat('{"frames":[{"side_data_list":[{"side_data_t
  '"}]}]}') AS doc
 FROM part""",
     "v_chapter_xml": """
-SELECT o_orderkey AS disc_id, concat('<Chapters><EditionEntry>',
- '<ChapterAtom><ChapterUID>', CAST(o_orderkey AS STRING), '</ChapterUID><ChapterTimeStart>00:00:00.000000000</ChapterTimeStart><ChapterTimeEnd>00:0',
+SELECT o_orderkey AS disc_id, CASE o_orderkey % 13 WHEN 0 THEN '<Chapters><EditionEntry><ChapterAtom>' WHEN 1 THEN '<Chapters><EditionEntry></EditionEntry></Chapters>' ELSE concat('<Chapters><EditionEntry>',
+ '<ChapterAtom><ChapterUID>', CAST(18446744073709551615 - o_orderkey AS STRING), '</ChapterUID><ChapterTimeStart>00:00:00.000000000</ChapterTimeStart><ChapterTimeEnd>00:0',
  CAST(o_custkey % 10 AS STRING), ':30.500000000</ChapterTimeEnd><ChapterDisplay><ChapterString>Opening</ChapterString><ChapterLanguage>eng</ChapterLanguage></ChapterDisplay></ChapterAtom>',
  '<ChapterAtom><ChapterUID>', CAST(o_orderkey + 1 AS STRING), '</ChapterUID><ChapterTimeStart>00:0', CAST(o_custkey % 10 AS STRING),
  ':30.500000000</ChapterTimeStart><ChapterTimeEnd>01:1', CAST(o_orderkey % 10 AS STRING), ':10</ChapterTimeEnd><ChapterDisplay><ChapterString></ChapterString><ChapterLanguage>eng</ChapterLanguage></ChapterDisplay></ChapterAtom>',
- '</EditionEntry></Chapters>') AS doc
+ '</EditionEntry><EditionEntry><ChapterAtom><ChapterUID>7</ChapterUID></ChapterAtom></EditionEntry></Chapters>') END AS doc
 FROM orders""",
     # One detector record: frame number, then its tag line; some frames carry none.
     "v_frame_records": """

@@ -27,9 +27,10 @@ CHAPTER_ATOM = """
 """
 
 CHAPTER_DOCUMENT = """
-  EditionEntry STRUCT<ChapterAtom: ARRAY<STRUCT<
-    ChapterUID: BIGINT, ChapterTimeStart: STRING, ChapterTimeEnd: STRING,
-    ChapterDisplay: STRUCT<ChapterString: STRING, ChapterLanguage: STRING>>>>
+  EditionEntry ARRAY<STRUCT<ChapterAtom: ARRAY<STRUCT<
+    ChapterUID: STRING, ChapterTimeStart: STRING, ChapterTimeEnd: STRING,
+    ChapterDisplay: STRUCT<ChapterString: STRING, ChapterLanguage: STRING>>>>>,
+  _corrupt_record STRING
 """
 
 FRAMES = "video_id BIGINT, frame_idx BIGINT, flag STRING"

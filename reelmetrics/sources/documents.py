@@ -166,14 +166,33 @@ def parse_hdr(docs: DataFrame, text: str = "doc") -> DataFrame:
     )
 
 
+def _chapter_atoms(docs: DataFrame, text: str) -> DataFrame:
+    """Documents with the chapters of their first edition as `__a`, and why there are none as `reason`."""
+    keep = [c for c in docs.columns if c != text]
+    read = F.from_xml(F.col(text), schemas.CHAPTER_DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = settled(docs, "__d", read)
+    atoms = F.get(F.col("__d.EditionEntry"), F.lit(0))["ChapterAtom"]
+    unreadable = F.col("__d").isNull() | F.col("__d._corrupt_record").isNotNull()
+    reason = F.when(unreadable, "document is not readable").when(F.coalesce(F.size(atoms), F.lit(0)) < 1, "document has no chapters")
+    return rows.select(*keep, F.col(text), atoms.alias("__a"), reason.alias("reason"))
+
+
+def chapter_rejects(docs: DataFrame, text: str = "doc") -> DataFrame:
+    """Chapter documents that give no chapter, with the reason; every other one gives rows in `parse_chapters`."""
+    return _chapter_atoms(docs, text).where(F.col("reason").isNotNull()).drop("__a")
+
+
 def parse_chapters(docs: DataFrame, text: str = "doc") -> DataFrame:
-    """Chapter documents to one row per chapter, numbered from 0 in document order."""
+    """Chapter documents to one row per chapter, numbered from 0 in document order.
+
+    Chapter numbers are unsigned 64-bit; one that is no number is null.  Of several editions the first counts.
+    """
     keep = [c for c in docs.columns if c != text]
-    atoms = F.from_xml(F.col(text), schemas.CHAPTER_DOCUMENT)["EditionEntry"]["ChapterAtom"]
-    return docs.select(*keep, F.posexplode(atoms).alias("__i", "__a")).select(
+    rows = _chapter_atoms(docs, text).where(F.col("reason").isNull())
+    return rows.select(*keep, F.posexplode("__a").alias("__i", "__a")).select(
         *keep,
         F.col("__i").cast("bigint").alias("chapter_idx"),
-        F.col("__a.ChapterUID").alias("uid"),
+        F.col("__a.ChapterUID").try_cast("decimal(20,0)").alias("uid"),
         F.coalesce("__a.ChapterTimeStart", F.lit("")).alias("start_text"),
         F.coalesce("__a.ChapterTimeEnd", F.lit("")).alias("end_text"),
         F.coalesce("__a.ChapterDisplay.ChapterString", F.lit("")).alias("title"),

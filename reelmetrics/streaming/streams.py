@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,13 +12,21 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from reelmetrics.operators import cadence, stages, ticks, usage
 from reelmetrics.settings import DEFAULTS, Settings
+from reelmetrics.sources.folders import remove, scratch_folder
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark) -> None:
-    """The stateful processors below need this state store; call it before starting them."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+@contextmanager
+def rocksdb(spark) -> Iterator[None]:
+    """Streams started inside use the state store that the stateful processors below need; the session keeps its own."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def live_frame_counts(frames: DataFrame) -> DataFrame:
@@ -54,9 +61,9 @@ def _ordered(batches: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
 
 
 class CpuUse(StatefulProcessor):
-    """Keeps a host's last counters and turns every new reading into a percentage."""
+    """Keeps a host's last counters and turns every new reading into a percentage; late ones get none and are marked."""
 
-    OUTPUT = "host BIGINT, tick_id BIGINT, tick_ms BIGINT, cpu_pct DOUBLE"
+    OUTPUT = "host BIGINT, tick_id BIGINT, tick_ms BIGINT, cpu_pct DOUBLE, late BOOLEAN"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "tick_ms BIGINT, total BIGINT, idle BIGINT")
@@ -73,8 +80,9 @@ class CpuUse(StatefulProcessor):
         pct = ((passed - idled) * 100.0 / passed).where(passed > 0, 0.0)
         out = batch[["tick_id", "tick_ms"]].copy()
         out.insert(0, "host", key[0])
-        # A reading older than the state cannot be placed any more: it counts as 0.
-        out["cpu_pct"] = pct.reindex(out.index).fillna(0.0)
+        # A reading older than the state cannot be placed any more: what it would have been is not known.
+        out["cpu_pct"] = pct.fillna(0.0).reindex(out.index)
+        out["late"] = ~out.index.isin(fresh.index)
         if len(fresh):
             newest = fresh.iloc[-1]
             self.last.update((int(newest["tick_ms"]), int(newest["cpu_total"]), int(newest["cpu_idle"])))
@@ -96,7 +104,8 @@ def live_cpu_pct(samples: DataFrame) -> DataFrame:
 class StageState(StatefulProcessor):
     """Follows one slot: begin opens it, set changes the stage, complete and skip close it.
 
-    Only changes of the stage are passed on; a `set` for a slot that is not open is ignored.
+    Only changes of the stage are passed on; a `set` for a slot that is not open is ignored.  An update
+    that comes after a later one of its slot changes nothing and is passed on as `late`.
     """
 
     OUTPUT = (
@@ -104,13 +113,17 @@ class StageState(StatefulProcessor):
     )
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "file STRING, stage STRING")
+        self.open = handle.getValueState("open", "seq BIGINT, file STRING, stage STRING")
 
     def handleInputRows(self, key, rows, timerValues):
-        file, stage = self.open.get() if self.open.exists() else (None, None)
+        last, file, stage = self.open.get() if self.open.exists() else (None, None, None)
         is_open = file is not None
         changes = []
         for row in _ordered(rows, "seq").itertuples(index=False):
+            if last is not None and row.seq < last:
+                changes.append((row.seq, "late", row.file or "", row.stage or "", row.detail or "", row.level))
+                continue
+            last = row.seq
             if row.kind == "begin":
                 is_open, file, stage = True, row.file or "", "Starting"
                 changes.append((row.seq, "begin", file, stage, "", None))
@@ -122,10 +135,8 @@ class StageState(StatefulProcessor):
                 is_open, file, stage = False, None, None
             elif row.kind == "skip":
                 changes.append((row.seq, "skip", row.file or "", "", row.detail or "", "skipped"))
-        if is_open:
-            self.open.update((file, stage))
-        else:
-            self.open.clear()
+        # A closed slot keeps its number, so that a late update does not open it again.
+        self.open.update((int(last), file, stage))
         out = pd.DataFrame(changes, columns=["seq", "change", "file", "stage", "detail", "level"])
         out.insert(0, "slot", key[1])
         out.insert(0, "run_id", key[0])
@@ -170,28 +181,20 @@ def with_recent(table: str, view: str, keep: int = 8) -> Callable[[DataFrame, in
     return write
 
 
-def scratch_folder(spark) -> str:
-    """A new folder below the one the cluster names for checkpoints; a local one only if none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4()}"
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is there now and return what it wrote.
 
-    In complete mode the last batch's result is what counts.
+    In complete mode the last batch's result is what counts.  State and progress are removed at the end.
     """
     spark = stream.sparkSession
-    folder = scratch_folder(spark)
-    out = f"{folder}/out"
-    writer = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-    )
-    if mode == "append":
-        query = writer.format("parquet").start(out)
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
+    folder = scratch_folder(spark, "stream")
+    out, state = f"{folder}/out", f"{folder}/checkpoint"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    with rocksdb(spark):
+        if mode == "append":
+            query = writer.format("parquet").start(out)
+        else:
+            query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+        query.awaitTermination()
+    remove(spark, state)
     return spark.read.schema(stream.schema).parquet(out)

@@ -28,3 +28,13 @@ def test_scan_equals_window(spark, width):
     )
     assert sliced.columns == plain.columns
     assert rows(sliced, "k", "o") == rows(plain, "k", "o")
+
+
+def test_null_keys_are_a_key_of_their_own(spark):
+    rows_ = [(None, 1, 5), (None, 2, 7), ("a", 1, 1), (None, 900, 9), ("a", 3, 2)]
+    got = ordered_scan(
+        spark.createDataFrame(rows_, "k STRING, at BIGINT, v BIGINT"), ["k"], "at", 10,
+        totals={"sum": F.col("v")}, previous={"before": "v"}, following={"after": "v"},
+    )
+    found = {(r.k, r.at): (r.sum, r.before, r.after) for r in got.collect()}
+    assert found == {(None, 1): (5, None, 7), (None, 2): (12, 5, 9), (None, 900): (21, 7, None), ("a", 1): (1, None, 2), ("a", 3): (3, 1, None)}

@@ -31,7 +31,7 @@ def test_level_stats_match_numpy(spark):
         (4, 40): [97.0 + rng.random() / 50 for _ in range(3000)],
     }
     got = {(r["video_id"], r["cq"]): r for r in rows(quality.level_stats(scores(spark, {**groups, (9, 9): [None]})))}
-    assert set(got) == set(groups)
+    assert set(got) == {*groups, (9, 9)} and got[9, 9]["n"] == 0
     for key, values in groups.items():
         r, a = got[key], np.array(values)
         positive = a[a > 0]
@@ -61,7 +61,7 @@ def test_gates_are_inclusive_and_explained(spark):
     df = levels(spark, [(1, 30, 97.0, 95.0, 90.0), (1, 31, 96.0, 95.0, 89.0), (1, 32, 98.0, None, 91.0)])
     got = rows(quality.gates(df), "cq")
     assert [r["passed"] for r in got] == [True, False, False]
-    assert [r["failure"] for r in got] == ["passed", "mean=96.00<97.0, p01=89.00<90.0", "passed"]
+    assert [r["failure"] for r in got] == ["all gates met", "mean needs 97.0, has 96.00; p01 needs 90.0, has 89.00", "p05 needs 95.0, has none"]
     assert [r["missed"] for r in got] == [[], ["mean", "p01"], ["p05"]]
 
 
@@ -77,7 +77,7 @@ def test_selection_fallback_and_marginal(spark):
     assert {v: r["cq"] for v, r in got.items()} == {1: 31, 2: 40, 3: 29, 4: 30}
     assert {v: r["is_marginal"] for v, r in got.items()} == {1: True, 2: False, 3: True, 4: False}
     assert {v: r["fell_short"] for v, r in got.items()} == {1: False, 2: False, 3: True, 4: False}
-    assert got[1]["above"]["cq"] == 32 and got[1]["above"]["failure"].startswith("mean=96.90")
+    assert got[1]["above"]["cq"] == 32 and got[1]["above"]["failure"].startswith("mean needs 97.0, has 96.90")
     assert got[1]["below"]["cq"] == 30 and got[2]["above"] is None and got[3]["above"] is None
     assert len(got[1]["marginal_reasons"]) == 1 and len(got[3]["marginal_reasons"]) == 1
 
@@ -209,3 +209,23 @@ def test_coverage(spark):
     videos = spark.createDataFrame([(1, 20.0), (2, 384.0)], "video_id INT, duration_s DOUBLE")
     got = rows(sampling.sample_coverage(sampling.sample_windows(videos), videos), "video_id")
     assert [(r["windows"], r["covered_s"], r["covered_pct"]) for r in got] == [(1, 20.0, 100.0), (16, 192.0, 50.0)]
+
+
+def test_empty_levels_and_scores_that_are_no_numbers(spark):
+    data = [("v", 30, None), ("v", 31, float("nan")), ("v", 31, 98.0), ("v", 32, 99.0), ("v", 32, None)]
+    scores = spark.createDataFrame(data, "video_id STRING, cq INT, score DOUBLE")
+    for stats in (quality.level_stats(scores), quality.level_stats_approx(scores)):
+        got = {r["cq"]: r for r in rows(quality.gates(stats))}
+        assert tuple(got[30][c] for c in ("mean", "harmonic", "p05", "min", "n")) == (0.0, 0.0, None, 0.0, 0)
+        assert (got[31]["mean"], got[31]["p01"], got[31]["n"]) == (None, None, 2)
+        assert (got[32]["mean"], got[32]["p01"], got[32]["n"]) == (99.0, 99.0, 1)
+        assert [got[c]["passed"] for c in (30, 31, 32)] == [False, False, True]
+        assert rows(quality.select_level(stats))[0]["cq"] == 32
+    loose = spark.createDataFrame([("v", 31, float("nan"), float("nan"), float("nan"))], "video_id STRING, cq INT, mean DOUBLE, p05 DOUBLE, p01 DOUBLE")
+    assert not rows(quality.gates(loose))[0]["passed"]
+
+
+def test_levels_that_cannot_be_searched_come_out(spark):
+    levels = spark.createDataFrame([("v", 64), ("v", None), ("v", 0), ("v", -1)], "video_id STRING, cq INT")
+    got = {r["cq"]: r["reason"] for r in rows(search.level_rejects(levels))}
+    assert set(got) == {64, None, -1} and got[None] != got[64]

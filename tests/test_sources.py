@@ -153,3 +153,20 @@ def test_telemetry_lines(spark):
     assert got == [(131, 105), (10, 4), (None, None)]
     load = spark.createDataFrame([("0.52 0.58 0.59 1/999 1",), ("oops",)], "t STRING").select(documents.load_average("t").alias("l"))
     assert [r["l"] for r in load.collect()] == [0.52, 0.0]
+
+
+def test_chapter_documents_lose_nothing(spark):
+    atom = lambda uid: f"<ChapterAtom><ChapterUID>{uid}</ChapterUID><ChapterTimeStart>0:0:0</ChapterTimeStart></ChapterAtom>"
+    docs = {
+        "large": f"<Chapters><EditionEntry>{atom(2**64 - 1)}{atom('none')}</EditionEntry></Chapters>",
+        "two": f"<Chapters><EditionEntry>{atom(1)}</EditionEntry><EditionEntry>{atom(2)}{atom(3)}</EditionEntry></Chapters>",
+        "broken": "<Chapters><EditionEntry>",
+        "none": "<Chapters></Chapters>",
+        "empty": "",
+        "null": None,
+    }
+    table = spark.createDataFrame(list(docs.items()), "disc_id STRING, doc STRING")
+    good = [(r["disc_id"], r["chapter_idx"], r["uid"]) for r in rows(documents.parse_chapters(table), "disc_id", "chapter_idx")]
+    assert good == [("large", 0, 2**64 - 1), ("large", 1, None), ("two", 0, 1)]
+    bad = {r["disc_id"]: r["reason"] for r in rows(documents.chapter_rejects(table))}
+    assert set(bad) == {"broken", "none", "empty", "null"} and bad["broken"] == "document is not readable" and bad["none"] == "document has no chapters"

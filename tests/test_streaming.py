@@ -17,10 +17,8 @@ from reelmetrics.streaming import streams
 
 @pytest.fixture(autouse=True)
 def state_store(spark):
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    streams.use_rocksdb(spark)
-    yield
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    with streams.rocksdb(spark):
+        yield
 
 
 def drop(folder, name, data):

@@ -28,24 +28,43 @@ def random_ops(n, seed=1):
 
 @pytest.mark.parametrize("bucket,salts", [(700, 1), (10_000, 8), (10_000_000, 3)])
 def test_held_ops_equal_brute_force(spark, bucket, salts):
-    data = random_ops(200)
-    times = sorted(random.Random(2).sample(range(150_000), 60)) + [data[0][7], data[0][7] + data[0][9]]
-    at = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "tick_id BIGINT, tick_ms BIGINT")
-    got = sorted((r["tick_id"], r["video_id"], r["start_ms"]) for r in rows(ranges.held_ops(at, ops(spark, data), bucket_ms=bucket, salts=salts)))
-    want = sorted((i, o[0], o[7]) for i, t in enumerate(times) for o in data if o[7] <= t < o[7] + o[9])
+    data = random_ops(200) + [(7, "long", 0, 1, 0, 0, 0, 5, 0, 10**9, 0), (8, "unknown", 0, 1, 0, 0, 0, None, 0, 50, 0)]
+    times = sorted(random.Random(2).sample(range(150_000), 60)) + [data[0][7], data[0][7] + data[0][9], 10**9 - 1, None]
+    host = lambda v: v % 3 or None
+    at = spark.createDataFrame([(k, i, t) for k in (1, 2, None) for i, t in enumerate(times)], "host BIGINT, tick_id BIGINT, tick_ms BIGINT")
+    run_by = ops(spark, data).withColumn("host", F.nullif(F.col("video_id") % 3, F.lit(0)))
+    found = ranges.held_ops(at, run_by, ["host"], bucket_ms=bucket, salts=salts)
+    got = sorted((r["host"] or 0, r["tick_id"], r["video_id"], r["start_ms"]) for r in rows(found))
+    want = sorted((host(o[0]) or 0, i, o[0], o[7]) for i, t in enumerate(times) for o in data if None not in (t, o[7]) and o[7] <= t < o[7] + o[9])
     assert got == want and got
 
 
+def test_a_burst_of_ops_is_shared_by_several_parts(spark):
+    burst = spark.range(2_000).selectExpr("1L AS host", "id AS video_id", "100L AS start_ms", "50L AS hold_ms")
+    one = spark.createDataFrame([(1, 1, 120)], "host BIGINT, tick_id BIGINT, tick_ms BIGINT")
+    plan = ranges.held_ops(one, burst, ["host"]).withColumn("task", F.spark_partition_id())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in rows(plan.groupBy("task").agg(F.count("*").alias("n")))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert sum(sizes) == 2_000 and len(sizes) > 2 and max(sizes) < 1_200
+
+
 @pytest.mark.parametrize("width", [500, 20_000, 3_600_000])
 def test_held_load_equals_brute_force(spark, width):
     data = random_ops(200, 7)
-    times = [(k, i, i * 1371 + k) for k in (0, 1) for i in range(120)]
+    times = [(k, i, i * 1371 + (k or 0)) for k in (0, None) for i in range(120)] + [(0, 500, None)]
     at = spark.createDataFrame(times, "run_id INT, tick_id BIGINT, tick_ms BIGINT")
-    both = ops(spark, data).withColumn("run_id", (F.col("video_id") % 2).cast("int"))
+    both = ops(spark, data).withColumn("run_id", F.nullif((F.col("video_id") % 2).cast("int"), F.lit(1)))
     got = {(r["run_id"], r["tick_id"]): r for r in rows(ranges.held_load(at, both, ["run_id"], slice_ms=width))}
     assert len(got) == len(times)
-    for k, i, t in times:
-        held = [o for o in data if o[0] % 2 == k and o[7] <= t < o[7] + o[9]]
+    assert got.pop((0, 500))["held_ops"] is None
+    for k, i, t in times[:-1]:
+        held = [o for o in data if o[0] % 2 == (1 if k is None else k) and o[7] <= t < o[7] + o[9]]
         r = got[k, i]
         assert (r["held_ops"], r["held_cpu"], r["held_cuda"]) == (len(held), sum(o[3] for o in held), sum(o[6] for o in held))
 
