@@ -26,23 +26,46 @@ def phase_of(op: Column) -> Column:
     return phase.otherwise("other")
 
 
+def _by_phase(ops: DataFrame, *more: Column) -> DataFrame:
+    return ops.withColumn("phase", phase_of(F.col("op"))).groupBy("video_id", "phase").agg(
+        F.min(F.col("start_ms") - F.col("wait_ms")).alias("begin"),
+        F.max(F.col("start_ms") + F.col("hold_ms")).alias("end"),
+        F.sum("wait_ms").alias("queue_ms"),
+        F.sum("hold_ms").alias("run_ms"),
+        F.count(F.lit(1)).alias("ops"),
+        *more,
+    )
+
+
+def _held(ops: DataFrame) -> list[Column]:
+    hold = F.col("hold_ms").cast("long")
+    return [F.sum(F.col(r) * hold).alias(f"{r}_ms") for r in RESOURCES]
+
+
+def video_usage(ops: DataFrame) -> DataFrame:
+    """Per video `timings` (total_ms and the phases of `time_card`) and `resource_share`, in one pass over the ops."""
+    phases = _by_phase(ops, *_held(ops))
+    row = F.struct("phase", (F.col("end") - F.col("begin")).alias("wall_ms"), "queue_ms", "run_ms", "ops")
+    # At most six phases per video.
+    videos = phases.groupBy("video_id").agg(
+        (F.max("end") - F.min("begin")).alias("total_ms"), F.array_sort(F.collect_list(row)).alias("rows"),
+        *[F.sum(f"{r}_ms").alias(f"{r}_ms") for r in RESOURCES],
+    )
+    share = lambda p: F.coalesce(F.try_divide(p["wall_ms"], F.col("total_ms")) * 100, F.lit(0.0))
+    rows = F.transform("rows", lambda p: p.withField("total_pct", share(p)))
+    return videos.select(
+        "video_id", F.struct("total_ms", rows.alias("phases")).alias("timings"),
+        F.struct(*[f"{r}_ms" for r in RESOURCES]).alias("resource_share"),
+    )
+
+
 def time_card(ops: DataFrame) -> DataFrame:
     """Wall time, summed waits and holds, op count and share of the total per phase.
 
     An op occupies [start_ms - wait_ms, start_ms + hold_ms); a phase's wall time runs from
     its first request to its last release, and the total likewise over the whole video.
     """
-    phases = (
-        ops.withColumn("phase", phase_of(F.col("op")))
-        .groupBy("video_id", "phase")
-        .agg(
-            F.min(F.col("start_ms") - F.col("wait_ms")).alias("begin"),
-            F.max(F.col("start_ms") + F.col("hold_ms")).alias("end"),
-            F.sum("wait_ms").alias("queue_ms"),
-            F.sum("hold_ms").alias("run_ms"),
-            F.count(F.lit(1)).alias("ops"),
-        )
-    )
+    phases = _by_phase(ops)
     # At most six phase rows per video meet here.
     video = Window.partitionBy("video_id")
     total = F.max("end").over(video) - F.min("begin").over(video)
@@ -76,8 +99,7 @@ def op_stats(ops: DataFrame) -> DataFrame:
 
 def resource_share(ops: DataFrame) -> DataFrame:
     """Units held times milliseconds, per video and resource."""
-    hold = F.col("hold_ms").cast("long")
-    return ops.groupBy("video_id").agg(*[F.sum(F.col(r) * hold).alias(f"{r}_ms") for r in RESOURCES])
+    return ops.groupBy("video_id").agg(*_held(ops))
 
 
 def resource_totals(share: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from reelmetrics.plans.views import VIEWS, compose
 
 
@@ -157,5 +159,54 @@ LEFT JOIN shares s ON s.video_id = r.video_id LEFT JOIN reconciled t ON t.video_
 }
 
 
+def _over(prefix: str, names: list[str], inputs: dict[str, str]) -> dict[str, str]:
+    """The named parts again, under names with a prefix, over other inputs."""
+    renamed = {**inputs, **{n: f"{prefix}{n}" for n in names}}
+    pattern = re.compile(r"\b(" + "|".join(renamed) + r")\b")
+    return {f"{prefix}{n}": pattern.sub(lambda m: renamed[m[1]], PARTS[n]) for n in names}
+
+
+# The same over the fleet, and over its outputs.
+_SHOTS = ["frame_windows", "metrics", "video_rates"]
+PARTS |= _over(
+    "f_", [*_SHOTS, "paritied", "classed", "restored", "levels", "gated", "reconciled"],
+    {"v_frames": "f_frames", "v_video": "f_video", "v_scores": "f_scores", "v_totals": "f_totals"},
+)
+PARTS |= _over("o_", _SHOTS, {"v_frames": "f_out_frames", "v_video": "f_out_video"})
+PARTS |= {
+    "f_tiers": """
+SELECT video_id, CASE WHEN width >= 3840 OR height >= 2160 THEN 'UHD' WHEN width >= 1920 OR height >= 1080 THEN '1080p' WHEN width >= 1280 OR height >= 720 THEN '720p' ELSE 'SD' END AS tier,
+ CASE WHEN width >= 3840 OR height >= 2160 THEN 25 WHEN width >= 1920 OR height >= 1080 THEN 28 WHEN width >= 1280 OR height >= 720 THEN 32 ELSE 38 END AS low,
+ CASE WHEN width >= 3840 OR height >= 2160 THEN 55 WHEN width >= 1920 OR height >= 1080 THEN 58 WHEN width >= 1280 OR height >= 720 THEN 62 ELSE 63 END AS high
+FROM f_video""",
+    "f_search": """
+SELECT video_id, low AS lo, high AS hi, CAST(NULL AS INTEGER) AS cq FROM f_tiers
+UNION ALL
+SELECT s.video_id, CASE WHEN coalesce(g.passed, false) THEN s.mid + 1 ELSE s.lo END, CASE WHEN coalesce(g.passed, false) THEN s.hi ELSE s.mid - 1 END, s.mid
+FROM (SELECT *, (lo + hi + 1) // 2 AS mid FROM f_search WHERE lo <= hi) s LEFT JOIN f_gated g ON g.video_id = s.video_id AND g.cq = s.mid""",
+    "f_searched": """
+SELECT *, fell_short OR abs(mean - 97) < 0.5e0 OR abs(p05 - 95) < 0.5e0 OR abs(p01 - 90) < 0.5e0 AS is_marginal
+FROM (SELECT l.*, NOT bool_or(l.passed) OVER (PARTITION BY l.video_id) AS fell_short,
+  row_number() OVER (PARTITION BY l.video_id ORDER BY l.passed DESC, CASE WHEN l.passed THEN l.cq END DESC NULLS LAST, l.mean DESC NULLS LAST, l.cq) AS choice
+ FROM f_gated l JOIN f_search q ON q.video_id = l.video_id AND q.cq = l.cq) z WHERE choice = 1""",
+    "f_verified": """
+SELECT video_id, mode = 'none' OR (probed AND has_frames AND found = '') AS verify_passed, CASE WHEN mode <> 'none' AND probed AND has_frames THEN found ELSE '' END AS found
+FROM (SELECT r.video_id, r.plan_mode AS mode, o.video_id IS NOT NULL AS probed, m.video_id IS NOT NULL AS has_frames,
+  concat_ws(',', CASE WHEN m.progressive_fraction < 0.99e0 THEN 'residual_interlacing' END, CASE WHEN r.plan_mode = 'ivtc' AND m.cadence_rate > 0.05e0 THEN 'residual_cadence' END,
+   CASE WHEN r.plan_mode = 'ivtc' AND abs(o.fps - 24000/1001.0) >= 0.01 THEN 'unexpected_rate' END) AS found
+ FROM f_restored r LEFT JOIN o_video_rates o USING (video_id) LEFT JOIN o_metrics m ON m.video_id = o.video_id) x""",
+    "f_summarised": """
+SELECT *, CASE WHEN NOT verify_passed THEN 'verify_failed' WHEN outcome = 'fell_back' THEN 'passthrough' WHEN is_marginal THEN 'marginal' ELSE 'ok' END AS level
+FROM (SELECT v.video_id, w.tier, v.color_transfer IS NOT NULL AND lower(v.color_transfer) IN ('smpte2084', 'arib-std-b67') AS is_hdr,
+  CASE WHEN v.pix_fmt LIKE '%12%' THEN 12 WHEN v.pix_fmt LIKE '%10%' THEN 10 ELSE 8 END AS bit_depth, h.max_cll,
+  r.content_type, r.plan_mode AS mode, r.undetermined_share, r.parity_mismatch, p.cq AS final_cq, p.fell_short, p.is_marginal,
+  CASE WHEN z.encoded_bytes < z.input_bytes THEN 'kept_smaller' WHEN r.plan_mode <> 'none' THEN 'kept_restored' WHEN z.passthrough_bytes >= z.encoded_bytes THEN 'kept' ELSE 'fell_back' END AS outcome,
+  s.cpu_ms, t.totals_agree, c.verify_passed, c.found
+ FROM f_video v JOIN f_tiers w ON w.video_id = v.video_id LEFT JOIN f_restored r ON r.video_id = v.video_id LEFT JOIN f_searched p ON p.video_id = v.video_id
+ LEFT JOIN f_sizes z ON z.video_id = v.video_id LEFT JOIN shares s ON s.video_id = v.video_id LEFT JOIN f_reconciled t ON t.video_id = v.video_id
+ LEFT JOIN f_verified c ON c.video_id = v.video_id LEFT JOIN f_hdr h ON h.video_id = v.video_id) y""",
+}
+
+
 def check(body: str) -> str:
     return compose(body, PARTS)

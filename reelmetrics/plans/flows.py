@@ -91,13 +91,7 @@ def compress_summary(
     if hdr is not None:
         parts["hdr"] = hdr
     if ops is not None:
-        card = usage.time_card(ops)
-        row = F.struct(*[c for c in card.columns if c not in ("video_id", "total_ms")])
-        # At most six phases per video.
-        parts["timings"] = card.groupBy("video_id").agg(
-            F.max("total_ms").alias("total_ms"), F.array_sort(F.collect_list(row)).alias("phases")
-        )
-        parts["resource_share"] = usage.resource_share(ops)
+        rows = rows.join(usage.video_usage(ops), "video_id", "left")
     return assemble(rows, parts).withColumns(
         {
             "final_cq": F.col("tuning.cq"),

@@ -618,6 +618,31 @@ def video_warnings(d: Inputs) -> DataFrame:
     return found.select("video_id", F.concat_ws(",", F.transform("warnings", lambda w: w["code"])).alias("warnings"))
 
 
+def _fleet(d: Inputs) -> DataFrame:
+    """Summaries of one video per supplier, with everything in them from tables."""
+    return flows.compress_summary(
+        d.f_video, d.f_frames, d.f_scores, d.f_sizes, output_frames=d.f_out_frames, output_streams=d.f_out_video,
+        totals=d.f_totals, hdr=d.f_hdr, ops=d.v_ops,
+    )
+
+
+@query("""
+SELECT video_id, tier, is_hdr, CAST(bit_depth AS INTEGER) AS bit_depth, max_cll, content_type, mode, final_cq, fell_short, outcome, verify_passed, level, cpu_ms, totals_agree FROM f_summarised""")
+def fleet_summary(d: Inputs) -> DataFrame:
+    return _fleet(d).select(
+        "video_id", "search.tier", "is_hdr", "bit_depth", "hdr.max_cll", "detection.content_type", "restore.mode", "final_cq", "tuning.fell_short",
+        "size_guard.outcome", F.col("verification.passed").alias("verify_passed"), "level", "resource_share.cpu_ms", "detection.totals_agree",
+    )
+
+
+@query("""
+SELECT video_id, concat_ws(',', CASE WHEN undetermined_share > 0.02e0 THEN 'undetermined_high' END, CASE WHEN parity_mismatch THEN 'parity_mismatch' END,
+ CASE WHEN NOT totals_agree THEN 'totals_disagree' END, CASE WHEN is_marginal THEN 'marginal' END, CASE WHEN outcome <> 'kept_smaller' THEN outcome END, nullif(found, '')) AS warnings FROM f_summarised""")
+def fleet_warnings(d: Inputs) -> DataFrame:
+    found = decisions.video_warnings(_fleet(d))
+    return found.select("video_id", F.concat_ws(",", F.transform("warnings", lambda w: w["code"])).alias("warnings"))
+
+
 # --- streams: the table is read as a stream, run to its end, and the result is checked like a batch ---
 
 

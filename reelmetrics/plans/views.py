@@ -170,6 +170,42 @@ SELECT o_orderkey AS video_id, o_orderdate AS finished_at, o_orderstatus AS stat
 SELECT o_orderkey AS video_id, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 'tool failed' END AS error,
  o_orderkey % 7 <> 0 AS verify_passed, o_orderkey % 11 = 0 AS fell_back, o_orderstatus = 'P' AS is_marginal
 FROM orders""",
+    # A fleet: one video per supplier, its facts, frames, scores, sizes and outputs all from tables.
+    "f_video": """
+SELECT video_id, rate AS r_frame_rate, CASE WHEN video_id % 7 = 0 THEN '15/1' ELSE rate END AS avg_frame_rate, field_order, width, height, pix_fmt, color_transfer
+FROM (SELECT s_suppkey AS video_id, CASE s_suppkey % 5 WHEN 0 THEN '24000/1001' WHEN 1 THEN '30000/1001' WHEN 2 THEN '25/1' WHEN 3 THEN '60/2' ELSE '29.97' END AS rate,
+  CASE s_nationkey % 5 WHEN 0 THEN 'progressive' WHEN 1 THEN 'tt' WHEN 2 THEN 'bb' WHEN 3 THEN 'unknown' ELSE NULL END AS field_order,
+  CASE s_suppkey % 4 WHEN 0 THEN 3840 WHEN 1 THEN 1920 WHEN 2 THEN 1280 ELSE 720 END AS width, CASE s_suppkey % 4 WHEN 0 THEN 2160 WHEN 1 THEN 1080 WHEN 2 THEN 720 ELSE 480 END AS height,
+  CASE s_nationkey % 3 WHEN 0 THEN 'yuv420p' WHEN 1 THEN 'yuv420p10le' ELSE 'yuv420p12le' END AS pix_fmt,
+  CASE s_nationkey % 4 WHEN 0 THEN 'smpte2084' WHEN 1 THEN 'arib-std-b67' WHEN 2 THEN 'bt709' ELSE NULL END AS color_transfer FROM supplier) s""",
+    "f_frames": """
+SELECT video_id, frame_idx,
+ CASE video_id % 6 WHEN 0 THEN 'progressive' WHEN 1 THEN CASE WHEN frame_idx % 5 < 3 THEN 'progressive' ELSE 'tff' END WHEN 2 THEN 'tff'
+  WHEN 3 THEN CASE WHEN event_type IN ('view', 'click') THEN 'progressive' ELSE 'bff' END WHEN 4 THEN CASE WHEN frame_idx % 50 = 7 THEN 'tff' ELSE 'progressive' END
+  ELSE CASE event_type WHEN 'signup' THEN 'undetermined' WHEN 'click' THEN 'tff' ELSE 'progressive' END END AS flag
+FROM (SELECT 1 + event_id % (SELECT max(s_suppkey) FROM supplier) AS video_id,
+  CAST(floor(event_id / CAST((SELECT max(s_suppkey) FROM supplier) AS DOUBLE)) AS BIGINT) AS frame_idx, event_type FROM events) e""",
+    "f_totals": """
+SELECT video_id, CASE WHEN video_id % 4 = 0 THEN NULL ELSE p + video_id % 4 - 1 END AS progressive, t AS tff, b AS bff, u AS undetermined
+FROM (SELECT video_id, count(CASE WHEN flag = 'progressive' THEN 1 END) AS p, count(CASE WHEN flag = 'tff' THEN 1 END) AS t,
+ count(CASE WHEN flag = 'bff' THEN 1 END) AS b, count(CASE WHEN flag = 'undetermined' THEN 1 END) AS u FROM f_frames GROUP BY video_id) c""",
+    "f_scores": """
+SELECT l_suppkey AS video_id, 25 + l_orderkey % 39 AS cq, l_partkey % 16 AS sample_idx,
+ CASE WHEN l_suppkey % 7 = 5 THEN CASE WHEN l_orderkey % 39 < 25 THEN 99e0 ELSE 80e0 END ELSE 99.9e0 - l_discount * 5e0 - (l_orderkey % 39) * 0.06e0 * (1e0 + (l_suppkey % 10) / 10e0) - l_quantity / 50e0 - CASE WHEN l_suppkey % 7 = 3 THEN 4e0 ELSE 0e0 END END AS score
+FROM lineitem""",
+    "f_sizes": """
+SELECT video_id, input_bytes, CAST(floor(input_bytes * (500 + (video_id * 7919) % 1001) / 1000e0) AS BIGINT) AS encoded_bytes,
+ CAST(floor(input_bytes * (990 + video_id % 300) / 1000e0) AS BIGINT) AS passthrough_bytes
+FROM (SELECT s_suppkey AS video_id, 1000000 + (s_suppkey * 1000003) % 10000000 AS input_bytes FROM supplier) s""",
+    "f_hdr": """
+SELECT s_suppkey AS video_id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 100 * (s_suppkey % 30) END AS max_cll FROM supplier WHERE s_nationkey % 4 < 2""",
+    # Outputs: some cannot be probed, some give no frames, some still have interlaced frames or another rate.
+    "f_out_video": """
+SELECT video_id, rate AS r_frame_rate, rate AS avg_frame_rate, 'progressive' AS field_order
+FROM (SELECT s_suppkey AS video_id, CASE WHEN s_suppkey % 8 = 0 THEN '25/1' ELSE '24000/1001' END AS rate FROM supplier WHERE s_suppkey % 11 <> 5) s""",
+    "f_out_frames": """
+SELECT video_id, frame_idx, CASE WHEN video_id % 9 = 0 AND frame_idx % 4 = 0 THEN 'tff' WHEN video_id % 13 = 1 AND frame_idx % 5 > 2 THEN 'bff' ELSE 'progressive' END AS flag
+FROM f_frames WHERE video_id % 10 <> 7""",
     # Search ranges, some of them unusable.
     "v_ranges": """
 SELECT p_partkey AS video_id, p_size - 3 AS min_cq, 66 - p_size AS max_cq FROM part""",

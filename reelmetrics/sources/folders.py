@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlsplit
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +25,49 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that this session has made, in whatever store it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def open_store(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a folder, and the folder's path in it."""
+    if folder.startswith("file:"):
+        return pa.fs.LocalFileSystem(), "/" + unquote(folder.removeprefix("file:")).lstrip("/")
+    return pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder)
+
+
+def _entries(folder: str, recursive: bool) -> list[pa.fs.FileInfo]:
+    store, path = open_store(folder)
+    return store.get_file_info(pa.fs.FileSelector(path, recursive=recursive))
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below `folder`, whatever they and their folders are called: path (as a URI), length, modified.
+
+    Spark's own listing leaves out names that begin with `_` or `.`.  The driver looks at the first level only;
+    each folder found there is listed by a task.
+    """
+    root = open_store(folder)[1]
+    base = folder if urlsplit(folder).scheme else f"file:{root}"
+    base = base[: len(base) - len(root)] if base.endswith(root) else "file:"
+    first = _entries(folder, recursive=False)
+    below = [(e.path,) for e in first if e.type == pa.fs.FileType.Directory]
+    here = [(e.path, e.size, e.mtime) for e in first if e.type == pa.fs.FileType.File]
+    kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*((base + quote(p), n, t) for p, n, t in found), strict=True)) or [(), (), ()]
+        return pa.record_batch([pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)], schema=kinds)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = open_store(folder)[0].get_file_info(pa.fs.FileSelector(path, recursive=True))
+                files = [(e.path, e.size, e.mtime) for e in found if e.type == pa.fs.FileType.File]
+                for at in range(0, len(files), 10_000):
+                    yield rows(files[at : at + 10_000])
+
+    ddl = "path string, length long, modified timestamp"
+    top = spark.createDataFrame([(base + quote(p), n, t) for p, n, t in here], ddl)
+    if not below:
+        return top
+    folders = spark.createDataFrame(below, "path string").repartition(min(len(below), 1_000))
+    return top.unionByName(folders.mapInArrow(walk, ddl))

@@ -9,6 +9,7 @@ from reelmetrics import schemas
 from reelmetrics.functions.text import file_stem, safe_id
 from reelmetrics.settings import DEFAULTS, Settings
 from reelmetrics.sources import documents
+from reelmetrics.sources.folders import list_files
 
 # Streams take this many files per trigger, which bounds what one batch brings in.
 FILES_PER_TRIGGER = 64
@@ -22,18 +23,9 @@ def _video_key(column: str = "path"):
 def read_catalog(spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> DataFrame:
     """Files below `folder` with their key; file contents are never read.
 
-    The size limit is given to the source, so tiny files are dropped while listing.
-    Spark's own listing leaves out names that begin with '_' and folders that begin with
-    '.'; where those matter, give a listing table to `documents.candidates` instead.
+    Names that begin with '_' and folders that begin with '.' belong to it; files that begin with '.' do not.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .where(F.col("length") >= settings.min_file_bytes)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
-    return documents.candidates(files, settings).withColumn("video_id", _video_key())
+    return documents.candidates(list_files(spark, folder), settings).withColumn("video_id", _video_key())
 
 
 def duplicate_keys(catalog: DataFrame) -> DataFrame:

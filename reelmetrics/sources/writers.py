@@ -19,9 +19,13 @@ def write_run(run: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_events(events: DataFrame, path: str, by_video: bool = False, mode: str = "append") -> None:
-    """Events as JSON by run, or one folder per video below the run."""
+    """Events as JSON by run, or one folder per video below the run.
+
+    The rows of a folder are brought together first, so that not every task writes a file into it; a large
+    folder is shared by several.
+    """
     folders = ["run_id", "file"] if by_video else ["run_id"]
-    events.write.mode(mode).option("ignoreNullFields", True).partitionBy(*folders).json(path)
+    events.hint("rebalance", *[F.col(c) for c in folders]).write.mode(mode).option("ignoreNullFields", True).partitionBy(*folders).json(path)
 
 
 def write_manifest(manifest: DataFrame, path: str, file_format: str = "parquet", mode: str = "overwrite") -> None:

@@ -13,17 +13,20 @@ def test_catalog(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(b"x" * size)
 
-    for name, size in {"b.mkv": 20_000, "A film (1).mkv": 10_240, "tiny.mkv": 10_239, ".hidden.mkv": 20_000, ".dir/c.mkv": 20_000, "sub/b.mp4": 30_000}.items():
+    for name, size in {"b.mkv": 20_000, "A film (1).mkv": 10_240, "tiny.mkv": 10_239, ".hidden.mkv": 20_000, ".dir/deep/c.mkv": 20_000, "_d%20.mkv": 20_000, "sub/_x/b.mp4": 30_000, "sub/.e.mkv": 20_000}.items():
         put(name, size)
     df = readers.read_catalog(spark, str(tmp_path))
     got = {r["path"].split(str(tmp_path))[-1]: (r["video_id"], r["length"]) for r in rows(df)}
-    assert sorted(v for v, _ in got.values()) == ["A_film__1_", "b", "b"]
+    assert sorted(v for v, _ in got.values()) == ["A_film__1_", "_d_20", "b", "b", "c"]
+    assert {r["modified"].year for r in rows(df)} != {None}
     listing = spark.createDataFrame([("/x/.dir/c.mkv", 20_000), ("/x/_d.mkv", 10_240), ("/x/.e.mkv", 20_000), ("f", 1)], "path STRING, length BIGINT")
     assert [r["path"] for r in rows(documents.candidates(listing), "path")] == ["/x/.dir/c.mkv", "/x/_d.mkv"]
     assert rows(readers.duplicate_keys(df))[0]["files"] == 2
     ordered = [r["path"].rsplit("/", 1)[-1] for r in documents.catalog_order(df).collect()]
-    assert ordered[-1] == "b.mp4" and ordered[0].startswith("A")
-    assert "content" not in df._jdf.queryExecution().executedPlan().toString()
+    assert ordered == ["c.mkv", "_d%2520.mkv", "A%20film%20%281%29.mkv", "b.mkv", "b.mp4"]
+    (tmp_path / "none").mkdir()
+    assert readers.read_catalog(spark, str(tmp_path / "none")).count() == 0
+    assert readers.read_catalog(spark, f"file://{tmp_path}").count() == 5
 
 
 def test_probe_documents(spark, tmp_path):
