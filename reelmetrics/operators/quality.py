@@ -10,8 +10,9 @@ from reelmetrics.settings import DEFAULTS, Settings
 # Fixed value: the tail percentiles every level is judged by.
 PERCENTILES = {"p05": 0.05, "p01": 0.01}
 LEVEL = ["video_id", "cq"]
-# Scores lie in 0..100; this many cells per point bound what any task sees at once.
-CELLS_PER_POINT = 64
+# Scores lie in 0..100; this many cells per point, and so many parts of the few cells that hold a wanted rank,
+# bound what any task sees at once.
+CELLS_PER_POINT, PARTS = 64, 4096
 
 
 def _cell(score: Column) -> Column:
@@ -31,7 +32,8 @@ def level_stats(scores: DataFrame) -> DataFrame:
 
     The percentiles are found by rank, without bringing a level's scores together:
     equal scores are counted first (map side), counts are added up per cell, the few
-    cells that hold the wanted ranks are looked up, and only their values are ordered.
+    cells that hold the wanted ranks are looked up, cut once more between their own least and
+    greatest score, and only the values of the parts with a wanted rank are ordered.
     """
     counted = (
         scores.groupBy(*LEVEL, F.col("score").cast("double").alias("score"))
@@ -42,6 +44,7 @@ def level_stats(scores: DataFrame) -> DataFrame:
         F.sum("n").alias("c"),
         F.sum(F.col("n") * F.col("score")).alias("s"),
         F.min("score").alias("low"),
+        F.max("score").alias("high"),
         F.sum(F.when(F.col("score") > 0, F.col("n"))).alias("positive"),
         F.sum(F.when(F.col("score") > 0, F.col("n") / F.col("score"))).alias("inverse"),
         F.max(F.coalesce(F.isnan("score"), F.lit(False))).alias("odd"),
@@ -49,7 +52,7 @@ def level_stats(scores: DataFrame) -> DataFrame:
     level = Window.partitionBy(*LEVEL)
     before = level.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
-        *LEVEL, "cell", "c",
+        *LEVEL, "cell", "c", F.col("low").alias("least"), "high",
         F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"),
         F.sum("c").over(level).alias("total"),
         F.sum("s").over(level).alias("s"),
@@ -68,9 +71,19 @@ def level_stats(scores: DataFrame) -> DataFrame:
         in_cell = in_cell | ((position >= F.col("start")) & (position < F.col("start") + F.col("c")))
     hits = cells.where(in_cell).drop("c")
 
-    ordered = Window.partitionBy(*LEVEL, "cell").orderBy("score")
+    # The parts of a hit cell: the same once more, from its start.
+    within = (F.col("score") - F.col("least")) * PARTS / (F.col("high") - F.col("least"))
+    part = F.coalesce(F.when(F.col("high") > F.col("least"), F.floor(F.least(within, F.lit(PARTS - 1.0)))), F.lit(0))
+    inside = counted.join(hits, [*LEVEL, "cell"]).withColumn("part", part)
+    facts = ("start", "total", "s", "min", "positive", "inverse", "odd")
+    sizes = inside.groupBy(*LEVEL, "cell", "part").agg(F.sum("n").alias("c"), *[F.first(c).alias(c) for c in facts])
+    ahead = Window.partitionBy(*LEVEL, "cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("start", F.col("start") + F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+    chosen = sizes.where(in_cell).drop("c")
+
+    ordered = Window.partitionBy(*LEVEL, "cell", "part").orderBy("score")
     ranked = (
-        counted.join(hits, [*LEVEL, "cell"])
+        inside.select(*LEVEL, "cell", "part", "score", "n").join(chosen, [*LEVEL, "cell", "part"])
         .withColumn("end", F.col("start") + F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("begin", F.col("end") - F.col("n"))
     )

@@ -19,7 +19,8 @@ from reelmetrics.plans import flows
 from reelmetrics.plans.checks import check
 from reelmetrics.plans.views import view, view_over
 from reelmetrics.settings import DEFAULTS
-from reelmetrics.sources import documents
+from reelmetrics.sources import documents, readers, writers
+from reelmetrics.sources.folders import scratch_folder
 from reelmetrics.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,6 +339,22 @@ def sample_windows(d: Inputs) -> DataFrame:
     return drawn.select("video_id", "sample_idx", r("start_s"), r("length_s"))
 
 
+@query("SELECT video_id, count(*) AS windows, true AS inside, true AS apart, true AS one_a_stratum FROM drawn GROUP BY video_id")
+def sample_rules(d: Inputs) -> DataFrame:
+    """What the default generator must keep, whatever it draws: windows inside the video, apart, one beginning in each stratum."""
+    drawn = sampling.sample_windows(d.v_durations)
+    spans = F.array_sort(F.collect_list(F.struct("sample_idx", "start_s", "length_s")))  # at most 16 windows a video
+    videos = drawn.join(d.v_durations, "video_id").groupBy("video_id").agg(spans.alias("w"), F.max("duration_s").alias("duration_s"))
+    stratum = F.col("duration_s") / F.size("w")
+    slack = 1e-6
+    return videos.select(
+        "video_id", F.size("w").cast("bigint").alias("windows"),
+        F.forall("w", lambda x: (x["start_s"] >= 0) & (x["start_s"] + x["length_s"] <= F.col("duration_s") + slack)).alias("inside"),
+        F.forall(F.sequence(F.lit(1), F.size("w")), lambda i: F.coalesce(F.get("w", i)["start_s"] + slack >= F.get("w", i - 1)["start_s"] + F.get("w", i - 1)["length_s"], F.lit(True))).alias("apart"),
+        F.forall("w", lambda x: (x["start_s"] + slack >= x["sample_idx"] * stratum) & (x["start_s"] <= (x["sample_idx"] + 1) * stratum + slack)).alias("one_a_stratum"),
+    )
+
+
 @query("""
 SELECT video_id, count(*) AS windows, round(sum(length_s), 6) AS covered_s, round(sum(length_s) / any_value(duration_s) * 100, 6) AS covered_pct
 FROM drawn GROUP BY video_id""")
@@ -643,6 +660,39 @@ def fleet_warnings(d: Inputs) -> DataFrame:
     return found.select("video_id", F.concat_ws(",", F.transform("warnings", lambda w: w["code"])).alias("warnings"))
 
 
+# --- sinks: written, then read back ---
+
+
+@query("SELECT disc_id, chapter_idx - 2 AS chapter_idx, start_s, end_s FROM v_chapters WHERE chapter_idx >= 2")
+def trim_chapters(d: Inputs) -> DataFrame:
+    return chapters.trim_chapters(d.v_chapters, 3)
+
+
+@query("""
+SELECT CAST(video_id AS VARCHAR) AS video_id, CAST(25 + video_id % 31 AS INTEGER) AS final_cq, verify_passed, fell_back, is_marginal, CASE WHEN video_id % 2 = 0 THEN 'a' ELSE 'b' END AS run_id FROM v_results WHERE error IS NULL""")
+def summary_roundtrip(d: Inputs) -> DataFrame:
+    folder = scratch_folder(d.spark, "summaries")
+    done = d.v_results.where("error is null").select(
+        F.when(F.col("video_id") % 2 == 0, "a").otherwise("b").alias("run_id"), F.col("video_id").cast("string").alias("video_id"),
+        (25 + F.col("video_id") % 31).cast("int").alias("final_cq"), "verify_passed", "fell_back", "is_marginal",
+    )
+    writers.write_summaries(done, folder)
+    found = readers.read_summaries(d.spark, folder, multi_line=False)
+    return found.select("video_id", "final_cq", "verify_passed", "fell_back", "is_marginal", F.regexp_extract(F.input_file_name(), r"run_id=(\w+)/", 1).alias("run_id"))
+
+
+@query("""
+SELECT CASE WHEN video_id % 2 = 0 THEN 'a' ELSE 'b' END AS run_id, concat('f', video_id % 50) AS file, event, count(*) AS n, CAST(sum(wait_ms) AS BIGINT) AS wait_ms FROM (
+ SELECT video_id, wait_ms, 'acquire' AS event FROM v_ops WHERE wait_ms > 0 UNION ALL SELECT video_id, wait_ms, 'release' FROM v_ops WHERE woken > 0 OR hold_ms >= 30000) e GROUP BY ALL""")
+def event_roundtrip(d: Inputs) -> DataFrame:
+    folder = scratch_folder(d.spark, "events")
+    run, file = F.when(F.col("video_id") % 2 == 0, "a").otherwise("b"), F.concat(F.lit("f"), F.col("video_id") % 50)
+    events = usage.thin_events(d.v_ops).select(run.alias("run_id"), file.alias("file"), "event", "wait_ms")
+    writers.write_events(events, folder, by_video=True)
+    found = d.spark.read.schema("event string, wait_ms long, run_id string, file string").json(folder)
+    return found.groupBy("run_id", "file", "event").agg(F.count("*").alias("n"), F.sum("wait_ms").alias("wait_ms"))
+
+
 # --- streams: the table is read as a stream, run to its end, and the result is checked like a batch ---
 
 

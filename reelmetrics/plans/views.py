@@ -183,8 +183,7 @@ SELECT video_id, frame_idx,
  CASE video_id % 6 WHEN 0 THEN 'progressive' WHEN 1 THEN CASE WHEN frame_idx % 5 < 3 THEN 'progressive' ELSE 'tff' END WHEN 2 THEN 'tff'
   WHEN 3 THEN CASE WHEN event_type IN ('view', 'click') THEN 'progressive' ELSE 'bff' END WHEN 4 THEN CASE WHEN frame_idx % 50 = 7 THEN 'tff' ELSE 'progressive' END
   ELSE CASE event_type WHEN 'signup' THEN 'undetermined' WHEN 'click' THEN 'tff' ELSE 'progressive' END END AS flag
-FROM (SELECT 1 + event_id % (SELECT max(s_suppkey) FROM supplier) AS video_id,
-  CAST(floor(event_id / CAST((SELECT max(s_suppkey) FROM supplier) AS DOUBLE)) AS BIGINT) AS frame_idx, event_type FROM events) e""",
+FROM (SELECT event_id % 250 AS video_id, CAST(floor(event_id / 250.0) AS BIGINT) AS frame_idx, event_type FROM events) e""",
     "f_totals": """
 SELECT video_id, CASE WHEN video_id % 4 = 0 THEN NULL ELSE p + video_id % 4 - 1 END AS progressive, t AS tff, b AS bff, u AS undetermined
 FROM (SELECT video_id, count(CASE WHEN flag = 'progressive' THEN 1 END) AS p, count(CASE WHEN flag = 'tff' THEN 1 END) AS t,

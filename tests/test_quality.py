@@ -229,3 +229,12 @@ def test_levels_that_cannot_be_searched_come_out(spark):
     levels = spark.createDataFrame([("v", 64), ("v", None), ("v", 0), ("v", -1)], "video_id STRING, cq INT")
     got = {r["cq"]: r["reason"] for r in rows(search.level_rejects(levels))}
     assert set(got) == {64, None, -1} and got[None] != got[64]
+
+
+def test_full_precision_scores_in_one_cell(spark):
+    rng = random.Random(8)
+    groups = {(1, 1): [97.0 + rng.random() / 100 for _ in range(5_000)], (1, 2): [1e6 + rng.random() for _ in range(2_000)], (1, 3): [-5.0, 1e300, 2.0, 3.0]}
+    got = {(r["video_id"], r["cq"]): r for r in rows(quality.level_stats(scores(spark, groups)))}
+    for key, values in groups.items():
+        assert got[key]["p05"] == pytest.approx(np.percentile(values, 5), rel=1e-12)
+        assert got[key]["p01"] == pytest.approx(np.percentile(values, 1), rel=1e-12)
