@@ -533,6 +533,27 @@ def util_hints(d: Inputs) -> DataFrame:
     return hinted.select("minute", F.concat_ws(",", "hints").alias("hints"))
 
 
+_ALL_POOLS = """
+SELECT minute, concat_ws(',', CASE WHEN cpu_busy >= 75 AND cpu_pct <= 30 THEN 'cpu_underused' END, CASE WHEN nvenc_busy >= 75 AND sessions * 100e0 / 4 <= 30 THEN 'nvenc_underused' END,
+ CASE WHEN nvdec_busy >= 75 AND gpu_pct <= 30 THEN 'nvdec_underused' END, CASE WHEN cuda_busy >= 75 AND gpu_pct <= 30 THEN 'cuda_underused' END, CASE WHEN 16000 - vram < 1024 THEN 'vram_near_limit' END) AS hints
+FROM (SELECT event_id // 7 AS minute, (20 - avg(event_id % 7)) * 100e0 / 20 AS cpu_busy, (4 - avg(event_id % 3)) * 100e0 / 4 AS nvenc_busy, (4 - avg(event_id % 2)) * 100e0 / 4 AS nvdec_busy,
+  (4 - avg(event_id % 4 // 2)) * 100e0 / 4 AS cuda_busy, avg(floor(value) % 60) AS cpu_pct, avg(event_id % 5 % 3) AS sessions, avg(CASE WHEN event_type <> 'error' THEN floor(value) % 45 END) AS gpu_pct,
+  max(14000 + event_id * 31 % 1500) AS vram FROM events GROUP BY event_id // 7) p"""
+
+
+@query(_ALL_POOLS)
+def util_hints_all(d: Inputs) -> DataFrame:
+    """Every hint there is, from samples that report every pool and gauge."""
+    rows = d.v_events.select(
+        F.expr("event_id div 7").alias("minute"), (F.col("event_id") % 7).alias("cpu_free"), (F.col("event_id") % 3).alias("nvenc_free"),
+        (F.col("event_id") % 2).alias("nvdec_free"), F.expr("event_id % 4 div 2").alias("cuda_free"), (F.floor("value") % 60).alias("cpu_pct"),
+        (F.col("event_id") % 5 % 3).alias("nvenc_sessions"), F.when(F.col("event_type") != "error", F.floor("value") % 45).alias("gpu_pct"),
+        (14000 + F.col("event_id") * 31 % 1500).alias("vram_mb"),
+    )
+    hinted = ticks.util_hints(ticks.tick_summary(rows, ["minute"]), vram_total_mb=16000)
+    return hinted.select("minute", F.concat_ws(",", "hints").alias("hints"))
+
+
 @query("""
 SELECT slot, seq, stage, detail FROM (SELECT *, lag(stage) OVER (PARTITION BY slot ORDER BY seq) AS before FROM v_stages) s WHERE stage IS DISTINCT FROM before""")
 def stage_changes(d: Inputs) -> DataFrame:

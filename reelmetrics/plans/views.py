@@ -162,6 +162,7 @@ FROM orders""",
 SELECT conv_id AS slot, turn AS seq, CASE length(text) % 3 WHEN 0 THEN 'Detect' WHEN 1 THEN 'Phase 1' ELSE 'Phase 2' END AS stage, role AS detail
 FROM conversations""",
     "v_catalog": "SELECT page_id, url AS path, CAST(length(html) AS BIGINT) AS length FROM pages",
+    "v_events": "SELECT event_id, event_type, value FROM events",
     "v_prior": "SELECT o_orderkey AS video_id FROM orders WHERE o_orderkey % 5 = 0",
     "v_logs": "SELECT doc_id AS video_id, text AS log FROM documents",
     "v_completions": """
