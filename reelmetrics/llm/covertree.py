@@ -24,14 +24,17 @@ from reelmetrics.llm.common import components, kept
 
 #: Points in a chunk, points that centres are chosen from, and centres.
 CHUNK, SAMPLE, CENTRES = 1_024, 4_000, 64
-#: Points in a leaf of a tree, and node pairs opened at a time.
-LEAF, PAIRS = 16, 100_000
+#: Points in a small leaf, and node pairs looked at together.
+LEAF, PAIRS = 16, 20_000
 #: What rounding may add to a distance.
 SLACK = 1e-9
 
 
 class Tree:
-    """A cover tree over unit vectors. Nodes are arrays: centre (a point), radius (to the farthest point below), the run of points below, and children."""
+    """A cover tree over unit vectors: for each node its centre (a point), radius (to the farthest point below), run of points and children.
+
+    A node whose points lie so far from each other that the next level would have a node for every few of them is a leaf.
+    """
 
     def __init__(self, points: np.ndarray) -> None:
         self.points, self.order = points, np.arange(len(points))
@@ -40,8 +43,10 @@ class Tree:
         self.run: list[tuple[int, int]] = []
         self.children: list[list[int]] = []
         self._build(0, len(points), 0, 2.0)
-        self.radius_ = np.array(self.radius)
-        self.centre_ = np.array(self.centre)
+        self.centres, self.radii = np.array(self.centre), np.array(self.radius)
+        self.counts = np.array([len(c) for c in self.children])
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.below = np.array([c for own in self.children for c in own], np.int64)
 
     def _build(self, start: int, stop: int, centre: int, level: float) -> int:
         """A node for the points order[start:stop] around `centre`, whose children are at most level / 2 from the points below them."""
@@ -57,6 +62,8 @@ class Tree:
         while True:
             level /= 2
             groups = self._net(inside, far, centre, level)
+            if groups is None:
+                return node
             if len(groups) > 1:
                 break
         self.order[start:stop] = np.concatenate([inside[g] for _, g in groups])
@@ -69,10 +76,12 @@ class Tree:
     def _from(self, centre: int, inside: np.ndarray) -> np.ndarray:
         return np.linalg.norm(self.points[inside] - self.points[centre], axis=1)
 
-    def _net(self, inside: np.ndarray, far: np.ndarray, centre: int, reach: float) -> list[tuple[int, np.ndarray]]:
-        """Groups of points within `reach` of a centre; the parent's centre first, then the farthest point not yet reached."""
-        nearest, owner, centres, far = far.copy(), np.zeros(len(inside), int), [centre], far
+    def _net(self, inside: np.ndarray, far: np.ndarray, centre: int, reach: float) -> list[tuple[int, np.ndarray]] | None:
+        """Groups of points within `reach` of a centre, the parent's centre first, then the farthest point not yet reached; none if there are too many."""
+        nearest, owner, centres = far.copy(), np.zeros(len(inside), int), [centre]
         while nearest.max() > reach:
+            if len(centres) > max(2, len(inside) // LEAF):
+                return None
             new = int(nearest.argmax())
             distance = self._from(int(inside[new]), inside)
             closer = distance < nearest
@@ -80,66 +89,68 @@ class Tree:
             centres.append(int(inside[new]))
         return [(c, np.flatnonzero(owner == k)) for k, c in enumerate(centres) if (owner == k).any()]
 
+    def inside(self, node: int) -> np.ndarray:
+        return self.order[slice(*self.run[node])]
+
+    def opened(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The children of all `nodes`, and the place of the node that each belongs to."""
+        counts = self.counts[nodes]
+        of = np.repeat(np.arange(len(nodes)), counts)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        return self.below[self.starts[nodes][of] + nth], of
+
 
-def dual_join(left: Tree, right: Tree | None, reach: float) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """What two trees have within `reach`: ("all", nodes, nodes), every pair of points below is; ("some", points, points), pairs still to be decided.
+def dual_join(left: Tree, right: Tree | None, reach: float) -> Iterator[tuple[str, int, int]]:
+    """Pairs of nodes of two trees: ("all", x, y), all points below them are within `reach`; ("some", x, y), leaves of which pairs are still to be decided.
 
-    Without `right`, pairs within `left`, each once (an "all" pair of a node with itself stands for the pairs below it).
+    Without `right`, pairs within `left`, each once; a node beside itself stands for the pairs among its own points.
     """
     own = right is None
     right = left if own else right
-    stack: list[tuple[int, int]] = [(0, 0)]
-    whole: list[tuple[int, int]] = []
-    open_leaves: list[tuple[int, int]] = []
-    while stack:
-        i, j = np.array(stack).T
-        stack = []
-        for at in range(0, len(i), PAIRS):
-            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
-            apart = np.linalg.norm(left.points[left.centre_[a]] - right.points[right.centre_[b]], axis=1)
-            spread = left.radius_[a] + right.radius_[b]
-            same = (a == b) & own
-            all_near = np.where(same, 2 * left.radius_[a], apart + spread) <= reach - SLACK
-            maybe = ~all_near & (apart - spread <= reach + SLACK)
-            whole += zip(a[all_near].tolist(), b[all_near].tolist(), strict=True)
-            for x, y in zip(a[maybe].tolist(), b[maybe].tolist(), strict=True):
-                below, beside = left.children[x], right.children[y]
-                if own and x == y and below:
-                    stack += [(p, q) for k, p in enumerate(below) for q in below[k:]]
-                elif below and (not beside or left.radius[x] >= right.radius[y]):
-                    stack += [(p, y) for p in below]
-                elif beside:
-                    stack += [(x, q) for q in beside]
-                else:
-                    open_leaves.append((x, y))
-    if whole:
-        x, y = np.array(whole).T
-        yield "all", x, y
-    for at in range(0, len(open_leaves), 4_096):
-        ps, qs = [], []
-        for x, y in open_leaves[at : at + 4_096]:
-            p, q = left.order[slice(*left.run[x])], right.order[slice(*right.run[y])]
-            if own and x == y:
-                i, j = np.triu_indices(len(p), 1)
-                ps.append(p[i])
-                qs.append(p[j])
-            else:
-                ps.append(np.repeat(p, len(q)))
-                qs.append(np.tile(q, len(p)))
-        yield "some", np.concatenate(ps), np.concatenate(qs)
+    open_ = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while open_:
+        a, b = open_.pop()
+        if len(a) > PAIRS:
+            open_.append((a[PAIRS:], b[PAIRS:]))
+            a, b = a[:PAIRS], b[:PAIRS]
+        apart = np.linalg.norm(left.points[left.centres[a]] - right.points[right.centres[b]], axis=1)
+        spread = left.radii[a] + right.radii[b]
+        same = (a == b) & own
+        whole = np.where(same, 2 * left.radii[a], apart + spread) <= reach - SLACK
+        for x, y in zip(a[whole].tolist(), b[whole].tolist(), strict=True):
+            yield "all", x, y
+        stay = ~whole & (apart - spread <= reach + SLACK)
+        a, b, same = a[stay], b[stay], same[stay]
+        leaf_a, leaf_b = left.counts[a] == 0, right.counts[b] == 0
+        for x, y in zip(a[leaf_a & leaf_b].tolist(), b[leaf_a & leaf_b].tolist(), strict=True):
+            yield "some", x, y
+        by_left = ~leaf_a & ~same & (leaf_b | (left.radii[a] >= right.radii[b]))
+        by_right = ~leaf_b & ~same & ~by_left
+        p, of = left.opened(a[by_left])
+        q, to = right.opened(b[by_right])
+        next_ = [(p, b[by_left][of]), (a[by_right][to], q)]
+        for x in a[same & ~leaf_a].tolist():
+            children = np.array(left.children[x])
+            i, j = np.triu_indices(len(children))
+            next_.append((children[i], children[j]))
+        a, b = (np.concatenate(side) for side in zip(*next_, strict=True))
+        if len(a):
+            open_.append((a, b))
 
 
 def linked(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the points linked with each point of `x` and of `y` (without `y`: of `x` alone), and for each point the least place that links join it with.
 
-    The rows are vectors, not yet of unit length; a pair is decided by the cosine of these in double precision.
+    The rows are vectors, not yet of unit length. Products of unit vectors find the pairs of two leaves that may link; whether
+    one does is decided by its cosine in double precision.
     """
     own = y is None
     y, weight_y = (x, weight_x) if own else (y, weight_y)
     size_x, size_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     left = Tree(x / size_x[:, None])
     right = left if own else Tree(y / size_y[:, None])
-    count_x, count_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    count_x = np.zeros(len(x), np.int64)
+    count_y = count_x if own else np.zeros(len(y), np.int64)
     shift = 0 if own else len(x)
     root = np.arange(len(x) + (0 if own else len(y)))
 
@@ -154,24 +165,25 @@ def linked(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y:
             while not (root == root[root]).all():
                 root = root[root]
 
-    for kind, p, q in dual_join(left, None if own else right, math.sqrt(max(0.0, 2 - 2 * threshold))):
+    for kind, a, b in dual_join(left, None if own else right, math.sqrt(max(0.0, 2 - 2 * threshold))):
+        i, j = left.inside(a), right.inside(b)
+        same = own and a == b
         if kind == "all":
-            for a, b in zip(p.tolist(), q.tolist(), strict=True):
-                i, j = left.order[slice(*left.run[a])], right.order[slice(*right.run[b])]
-                same = own and a == b
-                count_x[i] += weight_y[j].sum() - (weight_x[i] if same else 0)
-                if not same:
-                    (count_x if own else count_y)[j] += weight_x[i].sum()
-                join(np.r_[i, np.full(len(j), i[0])], np.r_[np.full(len(i), i[0]), j + shift])
+            count_x[i] += weight_y[j].sum() - (weight_x[i] if same else 0)
+            if not same:
+                count_y[j] += weight_x[i].sum()
+            join(np.r_[i, np.full(len(j), i[0])], np.r_[np.full(len(i), i[0]), j + shift])
             continue
+        p, q = np.nonzero(left.points[i] @ right.points[j].T >= threshold - SLACK)
+        if same:
+            p, q = p[p < q], q[p < q]
+        p, q = i[p], j[q]
         near = np.einsum("ij,ij->i", x[p], y[q]) / (size_x[p] * size_y[q]) >= threshold
         p, q = p[near], q[near]
-        count_x += np.bincount(p, weight_y[q], len(x)).astype(np.int64)
-        if own:
-            count_x += np.bincount(q, weight_x[p], len(x)).astype(np.int64)
-        else:
-            count_y += np.bincount(q, weight_x[p], len(y)).astype(np.int64)
-        join(p, q + shift)
+        if len(p):
+            np.add.at(count_x, p, weight_y[q])
+            np.add.at(count_y, q, weight_x[p])
+            join(p, q + shift)
     return count_x, count_y, root
 
 
