@@ -88,10 +88,11 @@ def _count_batches(languages: list[str], letters: str):
     return run
 
 
-def learn(rows: DataFrame, sample: int = 2_000, most: int = 64) -> Model:
+def learn(rows: DataFrame, sample: int = 1_000, most: int = 64) -> Model:
     """Letter models from `rows` (doc_id, text, lang), of the `sample` documents of each language with the least hash.
 
-    At most the `most` languages with the most documents are learned. Rows without a language or text teach nothing.
+    At most the `most` languages with the most documents are learned. Rows without a language or text teach nothing. Up to
+    1,000 documents a language (Spark's threshold for limiting groups), each task passes on no more of one than are taken.
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("hash"))
     languages = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
