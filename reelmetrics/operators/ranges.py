@@ -61,18 +61,19 @@ def held_load(ticks: DataFrame, ops: DataFrame, keys: Sequence[str], slice_ms: i
         F.struct((F.col("start_ms") + F.col("hold_ms")).alias("at"), F.lit(-1).alias("sign")),
     )
     timed = ops.where((F.col("hold_ms") > 0) & F.col("start_ms").isNotNull())
-    changes = timed.select(*keys, *RESOURCES, F.lit(1).alias("ops"), F.inline(both)).select(
-        *keys, "at", F.lit(None).alias("tick"), *[(F.col(n) * F.col("sign")).alias(f"d_{n}") for n in names]
+    changes = timed.select(*keys, *RESOURCES, F.lit(1).alias("ops"), F.inline(both))
+    changes = changes.groupBy(*keys, "at").agg(*[F.sum(F.col(n) * F.col("sign")).alias(f"d_{n}") for n in names])
+    # At one time changes come first; ticks add nothing, so their order among each other does not matter.
+    moments = changes.withColumns({"order": F.col("at") * 2, "is_tick": F.lit(False)}).unionByName(
+        ticks.select(
+            *keys, "tick_id", F.col("tick_ms").alias("at"), (F.col("tick_ms") * 2 + 1).alias("order"), F.lit(True).alias("is_tick"),
+            *[F.lit(0).cast("bigint").alias(f"d_{n}") for n in names],
+        ),
+        allowMissingColumns=True,
     )
-    watched = ticks.select(
-        *keys, F.col("tick_ms").alias("at"), F.struct("tick_id").alias("tick"), *[F.lit(0).alias(f"d_{n}") for n in names]
-    )
-    moments = watched.unionByName(changes).groupBy(*keys, "at").agg(
-        F.collect_list("tick").alias("ticks"), *[F.sum(f"d_{n}").alias(f"d_{n}") for n in names]
-    )
-    totals = ordered_scan(moments, keys, "at", slice_ms, totals={f"held_{n}": F.col(f"d_{n}") for n in names})
+    totals = ordered_scan(moments, keys, "order", 2 * slice_ms, totals={f"held_{n}": F.col(f"d_{n}") for n in names})
     known = [F.when(F.col("at").isNotNull(), F.col(f"held_{n}")).alias(f"held_{n}") for n in names]
-    return totals.select(*keys, F.inline("ticks"), F.col("at").alias("tick_ms"), *known)
+    return totals.where("is_tick").select(*keys, "tick_id", F.col("at").alias("tick_ms"), *known)
 
 
 def frame_ranges(windows: DataFrame, streams: DataFrame) -> DataFrame:
