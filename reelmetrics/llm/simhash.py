@@ -300,6 +300,13 @@ def links(distinct: DataFrame, bits: int = 3, pieces: int | None = None) -> Data
     return found.where("a is not null").select("a", "b").union(crossed)
 
 
+def _classes(prints: DataFrame, bits: int) -> DataFrame:
+    """The distinct fingerprints of `prints`: bits, least (their smallest id) and component, the fingerprint their group is named by."""
+    distinct = kept(prints.groupBy("bits").agg(F.min("id").alias("least")))
+    parts = components(links(distinct, bits))
+    return distinct.join(parts.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id and kept.
 
@@ -309,9 +316,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     fingerprints are brought together first, so a large group of copies is one node of the index.
     """
     prints = kept(fingerprints(docs, key, text))
-    distinct = kept(prints.groupBy("bits").agg(F.min("id").alias("least")))
-    parts = components(links(distinct, bits))
-    classes = distinct.join(parts.withColumnRenamed("node", "bits"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
+    classes = _classes(prints, bits)
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = kept(classes.join(least, "component").select("bits", "component_id"))
     return prints.join(named, "bits").select(
@@ -323,19 +328,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 3) -> DataFrame:
-    """The rows of `docs` with one document left of each group, the one with the least id; all columns stay, whatever they are called.
+    """The rows of `docs` with one row left of each group of near-duplicates; all columns stay, whatever they are called.
 
-    Of rows that repeat an id the first by the text's hash stays, if its text is in the group that the id stands for.
+    A group's row is the one with the least id (a null id comes last), then the least fingerprint, then the least hash of the
+    text. A group is its fingerprints, so rows without an id, or with one id and unrelated texts, are in groups of their own.
     """
-    found = near_duplicates(docs, key, text, bits)
-    print_ = F.min(F.when(F.col("kept"), F.col("fingerprint")))
-    chosen = kept(found.groupBy("doc_id").agg(F.count("*").alias("n"), print_.alias("print")).where("print is not null").select(F.col("doc_id").alias("_chosen"), "n", "print"))
-    same = docs[key].cast("long").eqNullSafe(F.col("_chosen"))
-    once = docs.join(chosen.where("n = 1"), same, "left_semi")
-    repeated = chosen.where("n > 1")
-    if repeated.isEmpty():
-        return once
-    rows = docs.join(repeated, same).select("_chosen", "print", F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(docs[text]).alias("hash"))
-    rows = rows.where(F.conv(F.col("print"), 16, -10).cast("long") == fingerprint_of(F.col("row")[text]))
-    first = F.row_number().over(Window.partitionBy("_chosen").orderBy("hash"))
-    return once.unionByName(rows.withColumn("first", first).where("first = 1").select("row.*"))
+    id_ = docs[key].cast("long")
+    # Two hashes of the text, as a table may have so many rows without an id that one hash would repeat.
+    marks = [id_.isNull().alias("_none"), F.coalesce(id_, F.lit(0)).alias("_id"), F.xxhash64(docs[text]).alias("_hash"), F.xxhash64(F.lit(1), docs[text]).alias("_hash2")]
+    prints = kept(docs.select(id_.alias("id"), fingerprint_of(docs[text]).alias("bits"), *marks))
+    named = kept(_classes(prints, bits).select("bits", "component"))
+    least = F.min(F.struct("_none", "_id", "bits", "_hash", "_hash2")).alias("least")
+    chosen = kept(prints.join(named, "bits").groupBy("component").agg(least).select("least._none", "least._id", "least._hash", "least._hash2"))
+    plain = [docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *marks, F.xxhash64(*plain).alias("_order"))
+    # Rows with the same id and text: the first is chosen before the shuffle, so a hot one does not meet in a task.
+    same = ["_none", "_id", "_hash", "_hash2"]
+    first = F.row_number().over(Window.partitionBy(*same).orderBy("_order"))
+    return rows.withColumn("_first", first).where("_first = 1").join(chosen, same, "left_semi").select("row.*")

@@ -85,3 +85,17 @@ def test_documents_with_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.component_id, r.kept) for r in simhash.near_duplicates(docs).collect())
     assert got == sorted([(5, 3, False), (3, 3, True), (-1, 3, False), (9, 8, False), (8, 8, True), (7, 7, True), (7, 7, True), (2, 2, True)])
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    def words(k):
+        return " ".join(f"w{k}x{i}" for i in range(300))
+
+    rows = [(None, words(1), "a"), (None, words(2), "b"), (None, words(2), "b"), (None, words(3), "c"), (4, words(3).upper(), "c")]
+    rows += [(5, words(4), "d"), (5, words(5), "e"), (9, words(5).upper(), "e"), (6, words(6), "f"), (6, words(6), "f"), (None, None, "g"), (8, "", "g")]
+    docs = spark.createDataFrame(rows, "row_id long, text string, _id string").withColumnRenamed("row_id", "doc_id")
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    want = [(None, "a"), (None, "b"), (4, "c"), (5, "d"), (5, "e"), (6, "f"), (8, "g")]
+    assert sorted(((r.doc_id, r["_id"]) for r in got.collect()), key=lambda r: r[1]) == want
+    assert simhash.deduplicate(docs.where("false")).count() == 0
