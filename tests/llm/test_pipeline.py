@@ -90,3 +90,11 @@ def test_packed_pieces(stages):
 def test_empty_documents(spark, small, tmp_path):
     spark.read.parquet(f"{small}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_leaves_out_no_document(spark, small):
+    """One source has a third of the text, 20 others share the rest; what the hot source has beyond its weight stays too."""
+    rows = [(i, f"{i} " * 5_000, "en", "hot" if i % 3 == 0 else f"s{i % 20}", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    assert not mixing.mix(docs).where("not in_mix").isEmpty()
+    assert Counter(r.doc_id for r in corpus_pipeline.mix(spark, docs, small).collect()) == Counter(range(400))
