@@ -117,6 +117,22 @@ HINTS = ("licens", "warrant", "redistribut", "copyright notice")
 _HINT = "|".join(HINTS)
 #: Line ends; a blank after a full stop becomes one.
 _ENDS, _CUT = r"([.!?])[ \t\f\r\x0B]+", "\n"
+#: What may stand between two words of a wrapped sentence: a single line feed with comment marks about it, but no sentence end.
+_BLANKS = r"[^A-Za-z0-9\n.!?]*+(?:[.!?](?![ \t\f\r\x0B\n])[^A-Za-z0-9\n.!?]*+){0,8}+"
+_GAP = rf"(?=[^A-Za-z0-9]){_BLANKS}(?:\n{_BLANKS})?+"
+#: Gaps that are freer: 'v. 2.0' has no sentence end, and a blank line stands before the address of the Apache licence.
+_GAPS = {("v", "2"): r"[^A-Za-z0-9\n]*+\n?+[^A-Za-z0-9\n]*+(?<=[^A-Za-z0-9])", ("at", "http"): r"[^A-Za-z0-9]++"}
+#: Where a known sentence may begin, after marks of comments and lists, and what may follow it.
+_BEFORE = r"(?:^|(?<=\n)|(?<=[.!?;][ \t\f\r\x0B]))[^A-Za-z0-9\n]*+(?:[A-Za-z0-9]{1,3}\)[ \t]++)?+"
+_AFTER = r"(?![A-Za-z0-9])(?=[^A-Za-z0-9\n.!?;]*+(?:\n|\z|;|[.!?]+[^A-Za-z0-9\s]*+(?:\s|\z)))"
+
+
+def _wrapped(sentence: str) -> str:
+    words = sentence.split()
+    return words[0] + "".join(_GAPS.get(pair, _GAP) + pair[1] for pair in zip(words, words[1:], strict=False))
+
+
+_KNOWN = f"(?i){_BEFORE}({'|'.join(_wrapped(s) for s in sorted(SENTENCES, key=len, reverse=True))}){_AFTER}"
 
 
 def normal_form(sentence: Column) -> Column:
@@ -128,12 +144,19 @@ def _known() -> Column:
     return F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
 
 
+def _parts(text: Column) -> Column:
+    """The sentences of a text. A known sentence is one whole, also where it is wrapped or ends at a semicolon; all else is cut at line ends."""
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  "), _KNOWN, "\x01\x02$1\x01")
+    cut = lambda p: F.when(p.startswith("\x02"), F.array(p)).otherwise(F.split(F.regexp_replace(p, _ENDS, "$1\n"), _CUT))
+    return F.flatten(F.transform(F.split(marked, "\x01"), cut))
+
+
 def license_columns(text: Column) -> Column:
     """A struct for a text: `sentences`, the identifiers of the known sentences in order; `licenses`, the licences in the order of
     the rules, without repeats; `n_matches`, how often rules matched; `n_unmatched`, known sentences that no rule took;
     `n_unknown`, sentences about licensing that are not known. Null and empty texts have empty arrays and zeros.
     """
-    forms = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), _ENDS, "$1\n"), _CUT), normal_form)
+    forms = F.transform(_parts(text), normal_form)
     # Sentences without a hint need no look-up: but for a few, all known ones have one.
     telling = F.filter(forms, lambda s: s.rlike(_PROBE))
     named = F.transform(telling, lambda s: F.struct(F.coalesce(F.element_at(_known(), s), F.lit("")).alias("name"), s.rlike(_HINT).alias("hint")))
@@ -183,7 +206,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def check_sql() -> str:
-    """DuckDB SQL for what op4_licenses returns."""
+    """DuckDB SQL for what op4_licenses returns on texts whose known sentences are not wrapped."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     names = ", ".join(f"({quote(s)}, {quote(n)})" for s, n in SENTENCES.items())
     steps, rest, counts = [], "s0", []

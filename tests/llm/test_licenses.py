@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 
@@ -65,3 +66,54 @@ def test_sentences_are_in_normal_form_and_probed(sentence):
 
 def test_rules_name_known_sentences():
     assert {n for _, run in RULES for n in run.split()} <= set(SENTENCES.values())
+
+
+MIT_END = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+FREE = "This is free and unencumbered software released into the public domain."
+MIT_RUN, BSD_RUN = "MitGrant MitNotice MitAsIs MitLiable", "BsdGrant BsdSource BsdBinary"
+APACHE_RUN = "Apache2Name Apache2Comply Apache2Copy Apache2AsIs Apache2See"
+NOTICES = [
+    (MIT.partition("The above")[0] + MIT_END, "MIT", f"MitTitle {MIT_RUN}"), (BSD, "BSD-2-Clause", BSD_RUN), (BSD3, "BSD-3-Clause", f"{BSD_RUN} BsdEndorse"),
+    (GPL, "GPL-3.0-or-later", "Gpl3OrLater GplNoWarranty GplSee GplCopy"), (ISC, "ISC", "IscGrant"), (MPL, "MPL-2.0", "Mpl2Terms Mpl2Copy"),
+    (APACHE, "Apache-2.0", APACHE_RUN), (FREE, "Unlicense", "Unlicense"),
+]
+
+
+def wrap(text, width, mark):
+    paragraphs = [textwrap.wrap(p, width, break_on_hyphens=False, break_long_words=False) for p in text.split("\n\n")]
+    return ("\n" + mark.rstrip() + "\n").join("\n".join(mark + line for line in p) for p in paragraphs)
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_wrapped_notices(spark, mark):
+    texts = [(9 * w + k, f"int main;\n\n{wrap(text, w, mark)}\n\nint x;") for w in (40, 72, 80, 5_000) for k, (text, _, _) in enumerate(NOTICES)]
+    got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.licenses, " ".join(r.sentences)) for r in got} == {9 * w + k: ([n], run) for w in (40, 72, 80, 5_000) for k, (_, n, run) in enumerate(NOTICES)}
+
+
+def test_lines_that_are_no_wrapped_sentence(spark):
+    texts = ["MIT\n\nLicense", "Released under the MIT\nLicense for users", "Not released under the MIT\nLicense", "MIT. License"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.sentences == [] for r in got)
