@@ -32,6 +32,8 @@ _WORD = re.compile(rb"([A-Za-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
 _LATIN, _DOTTED = "\u0250", "\u0130"
 #: Pieces of one length that are numbered in one group, about.
 SLICE_ROWS = 50_000
+#: Branches tried in search of a plan that is better than the greedy one: the problem is NP-hard.
+STEPS = 200_000
 
 _PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -179,8 +181,125 @@ def completion(lengths: list[int], counts: dict[int, int], room: int, nodes: int
     return best
 
 
-def recipes(counts: dict[int, int], capacity: int, nodes: int = 300) -> list[Recipe]:
-    """How to pack `counts` pieces of each length: around the longest left, the best completion, as often as it can be had.
+def recipes(counts: dict[int, int], capacity: int, nodes: int = 300, steps: int = STEPS) -> list[Recipe]:
+    """How to pack `counts` pieces of each length into as few sequences as the search finds.
+
+    The greedy plan is the first incumbent. Where it needs more than `least_sequences`, a branch-and-bound over completions looks
+    for a better one, until the bound is met, all is searched, or `steps` branches are tried.
+    """
+    plan = _greedy(counts, capacity, nodes)
+    least = least_sequences(counts, capacity)
+    for amounts in (lambda most: [most], _amounts):  # at first each filling as often as it can be had, which is a far smaller search
+        if sum(r.times for r in plan) > least:
+            plan = _search(counts, capacity, plan, least, steps // 2, amounts)
+    return plan
+
+
+def _fillings(lengths: list[int], left: dict[int, int], room: int, most: int, steps: int) -> tuple[list[tuple[int, tuple[tuple[int, int], ...]]], int]:
+    """The fillings of `room` with a waste of at most `most` that no other filling is known to dominate, as (waste, parts), the
+    least waste first; and the branches tried, `steps` at most. A filling is dominated if a piece that is left fits beside it, or
+    in place of a shorter one.
+    """
+    volume = [0]
+    for n in lengths:
+        volume.append(volume[-1] + n * left[n])
+    found, tried = [], 0
+
+    def dominated(room: int, used: dict[int, int]) -> bool:
+        free = lambda n: left[n] > used.get(n, 0)
+        if (n := next(filter(free, lengths), None)) is not None and n <= room:
+            return True
+        for n in used:
+            longer = next((m for m in lengths[bisect_right(lengths, n) : bisect_right(lengths, n + room)] if free(m)), None)
+            if longer is not None:
+                return True
+        return False
+
+    def fill(room: int, top: int, chosen: tuple[tuple[int, int], ...]) -> None:
+        nonlocal tried
+        if room <= most and not dominated(room, dict(chosen)):
+            found.append((room, chosen))
+        for at in range(min(top, bisect_right(lengths, room)) - 1, -1, -1):
+            if room - volume[at + 1] > most:
+                return
+            n = lengths[at]
+            for uses in range(min(left[n], room // n), 0, -1):
+                if tried >= steps:
+                    return
+                tried += 1
+                fill(room - uses * n, at, (*chosen, (n, uses)))
+
+    fill(room, len(lengths), ())
+    return sorted(found, key=_order), tried
+
+
+def _order(filling: tuple[int, tuple[tuple[int, int], ...]]) -> tuple:
+    return filling[0], [(-n, -u) for n, u in filling[1]]
+
+
+def _amounts(most: int) -> list[int]:
+    """How often a filling may be taken at a time: any number is a sum of these, and few are tried where there are many."""
+    return list(range(most, 0, -1)) if most <= 8 else [most, *(1 << k for k in range(most.bit_length() - 1, -1, -1) if 1 << k < most)]
+
+
+def _search(counts: dict[int, int], capacity: int, plan: list[Recipe], least: int, steps: int, amounts: Callable[[int], list[int]]) -> list[Recipe]:
+    """The best plan by branch-and-bound: around the longest piece left every undominated filling, in each of `amounts`.
+
+    A branch ends where its waste, or the bound for what is left, cannot lead below the incumbent. While the longest stays the
+    same, fillings follow in order, so that no plan is tried twice.
+    """
+    left = {n: c for n, c in counts.items() if c > 0}
+    total, best = sum(n * c for n, c in left.items()), sum(r.times for r in plan)
+    path: list[tuple[Recipe, int]] = []
+    used = wasted = 0
+
+    def branches(last: tuple | None) -> Iterator[tuple[int, int, dict[int, int], tuple]]:
+        nonlocal steps
+        lengths = sorted(n for n, c in left.items() if c)
+        longest = lengths[-1]
+        left[longest] -= 1
+        # No single branching takes all steps, so that a plan is always completed.
+        found, tried = _fillings(lengths, left, capacity - longest, (best - 1) * capacity - total - wasted, max(50, steps // 16))
+        left[longest] += 1
+        steps -= tried + 1 + len(lengths) // 16  # what the bounds cost too
+        for filling in found:
+            order = (-longest, *_order(filling))
+            if last is not None and last[0] == order[0] and order < last:
+                continue
+            uses = dict(filling[1])
+            uses[longest] = uses.get(longest, 0) + 1
+            for times in amounts(min(left[n] // u for n, u in uses.items())):
+                yield times, filling[0], uses, order
+
+    stack = [branches(None)]
+    while stack and steps > 0 and best > least:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if path:
+                recipe, waste = path.pop()
+                used, wasted = used - recipe.times, wasted - waste
+                for n, u in recipe.parts:
+                    left[n] += u * recipe.times
+            continue
+        times, waste, uses, order = step
+        steps -= 1
+        if wasted + times * waste > (best - 1) * capacity - total:
+            continue
+        recipe = Recipe(tuple(sorted(uses.items(), reverse=True)), times)
+        path.append((recipe, times * waste))
+        used, wasted = used + times, wasted + times * waste
+        for n, u in recipe.parts:
+            left[n] -= u * times
+        rest = {n: c for n, c in left.items() if c}
+        if not rest and used < best:
+            plan, best = [r for r, _ in path], used
+        stack.append(branches(order) if rest and used + least_sequences(rest, capacity) < best else iter(()))
+    return plan
+
+
+def _greedy(counts: dict[int, int], capacity: int, nodes: int) -> list[Recipe]:
+    """Around the longest left, the best completion, as often as it can be had.
 
     The number of recipes does not depend on how many pieces there are: each uses up a length, or leaves fewer of one than it
     takes at a time.
@@ -205,15 +324,16 @@ def recipes(counts: dict[int, int], capacity: int, nodes: int = 300) -> list[Rec
 
 def least_sequences(counts: dict[int, int], capacity: int) -> int:
     """A bound that no packing can beat: by volume, or by pieces too long to share with each other."""
-    volume = -(-sum(n * c for n, c in counts.items()) // capacity)
-    best = volume
-    for low in {n for n in counts if 2 * n <= capacity} | {0}:
-        large = sum(c for n, c in counts.items() if n > capacity - low)
-        middle = sum(c for n, c in counts.items() if capacity - low >= n > capacity / 2)
-        free = middle * capacity - sum(n * c for n, c in counts.items() if capacity - low >= n > capacity / 2)
-        small = sum(n * c for n, c in counts.items() if low <= n <= capacity / 2)
-        best = max(best, large + middle + max(0, -(-(small - free) // capacity)))
-    return best
+    n = np.array(sorted(counts), np.int64)
+    c = np.array([counts[k] for k in n.tolist()], np.int64)
+    number, volume = np.r_[0, np.cumsum(c)], np.r_[0, np.cumsum(n * c)]
+    half = np.searchsorted(n, capacity // 2, "right")
+    low = np.r_[0, n[:half]]
+    large, small = np.searchsorted(n, capacity - low, "right"), np.searchsorted(n, low)
+    middle = number[large] - number[half]
+    free = middle * capacity - (volume[large] - volume[half])
+    over = np.maximum(0, -((free - (volume[half] - volume[small])) // capacity))
+    return max(int(-(-volume[-1] // capacity)), int((number[-1] - number[large] + middle + over).max()))
 
 
 def _places(plan: list[Recipe]) -> tuple[np.ndarray, ...]:

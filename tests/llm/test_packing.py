@@ -89,3 +89,29 @@ def test_packed_documents(spark):
     whole = {r.sequence_id: r for r in packing.sequences(packing.pack(cut, 64)).collect()}
     assert len(whole) == len(bins) and all(len(r.ids) == 4 * r.length for r in whole.values())
     assert packing.pack(packing.pieces(docs.where("false"), PATH, 64), 64).count() == 0
+
+
+def checked(counts, capacity):
+    """The number of sequences, after a look at whether the plan holds every piece."""
+    plan, used = packing.recipes(counts, capacity), Counter()
+    for r in plan:
+        assert r.times > 0 and sum(n * u for n, u in r.parts) <= capacity
+        used.update({n: u * r.times for n, u in r.parts})
+    assert used == Counter(counts)
+    return sum(r.times for r in plan), len(plan)
+
+
+def test_other_fillings_are_tried():
+    assert checked(Counter([11, 10, 7, 7, 7, 6, 4, 4, 3]), 20)[0] == 3
+    greedy = sum(r.times for r in packing._greedy({2200: 1000, 2000: 1000, 1200: 1000, 600: 1000, 800: 2000, 1400: 3000}, 4096, 300))
+    for k in (1, 1000):
+        number, few = checked({2200: 1000 * k, 2000: 1000 * k, 1200: 1000 * k, 600: 1000 * k, 800: 2000 * k, 1400: 3000 * k}, 4096)
+        assert greedy == 3333 and number == 3000 * k and few < 40
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_search_against_the_optimum(seed):
+    rng = random.Random(1000 + seed)
+    capacity = rng.choice([20, 30, 50])
+    items = [rng.randint(2, capacity * 2 // 3) for _ in range(rng.randint(8, 12))]
+    assert checked(Counter(items), capacity)[0] == fewest(items, capacity)
