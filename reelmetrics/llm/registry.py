@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmetrics.llm import covertree, decision_list, language, licenses, mixing, packing, pseudonyms, simhash, toxicity, warc
+from reelmetrics.llm import (
+    covertree,
+    decision_list,
+    language,
+    lexical,
+    licenses,
+    mixing,
+    packing,
+    pseudonyms,
+    simhash,
+    token_store,
+    toxicity,
+    warc,
+)
 from reelmetrics.llm.common import fold, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,11 +32,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
-def tokenizer_path() -> str:
-    """Place of the public vocabulary that packing counts tokens with."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public vocabulary, by default that which packing counts tokens with."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query
@@ -115,3 +128,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.learn(docs.where(~held_out))
     found = docs.select("doc_id", held_out.alias("held_out"), language.mixture_of(docs["text"], model, spark).alias("found"))
     return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.languages", "found.fits")
+
+
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that score highest for each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+CHECKS["op11_search"] = lexical.check_sql(50)
+
+
+@query
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and digest of every document's token ids, from the ORC files that they were written to."""
+    folder = scratch(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    return token_store.digests(token_store.read_tokens(spark, folder))
