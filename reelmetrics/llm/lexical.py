@@ -84,7 +84,7 @@ def scan(texts: list[str | None], automaton: ahocorasick.Automaton, terms: int)
     """The texts' lengths in terms, and by text and term of the automaton how often it occurs: text (place), term, tf."""
     parts = [b" " + t.encode().translate(_PLAIN) if t else b" " for t in texts]
     joined = b"".join(parts) + b" "
-    ends = np.cumsum([len(p) for p in parts])
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
     blank = np.frombuffer(joined, np.uint8) == 32
     begins = np.cumsum(np.r_[0, ~blank[1:] & blank[:-1]])  # terms begun up to a place
     lengths = np.diff(np.r_[0, begins[ends - 1]])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelmetrics.llm import (
     covertree,
     decision_list,
+    hard_negatives,
     language,
     lexical,
     licenses,
@@ -145,3 +146,18 @@ def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
     return token_store.digests(token_store.read_tokens(spark, folder))
+
+
+#: Embeddings whose id is divisible by the first have labels one further, of so many.
+RELABELLED, LABELS = 7, 10
+
+
+@query
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding, for each of its five nearest of the same label."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % RELABELLED == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
+CHECKS["op13_negatives"] = hard_negatives.check_sql("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")

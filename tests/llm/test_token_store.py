@@ -1,0 +1,146 @@
+import struct
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from reelmetrics.llm import token_store
+from reelmetrics.llm.registry import tokenizer_path
+
+PATH = tokenizer_path("byte_bpe_50k.json")
+TOKENIZER = Tokenizer.from_file(PATH)
+ENCODER = token_store.Encoder(PATH)
+
+
+def ids_of(text):
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, token_store.END]
+
+
+def want(rows):
+    """doc_id, start, n_tokens and ids of rows in the order of the files; rows of one id come in any order here."""
+    out, start = [], 0
+    for key, text in rows:
+        ids = ids_of(text)
+        out.append((key, start, len(ids), ids))
+        start += len(ids)
+    return out
+
+
+PIECES = st.sampled_from(["a", "Word", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f", "\x0b", "\x85", "\xa0", " ", "​", "'s", "'LL", "don't", "12", "½", "é", "É", "İ", "ʼ", "ß", "́", "漢字", "😀", "<|endoftext|>", "<|", ".", "--", "_", "\x00"])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(PIECES, max_size=20).map("".join))
+def test_encoder_equals_the_tokenizer(text):
+    ids = TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert ENCODER.text(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_encoder_on_any_text(text):
+    ids = TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert ENCODER.text(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_round_trip(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = want(sorted((r.doc_id, r.text) for r in docs.collect()))
+    manifest = token_store.write_tokens(docs, f"{tmp_path}/t", PATH, files=5).orderBy("part").collect()
+    read = token_store.read_tokens(spark, f"{tmp_path}/t")
+    assert sorted(map(tuple, read.collect())) == rows
+    digests = [(k, s, n, zlib.crc32(struct.pack(f"<{n}I", *ids))) for k, s, n, ids in rows]
+    assert sorted(map(tuple, token_store.digests(read).collect())) == digests
+    assert [r.part for r in manifest] == list(range(5)) and sum(r.rows for r in manifest) == 200
+    assert all(a.most < b.least and a.start + a.tokens == b.start for a, b in zip(manifest, manifest[1:]))
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null and empty texts, null ids last, repeated ids and rows, a very long text and clashing columns."""
+    rows = [(3, None), (1, ""), (None, "x"), (None, None), (2, "a b"), (2, "a b"), (2, "c"), (-5, "first"), (9, "long word " * 30_000)]
+    df = spark.createDataFrame([(*r, 1, 2, "z") for r in rows], "doc_id long, text string, part int, before long, ids string")
+    token_store.write_tokens(df, f"{tmp_path}/t", PATH, files=3)
+    got = sorted(token_store.read_tokens(spark, f"{tmp_path}/t").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [-5, 1, 2, 2, 2, 3, 9, None, None]
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((k, tuple(ids_of(t))) for k, t in rows)
+    ends = [0]
+    for r in got:
+        assert r.start == ends[-1] and r.n_tokens == len(r.ids)
+        ends.append(r.start + r.n_tokens)
+
+
+def test_empty_table(spark, tmp_path):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert token_store.write_tokens(empty, f"{tmp_path}/t", PATH).count() == 0
+    assert token_store.read_tokens(spark, f"{tmp_path}/t").count() == 0
+
+
+@pytest.fixture(scope="module")
+def even(spark, tmp_path_factory):
+    """Documents with even ids only, in one file of many row groups."""
+    folder = f"{tmp_path_factory.mktemp('tokens')}/t"
+    docs = spark.range(0, 20_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("number "), F.col("id").cast("string")).alias("text"))
+    token_store.write_tokens(docs, folder, PATH, files=1, index_rows=1_000, false_positives=0.001)
+    return folder
+
+
+def test_files_have_stripes_indexes_and_bloom_filters(spark, even):
+    jvm = spark.sparkContext._jvm
+    path = next(iter(spark.read.orc(f"{even}/tokens").inputFiles()))
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == 1_000
+    assert reader.getStripes().size() >= 1
+    rows = reader.rows()
+    footer = rows.readStripeFooter(reader.getStripes().get(0))
+    kinds = Counter(footer.getStreams(k).getKind().toString() for k in range(footer.getStreamsCount()))
+    assert kinds["BLOOM_FILTER_UTF8"] == 1 and kinds["ROW_INDEX"] >= 5
+    encodings = {footer.getColumns(k).getKind().toString() for k in range(footer.getColumnsCount())}
+    assert "DIRECT_V2" in encodings  # integer run-length encoding, version 2
+
+
+def scanned(df):
+    """Rows that the scan of token files handed on, and the filters that reached it."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec" and "orc" in node.toString().lower():
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return sum(found), text
+
+
+def test_row_groups_without_the_id_are_not_read(spark, even):
+    rows, plan = scanned(token_store.read_tokens(spark, even, F.col("doc_id") == 10_000))
+    assert rows == 1_000 and "EqualTo(doc_id,10000)" in plan
+    rows, _ = scanned(token_store.read_tokens(spark, even, F.col("doc_id").between(4_000, 5_000)))
+    assert rows <= 2_000
+    # Between least and greatest id of its row group, so that only the Bloom filter can tell.
+    rows, _ = scanned(token_store.read_tokens(spark, even, F.col("doc_id") == 10_001))
+    assert rows == 0
+
+
+def test_ids_are_not_read_for_lengths(spark, even):
+    lengths = token_store.read_tokens(spark, even).agg(F.sum("n_tokens"))
+    assert "ids" not in lengths._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
+
+
+def test_writing_twice_gives_the_same_places(spark, small, tmp_path):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for k, parts in enumerate((1, 7)):
+        token_store.write_tokens(docs.repartition(parts), f"{tmp_path}/{k}", PATH, files=3)
+    a, b = (sorted(map(tuple, token_store.digests(token_store.read_tokens(spark, f"{tmp_path}/{k}")).collect())) for k in range(2))
+    assert a == b
