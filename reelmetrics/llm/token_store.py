@@ -15,7 +15,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +23,8 @@ from reelmetrics.llm.packing import _byte_letters, _Memo
 
 #: Id after each document.
 END = 2
-#: Words and parts of words remembered.
-WORDS, PARTS = 400_000, 400_000
+#: Parts of plain texts and words of others that are remembered.
+PARTS, WORDS = 800_000, 100_000
 #: Rows of a batch with ids.
 SLICE = 256
 #: Most files whose places are broadcast (16 bytes each); beyond that they are joined.
@@ -34,10 +33,11 @@ BROADCAST_FILES = 1_000_000
 _CHUNK = re.compile(r"\s*\S+|\s+")
 #: Control characters that are white space to `re` only.
 _CONTROLS = re.compile("[\x1c-\x1f]")
-#: How the tokenizer parts a text (a fixed value).
-_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: From here on characters are left to the tokenizer: libraries know different versions of Unicode.
-_SURE = "ɐ"
+#: Latin letters, which all versions of Unicode agree on; and what else than those and ASCII is in a text.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_OTHER = re.compile(f"[^\\x00-\\x7f{_LETTERS}]")
+#: How the tokenizer parts a text (a fixed value), for texts of ASCII and Latin letters.
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 
 _ROW_DDL = "part int, doc_id long, before long, n_tokens long, ids array<int>"
 _ROW = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -54,14 +54,15 @@ def _tokenizer(path: str):
 class Encoder:
     """Token ids of texts, as little-endian unsigned 32-bit, the same as the tokenizer's own for the whole text.
 
-    A byte-level tokenizer parts a text before it merges, and never across the end of a word. So words, with the white space
-    before them, are encoded one by one and remembered; a text with a special token's string goes to the tokenizer whole.
+    A byte-level tokenizer parts a text before it merges. So plain texts are parted here, and each part is encoded once and
+    remembered. A text with other letters is cut at the ends of words, where a part always ends, and words with such letters
+    go to the tokenizer; so does the whole of a text with a special token's string.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.letters = _tokenizer(path), _byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.parts = _Memo(self._word, WORDS), _Memo(self._part, PARTS)
+        self.parts, self.words = _Memo(self._part, PARTS), _Memo(self._word, WORDS)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -72,21 +73,28 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        if max(word) >= _SURE:
-            return self._whole(word)
-        return b"".join([self.parts[p] for p in _PARTS.findall(word)])
+        return self._whole(word) if _OTHER.search(word) else self._plain(word)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
 
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special) or _CONTROLS.search(text):
             return self._whole(text)
-        return b"".join(map(self.words.__getitem__, _CHUNK.findall(text)))
+        return b"".join(map(self.words.__getitem__, _CHUNK.findall(text))) if _OTHER.search(text) else self._plain(text)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, with what it remembers, serves all its tasks."""
+    return Encoder(path)
 
 
 def _encode_batches(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before, mark = Encoder(path), TaskContext.get().partitionId(), 0, struct.pack("<I", end)
+        encoder, part, before, mark = _encoder(path), TaskContext.get().partitionId(), 0, struct.pack("<I", end)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 keys, texts = (batch.column(i).slice(at, SLICE) for i in (0, 1))
