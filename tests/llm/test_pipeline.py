@@ -52,23 +52,17 @@ def test_personal_data_is_replaced(stages):
     assert sum(a.text != b.text for a, b in zip(sorted(stages[2], key=lambda r: r.doc_id or 0), sorted(stages[3], key=lambda r: r.doc_id or 0), strict=True)) > 3
 
 
-def test_mix_keeps_what_the_schedule_says(stages):
-    """All blocks are scheduled one slot after another; a document is in the mix if its block is."""
-    volume = Counter()
-    for r in stages[3]:
-        volume[r.source] += len(r.text)
-    names = sorted(volume, key=lambda s: (-volume[s], s is not None, s))
-    blocks = [max(1, -(-volume[s] // 65_536)) for s in names]
-    runs = mixing.phases(blocks, mixing.temperature([volume[s] for s in names]))
-    whole = {(names[r.source], r.first + k) for r in runs if r.weight >= 0.5 for k in range(r.count)}
-    per_source = {s: {b for n, b in whole if n == s} for s in names}
-    got = Counter(r.source for r in stages[4])
-    assert Counter(stages[4]) <= Counter(stages[3])
-    for i, s in enumerate(names):
-        if len(per_source[s]) == blocks[i]:
-            assert got[s] == sum(r.source == s for r in stages[3])
-        elif not per_source[s]:
-            assert not got[s]
+def test_mix_follows_the_schedule(spark, small, stages, tmp_path):
+    """The stage keeps every row, and its files hold them in the order of their blocks' slots."""
+    assert Counter(stages[4]) == Counter(stages[3])
+    docs = spark.createDataFrame(stages[3], spark.read.parquet(f"{small}/documents.parquet").schema)
+    slots = {}
+    for r in mixing.mix(docs).select("row.doc_id", "row.text", "slot", "start").collect():
+        slots.setdefault((r.doc_id, r.text), []).append((r.slot, r.start))
+    corpus_pipeline.mix(spark, docs, small).write.parquet(f"{tmp_path}/mixed")
+    rows = spark.read.parquet(f"{tmp_path}/mixed").select("doc_id", "text", "_metadata.file_name", "_metadata.row_index").collect()
+    order = [slots[r.doc_id, r.text].pop() for r in sorted(rows, key=lambda r: (r.file_name, r.row_index))]
+    assert order == sorted(order)
 
 
 def test_packed_pieces(stages):
