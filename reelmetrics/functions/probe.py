@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelmetrics.settings import DEFAULTS, Settings
@@ -72,6 +74,37 @@ def range_problem(low: Column, high: Column) -> Column:
     )
 
 
+#: Most rules of a table: every rule is tried for every different size.
+MOST_RULES = 10_000
+
+
+def split_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable rules, unusable ones with the problem). `rules` has rank, tier, min_width, min_height, min_cq, max_cq."""
+    problem = F.coalesce(
+        F.when(F.col("rank").isNull() | F.col("tier").isNull(), "rank or tier is missing"),
+        F.when(F.col("min_width").isNull() | F.col("min_height").isNull(), "size bound is missing"),
+        range_problem(F.col("min_cq"), F.col("max_cq")),
+    )
+    checked = rules.withColumn("problem", problem)
+    return checked.where("problem is null").drop("problem"), checked.where("problem is not null")
+
+
+def tiers_by_rules(streams: DataFrame, rules: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
+    """The first rule (by rank, then tier) whose width or height bound a stream meets: tier, min_cq and max_cq, null if none does.
+
+    Rules may overlap. Streams are cut down to their different sizes first, so the rules are tried once for each size and not for
+    each stream; they are broadcast, and more than `MOST_RULES` of them raise an error. A stream without a size counts as 0 x 0.
+    """
+    usable, _ = split_rules(rules)
+    if usable.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    sized = streams.withColumns({"__w": F.coalesce("width", F.lit(0)), "__h": F.coalesce("height", F.lit(0))})
+    met = (F.col("__w") >= F.col("min_width")) | (F.col("__h") >= F.col("min_height"))
+    first = F.min_by(F.struct("tier", "min_cq", "max_cq"), F.struct("rank", "tier", "min_cq", "max_cq"))
+    chosen = sized.select("__w", "__h").distinct().join(F.broadcast(usable), met).groupBy("__w", "__h").agg(first.alias("__rule"))
+    return sized.join(chosen, ["__w", "__h"], "left").select(*keys, "__rule.*")
+
+
 def nominal_peak(max_cll: Column, mastering: Column) -> Column:
     return F.when(max_cll > 0, max_cll).when(mastering > 0, mastering).otherwise(F.lit(DEFAULT_PEAK))
 

@@ -160,5 +160,8 @@ def search_levels(
             F.when(active & ok, F.col("cq")).otherwise(F.col("best_cq")).alias("best_cq"),
             (F.col("probes") + active.cast("int")).alias("probes"),
         )
-    trace = reduce(DataFrame.unionByName, rounds) if rounds else None
+    if not rounds:  # no usable range: a trace without rows
+        none = gates(level_stats(measure(state.select("video_id", F.col("lo").alias("cq")).where("false"))), settings)
+        rounds = [state.select("video_id", F.lit(1).alias("step"), "lo", "hi").join(none, "video_id").select("video_id", "step", "lo", "hi", *none.columns[1:])]
+    trace = reduce(DataFrame.unionByName, rounds)
     return state.select("video_id", "best_cq", "probes"), trace

@@ -107,6 +107,16 @@ def resource_totals(share: DataFrame) -> DataFrame:
     return share.rollup("video_id").agg(*[F.sum(f"{r}_ms").alias(f"{r}_ms") for r in RESOURCES])
 
 
+def resource_rollup(ops: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per video and run, per run, and over all: units held times milliseconds, and ops, in one pass.
+
+    `grain` says what a row adds up (video, run or total); a null run or video in a row of a finer grain is a key that is
+    null, not a subtotal.
+    """
+    grain = F.when(F.grouping_id() == 0, "video").when(F.grouping_id() == 1, "run").otherwise("total")
+    return ops.rollup(run, "video_id").agg(grain.alias("grain"), *_held(ops), F.count(F.lit(1)).alias("ops"))
+
+
 def _long(share: DataFrame) -> DataFrame:
     pairs = [F.struct(F.lit(r).alias("resource"), F.col(f"{r}_ms").alias("ms")) for r in RESOURCES]
     return share.select("video_id", F.inline(F.array(*pairs))).where(F.col("ms") > 0)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from dataclasses import asdict
 from datetime import datetime
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmetrics.functions.probe import add_features
 from reelmetrics.operators import chapters as ch
 from reelmetrics.operators import detection, outcome, quality, sampling, search, usage
 from reelmetrics.settings import DEFAULTS, Settings
+from reelmetrics.sources.writers import write_bucketed
 
 
 def assemble(videos: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
@@ -102,6 +104,29 @@ def compress_summary(
     )
 
 
+#: A bucketed table's partitioning counts for joins on the key and more, not only for joins on the key alone.
+BUCKETED = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+def bucket(spark: SparkSession, tables: dict[str, DataFrame], folder: str, buckets: int) -> dict[str, DataFrame]:
+    """`tables` written once below `folder`, bucketed by video_id, and read back as bucketed tables.
+
+    The frames come in a session of their own, with the settings that let every step of `compress_summary` use the buckets;
+    the session of the caller keeps its own. Rows without a video_id have a bucket like any other. All rows of a video lie in one
+    bucket: where a single video has a large part of all frames or scores, `compress_summary` on plain tables, which cuts
+    videos into slices, is the better choice.
+    """
+    own = spark.newSession()
+    for name, value in BUCKETED.items():
+        own.conf.set(name, value)
+    found = {}
+    for name, rows in tables.items():
+        table = f"{name}_{uuid4().hex}"
+        write_bucketed(rows, table, f"{folder}/{name}", buckets)
+        found[name] = own.table(table)
+    return found
+
+
 def run_summary(
     results: DataFrame, run_id: str, started: datetime, finished: datetime | None = None, settings: Settings = DEFAULTS
 ) -> DataFrame:

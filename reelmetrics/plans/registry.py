@@ -20,7 +20,7 @@ from reelmetrics.plans.checks import check
 from reelmetrics.plans.views import view, view_over
 from reelmetrics.settings import DEFAULTS
 from reelmetrics.sources import documents, readers, writers
-from reelmetrics.sources.folders import scratch_folder
+from reelmetrics.sources.folders import list_files, scratch_folder
 from reelmetrics.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +205,19 @@ def cq_tier(d: Inputs) -> DataFrame:
     return probe.add_features(d.v_probe).select("file_id", "search.tier", "search.min_cq", "search.max_cq")
 
 
+@query("""
+SELECT file_id, r.tier, r.min_cq, r.max_cq FROM v_probe LEFT JOIN LATERAL (
+ SELECT * FROM v_rules WHERE (coalesce(width, 0) >= min_width OR coalesce(height, 0) >= min_height) AND min_cq BETWEEN 0 AND 63 AND min_cq <= max_cq ORDER BY rank LIMIT 1) r ON true""")
+def tier_rules(d: Inputs) -> DataFrame:
+    """Tiers from a table of overlapping rules."""
+    return probe.tiers_by_rules(d.v_probe, d.v_rules)
+
+
+@query("SELECT rank, tier, CASE WHEN min_cq > 63 THEN 'min_cq outside 0..63' ELSE 'min_cq above max_cq' END AS problem FROM v_rules WHERE min_cq > 63 OR min_cq > max_cq")
+def tier_rule_rejects(d: Inputs) -> DataFrame:
+    return probe.split_rules(d.v_rules)[1].select("rank", "tier", "problem")
+
+
 @query("""
 SELECT video_id, min_cq, max_cq, CASE WHEN min_cq NOT BETWEEN 0 AND 63 THEN 'min_cq outside 0..63' WHEN max_cq NOT BETWEEN 0 AND 63 THEN 'max_cq outside 0..63'
  ELSE 'min_cq above max_cq' END AS problem FROM v_ranges WHERE min_cq NOT BETWEEN 0 AND 63 OR max_cq NOT BETWEEN 0 AND 63 OR min_cq > max_cq""")
@@ -333,6 +346,16 @@ def bisect_trace(d: Inputs) -> DataFrame:
     return search.bisect_trace(levels, default_ranges(levels)).drop("measured")
 
 
+@query("SELECT video_id, step, from_lo AS lo, from_hi AS hi, cq, passed FROM search WHERE step > 0")
+def search_on_demand(d: Inputs) -> DataFrame:
+    """The same search with levels measured when they are asked for, all videos one step a round."""
+    scores = d.v_scores
+    low, high = DEFAULTS.uhd_range
+    ranges = scores.select("video_id").distinct().select("video_id", F.lit(low).alias("min_cq"), F.lit(high).alias("max_cq"))
+    _, trace = search.search_levels(ranges, lambda asked: scores.join(asked, ["video_id", "cq"]))
+    return trace.select("video_id", "step", "lo", "hi", "cq", F.coalesce("passed", F.lit(False)).alias("passed"))
+
+
 @query("SELECT video_id, CAST(i AS INTEGER) AS sample_idx, round(start_s, 6) AS start_s, round(length_s, 6) AS length_s FROM drawn")
 def sample_windows(d: Inputs) -> DataFrame:
     drawn = sampling.sample_windows(d.v_durations, uniform=sampling.modular_uniform)
@@ -449,6 +472,16 @@ def resource_share(d: Inputs) -> DataFrame:
     return usage.resource_totals(usage.resource_share(d.v_ops))
 
 
+@query("""
+SELECT run_id, video_id, CASE GROUPING_ID(run_id, video_id) WHEN 0 THEN 'video' WHEN 1 THEN 'run' ELSE 'total' END AS grain, CAST(sum(cpu * hold_ms) AS BIGINT) AS cpu_ms, CAST(sum(nvenc * hold_ms) AS BIGINT) AS nvenc_ms,
+ CAST(sum(nvdec * hold_ms) AS BIGINT) AS nvdec_ms, CAST(sum(cuda * hold_ms) AS BIGINT) AS cuda_ms, count(*) AS ops
+FROM (SELECT nullif(start_ms / 1000 % 4, 3) AS run_id, nullif(video_id % 50, 49) AS video_id, cpu, nvenc, nvdec, cuda, hold_ms FROM (SELECT * REPLACE (start_ms // 1000 * 1000 AS start_ms) FROM v_ops) o) k GROUP BY ROLLUP (run_id, video_id)""")
+def resource_rollup(d: Inputs) -> DataFrame:
+    """Videos, runs and all in one pass; some runs and videos have no name."""
+    run, video = F.expr("nullif(start_ms / 1000 % 4, 3)"), F.expr("nullif(video_id % 50, 49)")
+    return usage.resource_rollup(d.v_ops.withColumns({"run_id": run, "video_id": video}))
+
+
 @query("""
 SELECT resource, CAST(least(rank, 6) AS INTEGER) AS rank, CASE WHEN rank <= 5 THEN CAST(min(video_id) AS VARCHAR) ELSE 'others' END AS video, count(*) AS videos, CAST(sum(ms) AS BIGINT) AS ms,
  round(100e0 * sum(ms) / any_value(total), 6) AS pct FROM share_rows GROUP BY resource, least(rank, 6), rank <= 5""")
@@ -664,15 +697,32 @@ def _fleet(d: Inputs) -> DataFrame:
     )
 
 
-@query("""
-SELECT video_id, tier, is_hdr, CAST(bit_depth AS INTEGER) AS bit_depth, max_cll, content_type, mode, final_cq, fell_short, outcome, verify_passed, level, cpu_ms, totals_agree FROM f_summarised""")
-def fleet_summary(d: Inputs) -> DataFrame:
-    return _fleet(d).select(
+FLEET_SUMMARY = """
+SELECT video_id, tier, is_hdr, CAST(bit_depth AS INTEGER) AS bit_depth, max_cll, content_type, mode, final_cq, fell_short, outcome, verify_passed, level, cpu_ms, totals_agree FROM f_summarised"""
+
+
+def _shown(summary: DataFrame) -> DataFrame:
+    return summary.select(
         "video_id", "search.tier", "is_hdr", "bit_depth", "hdr.max_cll", "detection.content_type", "restore.mode", "final_cq", "tuning.fell_short",
         "size_guard.outcome", F.col("verification.passed").alias("verify_passed"), "level", "resource_share.cpu_ms", "detection.totals_agree",
     )
 
 
+@query(FLEET_SUMMARY)
+def fleet_summary(d: Inputs) -> DataFrame:
+    return _shown(_fleet(d))
+
+
+@query(FLEET_SUMMARY)
+def fleet_summary_bucketed(d: Inputs) -> DataFrame:
+    """The same from tables that are bucketed by video_id, without a shuffle above them."""
+    names = {"streams": "f_video", "frames": "f_frames", "scores": "f_scores", "sizes": "f_sizes", "output_frames": "f_out_frames",
+             "output_streams": "f_out_video", "totals": "f_totals", "hdr": "f_hdr", "ops": "v_ops"}
+    buckets = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = flows.bucket(d.spark, {k: getattr(d, v) for k, v in names.items()}, scratch_folder(d.spark, "fleet"), buckets)
+    return _shown(flows.compress_summary(**tables))
+
+
 @query("""
 SELECT video_id, concat_ws(',', CASE WHEN undetermined_share > 0.02e0 THEN 'undetermined_high' END, CASE WHEN parity_mismatch THEN 'parity_mismatch' END,
  CASE WHEN NOT totals_agree THEN 'totals_disagree' END, CASE WHEN is_marginal THEN 'marginal' END, CASE WHEN outcome <> 'kept_smaller' THEN outcome END, nullif(found, '')) AS warnings FROM f_summarised""")
@@ -684,6 +734,34 @@ def fleet_warnings(d: Inputs) -> DataFrame:
 # --- sinks: written, then read back ---
 
 
+@query("SELECT path, CAST(octet_length(encode(html)) + 1 AS BIGINT) AS length FROM v_tree")
+def catalog_walk(d: Inputs) -> DataFrame:
+    """A folder tree is written and walked; every file of it comes out, whatever it is called."""
+    folder = scratch_folder(d.spark, "tree")
+    writers.write_documents(d.v_tree.select("path", F.lit(0).alias("line"), F.col("html").alias("text")), folder)
+    found = list_files(d.spark, folder).withColumn("path", F.url_decode(F.regexp_replace("path", r"\\+", "%2B")))
+    named = found.select(F.regexp_extract("path", r"/tree-[^/]*/(.*)$", 1).alias("path"), "length")
+    return named.where("not startswith(path, '_manifest/')")
+
+
+@query("""
+SELECT c.disc_id, g.nth AS episode, c.chapter_idx - start_idx + 1 AS number, CAST(c.chapter_idx + 1 AS DECIMAL(20, 0)) AS uid, concat('Chapter ', c.chapter_idx - start_idx + 1) AS title, 'en' AS language,
+ concat('01:02:', lpad(CAST(c.chapter_idx % 60 AS VARCHAR), 2, '0')) AS start_text
+FROM v_chapters c JOIN good_ranges g ON g.disc_id = c.disc_id AND c.chapter_idx BETWEEN start_idx AND end_idx""")
+def episode_documents(d: Inputs) -> DataFrame:
+    """Every episode's chapter document, written and read back."""
+    folder = scratch_folder(d.spark, "episodes")
+    start = F.concat(F.lit("01:02:"), F.lpad((F.col("chapter_idx") % 60).cast("string"), 2, "0"))
+    claimed = chapters.episode_chapters(d.v_chapters).withColumns({"uid": F.col("chapter_idx") + 1, "start_text": start, "end_text": F.lit("")})
+    writers.write_chapter_documents(claimed, folder)
+    docs = d.spark.read.text(f"{folder}/*/*.xml", wholetext=True).select(
+        F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).cast("long").alias("disc_id"),
+        F.regexp_extract("_metadata.file_path", r"([^/]+)\.xml$", 1).cast("long").alias("episode"), F.col("value").alias("doc"),
+    )
+    read = documents.parse_chapters(docs)
+    return read.select("disc_id", "episode", (F.col("chapter_idx") + 1).alias("number"), "uid", "title", "language", "start_text")
+
+
 @query("SELECT disc_id, chapter_idx - 2 AS chapter_idx, start_s, end_s FROM v_chapters WHERE chapter_idx >= 2")
 def trim_chapters(d: Inputs) -> DataFrame:
     return chapters.trim_chapters(d.v_chapters, 3)

@@ -206,6 +206,17 @@ FROM (SELECT s_suppkey AS video_id, CASE WHEN s_suppkey % 8 = 0 THEN '25/1' ELSE
     "f_out_frames": """
 SELECT video_id, frame_idx, CASE WHEN video_id % 9 = 0 AND frame_idx % 4 = 0 THEN 'tff' WHEN video_id % 13 = 1 AND frame_idx % 5 > 2 THEN 'bff' ELSE 'progressive' END AS flag
 FROM f_frames WHERE video_id % 10 <> 7""",
+    # Tier rules as data: some overlap, some are hidden by an earlier one, some are unusable.
+    "v_rules": """
+SELECT CAST(p_partkey AS INT) AS rank, concat('rule ', CAST(p_partkey AS STRING)) AS tier, CAST(3900 - p_partkey * 37 AS INT) AS min_width, CAST(2200 - p_partkey * 23 AS INT) AS min_height,
+ CAST(CASE WHEN p_partkey % 9 = 4 THEN 70 ELSE 20 + p_partkey % 11 END AS INT) AS min_cq, CAST(CASE WHEN p_partkey % 9 = 7 THEN 5 ELSE 50 + p_partkey % 13 END AS INT) AS max_cq
+FROM part WHERE p_partkey BETWEEN 1 AND 90
+UNION ALL SELECT 91, 'rest', 0, 0, 38, 63""",
+    # Files as they may lie in a folder tree: hidden folders, names with blanks, underscores and other letters, flat and deep places.
+    "v_tree": """
+SELECT page_id, concat('disc ', CAST(page_id % 7 AS STRING), '/', CASE page_id % 5 WHEN 0 THEN '_under/' WHEN 1 THEN '.hidden/' WHEN 2 THEN '' ELSE concat('sub', CAST(page_id % 11 AS STRING), '/') END,
+ CASE WHEN page_id % 3 = 0 THEN 'deep/er/still/' ELSE '' END, CASE page_id % 4 WHEN 0 THEN '_' WHEN 1 THEN '.' WHEN 2 THEN 'é ' ELSE 'f+' END, CAST(page_id AS STRING), '.mkv') AS path, html
+FROM pages""",
     # Search ranges, some of them unusable.
     "v_ranges": """
 SELECT p_partkey AS video_id, p_size - 3 AS min_cq, 66 - p_size AS max_cq FROM part""",
