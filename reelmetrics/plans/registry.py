@@ -20,7 +20,7 @@ from reelmetrics.plans.checks import check
 from reelmetrics.plans.views import view, view_over
 from reelmetrics.settings import DEFAULTS
 from reelmetrics.sources import documents, readers, writers
-from reelmetrics.sources.folders import list_files, scratch_folder
+from reelmetrics.sources.folders import list_files, remove, scratch_folder
 from reelmetrics.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -847,3 +847,57 @@ UNION ALL SELECT video_id, op, start_ms, wait_ms, hold_ms, 'release' FROM v_ops
 def stream_thinning(d: Inputs) -> DataFrame:
     kept = streams.live_thin_events(_stream(d, "lineitem", "v_ops"))
     return streams.drain(kept.select("video_id", "op", "start_ms", "wait_ms", "hold_ms", "event"))
+
+
+#: Runs that the samples come in, and the rows that come with the last of them, whatever their time.
+DROPS, LATE_EVERY, LATE_AT = 3, 89, 3
+
+
+@query("""
+SELECT * FROM (WITH dealt AS (SELECT host, tick_ms, cpu_free, (tick_ms // 300000 + 1) * 300000 AS until_ms, CASE WHEN tick_id % 89 = 3 THEN 2 ELSE tick_id * 3 // (SELECT max(tick_id) + 1 FROM v_tick_rows) END AS dropped FROM v_tick_rows),
+marked AS (SELECT *, coalesce(until_ms <= (SELECT max(b.tick_ms) FROM dealt b WHERE b.dropped < a.dropped) - 600000, false) AS late FROM dealt a)
+SELECT CASE WHEN late THEN 'rejected' ELSE 'closed' END AS state, host, CAST(until_ms AS BIGINT) AS until_ms, count(*) AS samples, CAST(min(cpu_free) AS BIGINT) AS cpu_free_min
+FROM marked WHERE late OR until_ms <= (SELECT max(tick_ms) FROM dealt) - 600000 GROUP BY ALL) q""")
+def stream_intervals(d: Inputs) -> DataFrame:
+    """Five-minute intervals of samples that come in several runs, some of them after their interval was closed."""
+    landing, folder = scratch_folder(d.spark, "samples"), scratch_folder(d.spark, "intervals")
+    rows = d.v_tick_rows.withColumn("t", F.timestamp_millis("tick_ms"))
+    number = (rows.agg(F.max("tick_id")).first()[0] or 0) + 1
+    part = F.when(F.col("tick_id") % LATE_EVERY == LATE_AT, DROPS - 1).otherwise(F.floor(F.col("tick_id") * DROPS / number))
+    for k in range(DROPS):
+        rows.where(part == k).write.mode("append").parquet(landing)
+        streams.run_intervals(d.spark.readStream.schema(rows.schema).parquet(landing), folder)
+    intervals = d.spark.read.parquet(f"{folder}/closed").select(
+        F.lit("closed").alias("state"), "host", F.unix_millis("interval.end").alias("until_ms"), "samples", F.col("cpu_free_min").cast("long")
+    )
+    rejects = d.spark.read.schema(rows.schema).parquet(f"{folder}/rejects")
+    until = F.unix_millis(F.window("t", "5 minutes")["end"])
+    late = rejects.groupBy(F.lit("rejected").alias("state"), "host", until.alias("until_ms")).agg(F.count("*").alias("samples"), F.min("cpu_free").cast("long").alias("cpu_free_min"))
+    return intervals.unionByName(late)
+
+
+@query("""
+SELECT * FROM (WITH opened AS (SELECT slot FROM v_stages WHERE seq = 0),
+ended AS (SELECT slot, min(seq) * 4 + 2 AS seq, 'complete' AS change FROM v_stages JOIN opened USING (slot) WHERE seq > 0 AND stage = 'Phase 2' GROUP BY slot),
+done AS (SELECT * FROM ended UNION ALL SELECT slot, seq * 4 + 3, 'skip' FROM v_stages WHERE stage = 'Detect' AND seq % 2 = 1)
+SELECT slot, seq, change, (SELECT count(*) FROM done) AS done, (SELECT count(*) FROM done WHERE change = 'skip') AS skipped FROM done ORDER BY seq DESC, slot DESC LIMIT 8) q""")
+def stream_recent(d: Inputs) -> DataFrame:
+    """Newest completions and counts after several runs, the last of which is done again."""
+    landing, folder = scratch_folder(d.spark, "updates"), scratch_folder(d.spark, "progress")
+    made = lambda kind, nth: F.struct((F.col("seq") * 4 + nth).alias("seq"), F.lit(kind).alias("kind"))
+    kinds = F.array_compact(F.array(
+        F.when(F.col("seq") == 0, made("begin", 0)), made("set", 1), F.when((F.col("seq") > 0) & (F.col("stage") == "Phase 2"), made("complete", 2)),
+        F.when((F.col("stage") == "Detect") & (F.col("seq") % 2 == 1), made("skip", 3)),
+    ))
+    updates = d.v_stages.select(F.lit("run").alias("run_id"), "slot", "stage", "detail", F.lit("file").alias("file"), F.lit("ok").alias("level"), F.col("seq").alias("turn"), F.inline(kinds))
+    for low, high in ((0, 1), (2, 3), (4, None)):
+        part = F.col("turn") >= low if high is None else F.col("turn").between(low, high)
+        updates.where(part).write.mode("append").parquet(landing)
+        source = d.spark.readStream.schema(updates.schema).parquet(landing)
+        last = streams.run_progress(source, folder)
+    # The commit of the last batch is lost, so that the stream does it again.
+    remove(d.spark, f"{folder}/checkpoint/commits/{last}")
+    if streams.run_progress(source, folder) != last:
+        raise RuntimeError("the batch was not done again")
+    counts, newest = streams.progress_now(d.spark, folder)
+    return newest.join(counts, "run_id").select("slot", "seq", "change", "done", "skipped")

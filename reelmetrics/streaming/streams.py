@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -51,6 +51,48 @@ def tick_intervals(
     return ticks.tick_summary(watched, [*keys, "interval"], settings)
 
 
+def split_late(folder: str, at: str = "t", width: str = "5 minutes", late: str = "10 minutes") -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: rows whose interval the watermark has closed already go to `folder/rejects`.
+
+    The watermark of a batch follows from the latest time in the batches before it, which every batch hands on in a folder of its
+    own; a batch that is retried replaces what it wrote.
+    """
+    times = f"{folder}/latest"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema("latest timestamp").parquet(f"{times}/batch={batch_id - 1}").first().latest if batch_id else None
+        closed = F.window(at, width)["end"] <= F.lit(before).cast("timestamp") - F.expr(f"interval {late}")
+        batch.where(closed).write.mode("overwrite").parquet(f"{folder}/rejects/batch={batch_id}")
+        batch.agg(F.greatest(F.max(at), F.lit(before).cast("timestamp")).alias("latest")).write.mode("overwrite").parquet(f"{times}/batch={batch_id}")
+
+    return write
+
+
+def run_intervals(
+    samples: DataFrame, folder: str, at: str = "t", keys=("host",), width: str = "5 minutes", late: str = "10 minutes",
+    settings: Settings = DEFAULTS,
+) -> None:
+    """Takes in all samples that are there now: final intervals go to `folder/closed`, late samples to `folder/rejects`.
+
+    Called again when more has come, it goes on from its checkpoints. Intervals that the watermark has not passed stay in the state.
+    A sample is late when its interval ends at or before the watermark, which is `late` before the latest time of the runs and
+    batches before; any other sample counts, however old. Both queries must be given all files at once (no limit of files a
+    trigger), so that they see the same batches.
+    """
+    def start(stream, name):
+        return stream.option("checkpointLocation", f"{folder}/checkpoint-{name}").trigger(availableNow=True)
+
+    intervals = tick_intervals(samples, at, keys, width, late, settings)
+    with rocksdb(samples.sparkSession):
+        running = [
+            start(intervals.writeStream.outputMode("append").format("parquet"), "closed").start(f"{folder}/closed"),
+            start(samples.writeStream.foreachBatch(split_late(folder, at, width, late)), "rejects").start(),
+        ]
+        for query in running:
+            query.awaitTermination()
+
+
 def live_thin_events(ops: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return usage.thin_events(ops, settings)
 
@@ -181,6 +223,26 @@ def with_recent(table: str, view: str, keep: int = 8) -> Callable[[DataFrame, in
     return write
 
 
+def run_progress(updates: DataFrame, folder: str, keep: int = 8) -> int | None:
+    """Takes in all stage updates that are there now; changes go to `folder/changes`, the newest completions to `folder/recent`.
+
+    Returns the number of the last batch, if there was one. Called again it goes on from its checkpoint; a batch whose commit was lost is
+    done again, with the same outcome.
+    """
+    writer = live_stages(updates).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    with rocksdb(updates.sparkSession):
+        query = writer.foreachBatch(with_recent(f"{folder}/changes", f"{folder}/recent", keep)).start()
+        query.awaitTermination()
+    return query.lastProgress["batchId"] if query.lastProgress else None
+
+
+def progress_now(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(done and skipped counts per run, newest completions) as of the last batch."""
+    changes = spark.read.schema(f"{StageState.OUTPUT}, batch INT").parquet(f"{folder}/changes")
+    views = spark.read.schema(f"{StageState.OUTPUT}, batch INT").parquet(f"{folder}/recent")
+    return progress(changes), views.where(F.col("batch") == changes.agg(F.max("batch")).first()[0]).drop("batch")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is there now and return what it wrote.
 
