@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +128,44 @@ def level_stats_approx(scores: DataFrame, accuracy: int = 10000) -> DataFrame:
     )
 
 
+#: Items that a sketch of scores keeps: percentiles of at most so many scores are exact, of more within about 2.3 / k^0.9 of the rank.
+SKETCH = 4096
+
+
+def score_sketches(scores: DataFrame, keys: Sequence[str] = ("day",), k: int = SKETCH) -> DataFrame:
+    """Per level and `keys` what can be added up later without the scores: a quantile sketch, counts, sums and the minimum.
+
+    Rows of these can be kept day by day, and `merged_sketches` makes the statistics of any days of them.
+    """
+    s = F.col("score").cast("double")
+    real = F.when(~F.isnan(s), s)
+    return scores.groupBy(*LEVEL, *keys).agg(
+        F.kll_sketch_agg_double(real, k).alias("sketch"),
+        F.count(s).alias("n"),
+        F.sum(s).alias("sum"),
+        F.count_if(s > 0).alias("positive"),
+        F.sum(F.when(s > 0, F.lit(1.0) / s)).alias("inverse"),
+        F.min(real).alias("min"),
+        F.coalesce(F.max(F.isnan(s)), F.lit(False)).alias("odd"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, k: int = SKETCH) -> DataFrame:
+    """The columns of `level_stats` from rows of `score_sketches`; a percentile is the least score that so many scores do not exceed."""
+    summed = sketches.groupBy(*LEVEL).agg(
+        F.kll_merge_agg_double("sketch", k).alias("sketch"),
+        *[F.sum(c).alias(c) for c in ("n", "sum", "positive", "inverse")], F.min("min").alias("min"), F.max("odd").alias("odd"),
+    )
+    zero, some = F.lit(0.0), F.col("n") > 0
+    known = {
+        "mean": F.coalesce(F.try_divide(F.col("sum"), F.col("n")), zero),
+        "harmonic": F.coalesce(F.try_divide(F.col("positive"), F.col("inverse")), zero),
+        **{name: F.when(some, F.kll_sketch_get_quantile_double("sketch", F.lit(p))) for name, p in PERCENTILES.items()},
+        "min": F.coalesce("min", zero),
+    }
+    return summed.select(*LEVEL, *[F.when(~F.col("odd"), value).alias(name) for name, value in known.items()], "n")
+
+
 def _met(column: str, target: float) -> Column:
     """A value that is missing or not a number misses the gate (it would sort above all numbers)."""
     return F.coalesce((F.col(column) >= target) & ~F.isnan(column), F.lit(False))

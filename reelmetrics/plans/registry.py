@@ -325,6 +325,17 @@ def marginal(d: Inputs) -> DataFrame:
     )
 
 
+@query("""
+SELECT video_id, cq, CASE WHEN NOT odd THEN round(coalesce(avg, 0), 9) END AS mean, CASE WHEN NOT odd THEN round(p05, 6) END AS p05, CASE WHEN NOT odd THEN round(p01, 6) END AS p01,
+ CASE WHEN NOT odd THEN round(coalesce(low, 0), 6) END AS min, n FROM (
+ SELECT video_id, cq, avg(score) AS avg, quantile_disc(score, 0.05) AS p05, quantile_disc(score, 0.01) AS p01, min(score) AS low, count(score) AS n, coalesce(bool_or(isnan(score)), false) AS odd FROM v_scores GROUP BY video_id, cq) s""")
+def level_sketches(d: Inputs) -> DataFrame:
+    """Statistics from sketches made part by part, here by sample."""
+    parts = quality.score_sketches(d.v_scores, ["sample_idx"])
+    # Sums of quarters and the like often end in a 5 at the seventh digit.
+    return quality.merged_sketches(parts).select("video_id", "cq", F.round("mean", 9).alias("mean"), *[r(c) for c in ("p05", "p01", "min")], "n")
+
+
 @query("""
 SELECT video_id, best AS best_cq, step AS probes, CAST(ceil(log2(55 - 25 + 2)) AS INTEGER) AS expected_probes FROM search WHERE lo > hi""")
 def bisect_level(d: Inputs) -> DataFrame:
@@ -753,7 +764,7 @@ def episode_documents(d: Inputs) -> DataFrame:
     folder = scratch_folder(d.spark, "episodes")
     start = F.concat(F.lit("01:02:"), F.lpad((F.col("chapter_idx") % 60).cast("string"), 2, "0"))
     claimed = chapters.episode_chapters(d.v_chapters).withColumns({"uid": F.col("chapter_idx") + 1, "start_text": start, "end_text": F.lit("")})
-    writers.write_chapter_documents(claimed, folder)
+    writers.write_episode_documents(claimed, folder)
     docs = d.spark.read.text(f"{folder}/*/*.xml", wholetext=True).select(
         F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).cast("long").alias("disc_id"),
         F.regexp_extract("_metadata.file_path", r"([^/]+)\.xml$", 1).cast("long").alias("episode"), F.col("value").alias("doc"),
@@ -901,3 +912,18 @@ def stream_recent(d: Inputs) -> DataFrame:
         raise RuntimeError("the batch was not done again")
     counts, newest = streams.progress_now(d.spark, folder)
     return newest.join(counts, "run_id").select("slot", "seq", "change", "done", "skipped")
+
+
+@query("""
+SELECT CAST(video_id % 3 AS VARCHAR) AS run_id, video_id, op, start_ms, event, count(*) AS n FROM (
+ SELECT video_id, op, start_ms, 'acquire' AS event FROM v_ops WHERE wait_ms > 0 UNION ALL SELECT video_id, op, start_ms, 'release' FROM v_ops WHERE woken > 0 OR hold_ms >= 30000) e GROUP BY ALL""")
+def stream_event_sink(d: Inputs) -> DataFrame:
+    """Thinned events, written by a stream that is stopped after the first half of its input and started again."""
+    landing, folder = scratch_folder(d.spark, "ops"), scratch_folder(d.spark, "sink")
+    ops = d.v_ops
+    for half in (0, 1):
+        ops.where(F.coalesce(F.abs(F.xxhash64("start_ms", "op")) % 2, F.lit(0)) == half).write.mode("append").parquet(landing)
+        live = streams.live_thin_events(d.spark.readStream.schema(ops.schema).parquet(landing))
+        streams.run_event_sink(live.select((F.col("video_id") % 3).cast("string").alias("run_id"), "video_id", "op", "start_ms", "event"), folder)
+    found = d.spark.read.schema("video_id long, op string, start_ms long, event string, run_id string").json(f"{folder}/events")
+    return found.groupBy("run_id", "video_id", "op", "start_ms", "event").agg(F.count("*").alias("n"))

@@ -96,13 +96,26 @@ def write_documents(lines: DataFrame, folder: str) -> DataFrame:
     return lines.sparkSession.read.schema(_WRITTEN_DDL).parquet(f"{folder}/_manifest")
 
 
-def write_chapter_documents(claimed: DataFrame, folder: str) -> DataFrame:
-    """One chapter document per episode, `{disc_id}/{episode}.xml` below `folder`; returns the manifest."""
+def write_episode_documents(claimed: DataFrame, folder: str) -> DataFrame:
+    """One chapter document per episode, `{disc_id}/{episode}.xml` below `folder`, many to a task; returns the manifest."""
     lines = chapter_document_lines(claimed)
     path = F.concat(F.col("disc_id").cast("string"), F.lit("/"), F.col("episode").cast("string"), F.lit(".xml"))
     return write_documents(lines.select(path.alias("path"), "line", "text"), folder)
 
 
+def write_chapter_documents(claimed: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The same in Spark's own layout: a folder per episode. For few episodes; see `write_episode_documents`."""
+    lines = chapter_document_lines(claimed)
+    (
+        lines.repartition("disc_id", "episode")
+        .sortWithinPartitions("disc_id", "episode", "line")
+        .select("disc_id", "episode", F.col("text").alias("value"))
+        .write.mode(mode)
+        .partitionBy("disc_id", "episode")
+        .text(path)
+    )
+
+
 def write_bucketed(rows: DataFrame, name: str, folder: str, buckets: int, key: str = "video_id") -> None:
     """A table `name` at `folder`, cut into `buckets` by the key (as a long), and sorted by it in each.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
@@ -233,7 +233,7 @@ def run_progress(updates: DataFrame, folder: str, keep: int = 8) -> int | None:
     with rocksdb(updates.sparkSession):
         query = writer.foreachBatch(with_recent(f"{folder}/changes", f"{folder}/recent", keep)).start()
         query.awaitTermination()
-    return query.lastProgress["batchId"] if query.lastProgress else None
+    return max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=None)
 
 
 def progress_now(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -243,6 +243,16 @@ def progress_now(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     return progress(changes), views.where(F.col("batch") == changes.agg(F.max("batch")).first()[0]).drop("batch")
 
 
+def run_event_sink(events: DataFrame, folder: str, keys: Sequence[str] = ("run_id",)) -> None:
+    """Writes all events that are there now as JSON below `folder/events`, in a folder for each of `keys`.
+
+    Called again it goes on from its checkpoint. Each batch's files count once the sink's own log names them, so that a batch that
+    was stopped half way is done again without a row missing or twice; Spark's reader follows that log.
+    """
+    writer = events.writeStream.outputMode("append").format("json").option("ignoreNullFields", True).partitionBy(*keys)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/events").awaitTermination()
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything that is there now and return what it wrote.
 

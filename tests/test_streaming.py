@@ -178,3 +178,56 @@ def test_events_stream(spark, tmp_path):
     run(readers.stream_events(spark, str(landing)).select("t", "kind", "file"), out, tmp_path / "cp")
     assert rows(spark.read.parquet(str(out)).select("kind", "file")) == [{"kind": "stage", "file": "f"}]
     assert spark.read.parquet(str(out)).where(F.col("t").isNull()).count() == 0
+
+
+def test_intervals_over_runs_with_rejects(spark, tmp_path):
+    """Every sample is in a closed interval, still open, or rejected; rejected ones are those of intervals closed before."""
+    landing, folder = tmp_path / "landing", str(tmp_path / "out")
+    stamp = lambda m: f"2024-01-01T{m // 60:02d}:{m % 60:02d}:00Z"
+    runs = [[0, 1, 4, 9, 16], [2, 7, 30], [3, 8, 12, 31, 44], [21, 29, 58]]
+    for n, minutes in enumerate(runs):
+        drop(landing, f"{n}.json", [{"t": stamp(m), "host": 1, "cpu_free": m} for m in minutes])
+        source = spark.readStream.schema("t TIMESTAMP, host INT, cpu_free INT").json(str(landing))
+        streams.run_intervals(source, folder)
+    latest, closed, rejected = None, {}, []
+    for minutes in runs:
+        for m in minutes:
+            if latest is not None and m // 5 * 5 + 5 <= latest - 10:
+                rejected.append(m)
+            else:
+                closed.setdefault(m // 5 * 5, []).append(m)
+        latest = max(minutes + [latest or 0])
+    closed = {k: len(v) for k, v in closed.items() if k + 5 <= latest - 10}
+    got = {r["interval"]["start"].minute: r["samples"] for r in rows(spark.read.parquet(f"{folder}/closed"))}
+    assert got == closed and rejected
+    assert sorted(r["cpu_free"] for r in rows(spark.read.schema("t TIMESTAMP, host INT, cpu_free INT").parquet(f"{folder}/rejects"))) == sorted(rejected)
+
+
+def test_a_batch_done_again_changes_nothing(spark, tmp_path):
+    landing, folder = str(tmp_path / "landing"), str(tmp_path / "out")
+    for n in range(3):
+        updates = [{"run_id": "r", "slot": s, "seq": n * 10 + k, "kind": kind, "file": f"f{s}", "stage": "Detect", "detail": "", "level": "ok"}
+                   for s in range(4) for k, kind in enumerate(("begin", "set", "complete", "skip"))]
+        drop(tmp_path / "landing", f"{n}.json", updates)
+        source = spark.readStream.schema(schemas.STAGES).json(landing)
+        last = streams.run_progress(source, folder)
+        counts, newest = streams.progress_now(spark, folder)
+    before = rows(counts), rows(newest, "seq", "slot")
+    assert before[0] == [{"run_id": "r", "done": 24, "skipped": 12}] and len(before[1]) == 8
+    assert streams.run_progress(source, folder) is None
+    (tmp_path / "out" / "checkpoint" / "commits" / str(last)).unlink()
+    (tmp_path / "out" / "checkpoint" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    assert streams.run_progress(source, folder) == last
+    counts, newest = streams.progress_now(spark, folder)
+    assert (rows(counts), rows(newest, "seq", "slot")) == before
+
+
+def test_event_sink_goes_on_after_a_stop(spark, tmp_path):
+    landing, folder = tmp_path / "landing", str(tmp_path / "out")
+    for n in range(3):
+        drop(landing, f"{n}.json", [{"run_id": f"r{k % 2}", "event": "acquire", "n": n * 10 + k} for k in range(10)])
+        streams.run_event_sink(spark.readStream.schema("run_id STRING, event STRING, n LONG").json(str(landing)), folder)
+    # A file that no batch of the sink's log names, as a stopped task leaves it, does not count.
+    (tmp_path / "out" / "events" / "run_id=r0" / "part-stopped.json").write_text('{"event":"acquire","n":99}\n')
+    found = spark.read.schema("event STRING, n LONG, run_id STRING").json(f"{folder}/events")
+    assert sorted(r["n"] for r in rows(found)) == list(range(30)) and {r["run_id"] for r in rows(found)} == {"r0", "r1"}
