@@ -138,6 +138,12 @@ def dual_join(left: Tree, right: Tree | None, reach: float) -> Iterator[tuple[st
             open_.append((a, b))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that bring their largest components near 1: the same cosines, and norms that neither overflow nor vanish."""
+    exponent = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
+    return np.ldexp(x, -exponent[:, None])
+
+
 def linked(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the points linked with each point of `x` and of `y` (without `y`: of `x` alone), and for each point the least place that links join it with.
 
@@ -145,7 +151,8 @@ def linked(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y:
     one does is decided by its cosine in double precision.
     """
     own = y is None
-    y, weight_y = (x, weight_x) if own else (y, weight_y)
+    x = scaled(x)
+    y, weight_y = (x, weight_x) if own else (scaled(y), weight_y)
     size_x, size_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     left = Tree(x / size_x[:, None])
     right = left if own else Tree(y / size_y[:, None])
@@ -223,7 +230,7 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def close() -> pa.RecordBatch:
         ids, weights = (np.array([r[n] for r in held], np.int64) for n in (3, 4))
-        vectors = np.array([r[5] for r in held], np.float64)
+        vectors = scaled(np.array([r[5] for r in held], np.float64))
         unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         centre = unit.mean(axis=0)
         radius = float(np.linalg.norm(unit - centre, axis=1).max()) + SLACK
@@ -251,7 +258,7 @@ def _cell_of(centres):
             dims = np.diff(column.offsets.to_numpy())
             for n in set(dims.tolist()) & centres.value.keys():
                 rows = np.flatnonzero(dims == n)
-                points = column.take(pa.array(rows)).flatten().to_numpy().reshape(-1, n)
+                points = scaled(column.take(pa.array(rows)).flatten().to_numpy().reshape(-1, n))
                 points = points / np.linalg.norm(points, axis=1)[:, None]
                 out[rows] = (points @ centres.value[n].T).argmax(axis=1)
             yield pa.array(out)
@@ -261,6 +268,7 @@ def _cell_of(centres):
 
 def centres_of(points: np.ndarray, count: int = CENTRES) -> np.ndarray:
     """Up to `count` of the points, as unit vectors, that are far from each other."""
+    points = scaled(points)
     points = points / np.linalg.norm(points, axis=1)[:, None]
     chosen, nearest = [0], np.linalg.norm(points - points[0], axis=1)
     while len(chosen) < min(count, len(points)) and nearest.max() > SLACK:

@@ -99,9 +99,9 @@ class _Encoder:
             head = head.lower()
         else:
             text = head.decode()
-            if not text.isalpha():
+            if not text.isalpha() or _DOTTED in text:  # the mark that its lower case ends in may join what follows
                 return self.parts[word]
-            if max(text) < _LATIN and _DOTTED not in text:
+            if max(text) < _LATIN:
                 head = text.lower().encode()
         return self.parts[head] + self.parts[tail] if tail else self.parts[head]
 

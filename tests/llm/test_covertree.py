@@ -86,3 +86,13 @@ def test_rows_against_all_pairs(spark, monkeypatch, chunk):
     order = lambda r: tuple(-1 if v is None else v for v in r)
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
     assert covertree.near_duplicates(table.where("false")).count() == 0
+
+
+def test_vectors_of_very_different_sizes(spark):
+    """Links do not depend on a vector's size, and no vector takes the links of others along."""
+    base = np.array([[1.0, 0.1], [1.0, 0.11], [1.0, 0.12], [1.0, 0.09]])
+    sizes = [1.0, 1e-200, 1e200, 5e-320, 1e300, 3.0]
+    vectors = [(base[k % 4] * s).tolist() for k, s in enumerate(sizes)] + [[0.0, 1.0], [0.0, 1e-310], [0.0, -1e308]]
+    df = spark.createDataFrame([(k, v, 1) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(df).collect()}
+    assert got == {**{k: (5, 0) for k in range(6)}, 6: (1, 6), 7: (1, 6), 8: (0, 8)}

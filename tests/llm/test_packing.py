@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from reelmetrics.llm import packing
@@ -115,3 +117,10 @@ def test_search_against_the_optimum(seed):
     capacity = rng.choice([20, 30, 50])
     items = [rng.randint(2, capacity * 2 // 3) for _ in range(rng.randint(8, 12))]
     assert checked(Counter(items), capacity)[0] == fewest(items, capacity)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "İ", "İ.", "TEŞEKKÜRLERİ!", "Bİ", "é", "É", "ß", "ſ", "́", "ʼ", "ñ", "漢", ".", "!", "-", "'s", " ", "\n", "1", "½"]), max_size=12).map("".join))
+def test_odd_letters_encode_like_the_tokenizer(text):
+    ids = packing._tokenizer(PATH).encode(text, add_special_tokens=False).ids
+    assert packing._Encoder(PATH).text(text) == struct.pack(f"<{len(ids)}I", *ids)
