@@ -30,6 +30,8 @@ DATE = "2000-01-01T00:00:00Z"
 LEVEL = 4
 #: Ranges that a shard's share of ids is first cut into, and that a heavy one is cut into again.
 FIRST, AGAIN = 4096, 16
+#: Most tasks that read files.
+READERS = 100_000
 #: Bytes counted for a record besides its payload.
 HEAD = 400
 
@@ -200,7 +202,7 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, f
 
     none = F.lit(None)
     both = marks.select("page_id", "digest", "first", none.cast("string").alias("url"), none.cast("binary").alias("payload")).unionByName(rows.withColumn("first", none.cast("long")))
-    sharded = both.select(shard_of("page_id").alias("shard"), "page_id", "digest", "first", "url", "payload").repartition("shard")
+    sharded = both.select(shard_of("page_id").alias("shard"), "page_id", "digest", "first", "url", "payload").repartition(len(starts) + 1, "shard")
     ordered = sharded.sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
     files = kept(ordered.mapInArrow(_write_batches(folder, file_bytes), _FILE_DDL))
     files.mapInArrow(_commit_batches(folder), _MANIFEST_DDL).write.mode("error").json(f"{folder}/manifest")
@@ -273,5 +275,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
 
     payload is null in revisits; payload_bytes and payload_digest are those of the full payload in both kinds.
     """
-    files = spark.read.schema(_MANIFEST_DDL).json(f"{folder}/manifest").select("name", "bytes").repartition("name")
+    files = spark.read.schema(_MANIFEST_DDL).json(f"{folder}/manifest").select("name")
+    # One file a task; without a number, the names are so short that they would be put into one.
+    files = files.repartition(max(1, min(files.count(), READERS)))
     return files.mapInArrow(_read_batches(folder, with_payload), _RECORD_DDL)

@@ -91,3 +91,11 @@ def open_bytes(data):
     import io
 
     return io.BytesIO(data)
+
+
+def test_files_are_read_by_as_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(k, None, f"page {k} " * 50) for k in range(60)], "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, str(tmp_path / "w"), shard_bytes=4_000, file_bytes=2_000)
+    read = warc.read_archives(spark, str(tmp_path / "w"))
+    assert manifest.count() > 8 and read.rdd.getNumPartitions() == manifest.count()
+    assert read.count() == 60
