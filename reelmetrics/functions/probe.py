@@ -46,7 +46,7 @@ def compare_format(depth: Column) -> Column:
     return F.when(depth >= 10, "yuv420p10le").otherwise("yuv420p")
 
 
-def _at_least(width: Column, height: Column, min_w: int, min_h: int) -> Column:
+def _at_least(width: Column, height: Column, min_w: int | Column, min_h: int | Column) -> Column:
     return (F.coalesce(width, F.lit(0)) >= min_w) | (F.coalesce(height, F.lit(0)) >= min_h)
 
 
@@ -74,8 +74,8 @@ def range_problem(low: Column, high: Column) -> Column:
     )
 
 
-#: Most rules of a table: every rule is tried for every different size.
-MOST_RULES = 10_000
+#: Most rules of a table.
+MOST_RULES = 1_000
 
 
 def split_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,17 +92,19 @@ def split_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
 def tiers_by_rules(streams: DataFrame, rules: DataFrame, keys: Sequence[str] = ("file_id",)) -> DataFrame:
     """The first rule (by rank, then tier) whose width or height bound a stream meets: tier, min_cq and max_cq, null if none does.
 
-    Rules may overlap. Streams are cut down to their different sizes first, so the rules are tried once for each size and not for
-    each stream; they are broadcast, and more than `MOST_RULES` of them raise an error. A stream without a size counts as 0 x 0.
+    Rules may overlap. The usable ones, in order, become one array of constants, so that a stream finds its rule without a join;
+    more than `MOST_RULES` of them raise an error. A stream without a size counts as 0 x 0.
     """
     usable, _ = split_rules(rules)
-    if usable.limit(MOST_RULES + 1).count() > MOST_RULES:
+    order = ["rank", "tier", "min_cq", "max_cq"]
+    ordered = usable.orderBy(*order).select("tier", "min_width", "min_height", "min_cq", "max_cq").limit(MOST_RULES + 1).collect()
+    if len(ordered) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    sized = streams.withColumns({"__w": F.coalesce("width", F.lit(0)), "__h": F.coalesce("height", F.lit(0))})
-    met = (F.col("__w") >= F.col("min_width")) | (F.col("__h") >= F.col("min_height"))
-    first = F.min_by(F.struct("tier", "min_cq", "max_cq"), F.struct("rank", "tier", "min_cq", "max_cq"))
-    chosen = sized.select("__w", "__h").distinct().join(F.broadcast(usable), met).groupBy("__w", "__h").agg(first.alias("__rule"))
-    return sized.join(chosen, ["__w", "__h"], "left").select(*keys, "__rule.*")
+    kind = "struct<tier:string,min_width:int,min_height:int,min_cq:int,max_cq:int>"
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in ordered]).cast(f"array<{kind}>")
+    met = F.filter(table, lambda rule: _at_least(F.col("width"), F.col("height"), rule["min_width"], rule["min_height"]))
+    found = F.get(met, F.lit(0))
+    return streams.select(*keys, *[found[c].alias(c) for c in ("tier", "min_cq", "max_cq")])
 
 
 def nominal_peak(max_cll: Column, mastering: Column) -> Column:
