@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmetrics.llm.common import kept
@@ -109,33 +109,35 @@ class _Encoder:
         return b"".join(map(self.words.__getitem__, (text or "").encode().split()))
 
 
-def _piece_batches(path: str, capacity: int, with_ids: bool):
+def _piece_batches(path: str, capacity: int, with_ids: bool, placed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(path)
         end = END.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                keys, rows = batch.column(0).slice(at, SLICE).to_pylist(), []
-                for key, text in zip(keys, batch.column(1).slice(at, SLICE).to_pylist(), strict=True):
+                columns, rows = [c.slice(at, SLICE).to_pylist() for c in batch.columns], []
+                for key, text, *place in zip(*columns, strict=True):
                     ids = encoder.text(text) + end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
-                        rows.append((key, piece, start // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+                        rows.append((key, piece, start // 4, len(part) // 4, zlib.crc32(part), *[part] * with_ids, *place))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids, *[pa.int64()] * placed]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, *["place"] * placed]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, with_ids: bool = False, key: str = "doc_id", text: str = "text", place: Column | None = None) -> DataFrame:
     """The documents' token ids with an end mark, cut into pieces of at most `capacity`.
 
-    Columns doc_id, piece (from 0), start, length, ids_crc32 and, on request, ids (little-endian unsigned 32-bit). A null or
-    empty text is the end mark alone. Repeated rows give repeated pieces.
+    Columns doc_id, piece (from 0), start, length, ids_crc32 and, on request, ids (little-endian unsigned 32-bit) and place,
+    a long by which the documents are in order. A null or empty text is the end mark alone. Repeated rows give repeated pieces.
     """
-    ddl = _PIECE_DDL + ", ids binary" * with_ids
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_piece_batches(tokenizer_path, capacity, with_ids), ddl)
+    placed = place is not None
+    ddl = _PIECE_DDL + ", ids binary" * with_ids + ", place long" * placed
+    needed = [F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *([place.cast("long").alias("place")] if placed else [])]
+    return docs.select(*needed).mapInArrow(_piece_batches(tokenizer_path, capacity, with_ids, placed), ddl)
 
 
 @dataclass(frozen=True)
@@ -384,6 +386,54 @@ def pack(cut: DataFrame, capacity: int = 4096, nodes: int = 300) -> DataFrame:
     return numbered.mapInArrow(_place_batches(_places(recipes(counts, capacity, nodes)), columns), f"{ddl}, sequence_id long, offset long")
 
 
+def _window_packer(capacity: int, nodes: int, steps: int):
+    """Packs the pieces of one window; its sequences are numbered by their first piece in order."""
+
+    def run(window: pa.Table) -> pa.Table:
+        window = window.sort_by("ahead")
+        length = window.column("length").to_numpy()
+        kinds, of, counts = np.unique(length, return_inverse=True, return_counts=True)
+        by_length = np.argsort(of, kind="stable")
+        number = np.empty(len(of), np.int64)
+        number[by_length] = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        keys, uses, first, offsets = _places(recipes(dict(zip(kinds.tolist(), counts.tolist(), strict=True)), capacity, nodes, steps))
+        at = np.searchsorted(keys, (length << 44) | number, "right") - 1
+        nth = number - (keys[at] & ((1 << 44) - 1))
+        _, earliest, sequence = np.unique(first[at] + nth // uses[at], return_index=True, return_inverse=True)
+        rank = np.argsort(np.argsort(earliest))
+        ids = (window.column("window").to_numpy() << 32) | rank[sequence]
+        out = window.drop_columns(["window", "ahead", "place"])
+        return out.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets[at] + nth % uses[at] * length))
+
+    return run
+
+
+def pack_in_order(cut: DataFrame, capacity: int = 4096, window: int = 512, nodes: int = 300, steps: int = 2_000) -> DataFrame:
+    """The pieces with sequence_id and offset, gapless from 0 in each sequence; sequences follow the order of the pieces.
+
+    `cut` is what `pieces` returns with `place`. In the order of (place, doc_id, start) the pieces are cut into windows of as many ids as
+    `window` sequences hold, and each window is packed by itself in a task, the greedy plan first and then `steps` branches where it
+    misses the bound. sequence_id ascends from window to window, with gaps between them, and in a window by the first piece in order.
+    So the pieces of the first sequences are the first pieces in order, but for those of one window, and each window needs at
+    most the sequences of its own plan: a table takes at most about one sequence a window more than if it were packed as a whole.
+
+    A piece is in the window that its first id falls into, so a window has at most `window` * `capacity` pieces, however the
+    rows are spread. Repeated rows and equal places are kept; which of them comes first makes no difference to what a sequence holds.
+    An empty table gives an empty result.
+    """
+    cut = kept(cut)
+    columns = [c for c in cut.columns if c != "place"]
+    sliced = cut.withColumn("slice", F.shiftright("place", 16))
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # over one row a slice
+    offsets = sliced.groupBy("slice").agg(F.sum("length").alias("sum")).select("slice", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("slice").orderBy("place", "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("offset") + F.coalesce(F.sum("length").over(within), F.lit(0))
+    placed = sliced.join(offsets, "slice").withColumn("ahead", ahead).select(*cut.columns, "ahead", F.expr(f"ahead div {window * capacity}").alias("window"))
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
+    ddl = ", ".join(f"{c} {kinds[c]}" for c in columns)
+    return placed.groupBy("window").applyInArrow(_window_packer(capacity, nodes, steps), f"{ddl}, sequence_id long, offset long")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences themselves, from pieces with ids: sequence_id, length, ids (binary). A group is one sequence."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))

@@ -92,3 +92,59 @@ def test_mix_leaves_out_no_document(spark, small):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
     assert not mixing.mix(docs).where("not in_mix").isEmpty()
     assert Counter(r.doc_id for r in corpus_pipeline.mix(spark, docs, small).collect()) == Counter(range(400))
+
+
+@pytest.fixture(scope="module")
+def mixed(spark, small, tmp_path_factory):
+    """Packed sequences of 300 documents of three sources, mixed with two sets of weights, in windows of four sequences."""
+    rows = [(i, f"{'abc'[i % 3]} word{i} " * (300 + 37 * i % 200), "en", "abc"[i % 3], 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    out = []
+    for weights in ({"a": 0.6, "b": 0.3, "c": 0.1}, {"a": 0.1, "b": 0.3, "c": 0.6}):
+        path = str(tmp_path_factory.mktemp("mixed") / "docs")
+        corpus_pipeline.mix(spark, docs, small, weights).write.parquet(path)
+        files = spark.read.parquet(path).select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+        order = [r.doc_id for r in sorted(files, key=lambda r: (r.file_name, r.row_index))]
+        out.append((order, corpus_pipeline.pack(spark, spark.read.parquet(path), small, 4).collect()))
+    return out
+
+
+def test_sequences_follow_the_mix(mixed):
+    """After any number of sequences each source has the ids it has in as much of the mix's order, but for one window."""
+    for order, packed in mixed:
+        assert Counter((r.doc_id, r.piece) for r in packed).most_common(1)[0][1] == 1 and {r.doc_id for r in packed} == set(order)
+        tokens = Counter()
+        for r in packed:
+            tokens[r.doc_id] += r.length
+        bins = defaultdict(list)
+        for r in packed:
+            bins[r.sequence_id].append(r)
+        done, at, so_far, wanted = Counter(), 0, 0, Counter()
+        for _, parts in sorted(bins.items()):
+            for r in parts:
+                done[r.doc_id % 3] += r.length
+            so_far += sum(r.length for r in parts)
+            while at < len(order) and sum(wanted.values()) < so_far:
+                wanted[order[at] % 3] += tokens[order[at]]
+                at += 1
+            assert all(abs(done[s] - wanted[s]) <= 4 * 4096 + 2 * 4096 for s in range(3))
+            ends = sorted((r.offset, r.length) for r in parts)
+            assert all(o + n == p for (o, n), (p, _) in zip(ends, ends[1:])) and ends[0][0] == 0 and sum(ends[-1]) <= 4096
+        windows = {i >> 32 for i in bins}
+        assert len(bins) <= packing.least_sequences(Counter(r.length for r in packed), 4096) + 2 * len(windows) and len(windows) > 10
+
+
+def test_other_weights_give_another_order(mixed):
+    first = []
+    for _, packed in mixed:
+        count = Counter()
+        for r in sorted(packed, key=lambda r: r.sequence_id):
+            if sum(count.values()) < 40 * 4096:
+                count[r.doc_id % 3] += r.length
+        first.append(count)
+    assert first[0][0] > 2 * first[0][2] and first[1][2] > 2 * first[1][0]
+
+
+def test_documents_that_are_in_no_file_are_packed(spark, small):
+    docs = spark.createDataFrame([(1, "one two", "en", "s", 7), (None, None, None, None, None), (1, "one two", "en", "s", 7)], "doc_id long, text string, lang string, source string, n_chars int")
+    assert Counter(r.doc_id for r in corpus_pipeline.pack(spark, docs, small).collect()) == Counter({1: 2, None: 1})
