@@ -6,6 +6,7 @@ the last return the columns of the documents.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +35,29 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix; when a source ends, the others go on."""
-    mixed = mixing.mix(docs)
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str | None, float] | None = None) -> DataFrame:
+    """All documents, in the order of the mix; when a source ends, the others go on.
+
+    The rows are in that order across the partitions, so in the files written from them too, whose names begin with the partition's number.
+    """
+    mixed = mixing.mix(docs, weights)
     ordered = mixed.repartitionByRange("slot", "start").sortWithinPartitions("slot", "start")
     return ordered.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document, with its sequence and place in it."""
-    return packing.pack(packing.pieces(docs, tokenizer_path(), 4096), 4096)
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, window: int = 512) -> DataFrame:
+    """Every piece of every document, with its sequence and place in it; sequences follow the order of the files' rows.
+
+    Any first sequences hold what the mix has put first, but for the pieces of one window. Documents that do not come from files have no order,
+    and are packed in that of a hash of their ids.
+    """
+    try:
+        placed = docs.select("doc_id", "text", "_metadata.file_name", "_metadata.row_index")
+        part = F.coalesce(F.regexp_extract("file_name", r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+        place = F.shiftleft(part, 40) + F.col("row_index")
+    except AnalysisException:
+        placed, place = docs, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    return packing.pack_in_order(packing.pieces(placed, tokenizer_path(), 4096, place=place), 4096, window)
 
 
 STAGES = [
