@@ -3,7 +3,7 @@
 On unit vectors the cosine is a distance: cos >= t means that two points are at most sqrt(2 - 2 t) apart. Points of one label
 are sorted by the nearest of a few centres, the top of a tree in Spark, and cut into chunks. Pairs of
 chunks whose covering radii keep all their points apart are dropped; the others meet in a task. There each chunk has a
-cover tree: nested nodes, each level with half the radius of the one above. Two trees are descended together. A pair
+cover tree: nested nodes, each level with half the reach of the one above. Two trees are descended together. A pair
 of nodes is dropped when even the nearest points below them are too far apart, counted as a whole when even the farthest
 are near enough, and opened otherwise; the pairs of points left are decided by their cosine.
 
@@ -12,6 +12,7 @@ Links are not listed: each point gets its number of links, and each pair of chun
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 
@@ -24,73 +25,101 @@ from reelmetrics.llm.common import components, kept
 
 #: Points in a chunk, points that centres are chosen from, and centres.
 CHUNK, SAMPLE, CENTRES = 1_024, 4_000, 64
-#: Points in a small leaf, and node pairs looked at together.
-LEAF, PAIRS = 16, 20_000
-#: What rounding may add to a distance.
-SLACK = 1e-9
+#: Points in a leaf, node pairs looked at together, and pairs of children from which they are compared by one matrix product.
+LEAF, PAIRS, BLOCK = 16, 20_000, 64
+#: What rounding may add to a distance, and to one that is worked out from a cosine.
+SLACK, ROUGH = 1e-9, 1e-6
+_ARRAYS = ("order", "centres", "levels", "radii", "runs", "counts", "below")
 
 
 class Tree:
-    """A cover tree over unit vectors: for each node its centre (a point), radius (to the farthest point below), run of points and children.
+    """A cover tree over unit vectors: for each node its level, centre (a point), radius (to the farthest point below), run of points and children.
 
-    A node whose points lie so far from each other that the next level would have a node for every few of them is a leaf.
+    The root's level is 2, and each level is half of the one above; levels at which a node would have itself as its only child are left out.
+    The children of a node are centres more than their level apart, the node's own centre the first of them, and every point is below the nearest
+    of them, at most a level away. A node with more than LEAF points is opened, down to points that are equal but for rounding.
     """
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.points, self.order = points, np.arange(len(points))
+    def __init__(self, points: np.ndarray, packed: bytes | None = None) -> None:
+        """The tree over `points`; `packed` is what `packed()` returned for the same points."""
+        self.points = points
+        if packed is not None:
+            with np.load(io.BytesIO(packed)) as held:
+                self.order, self.centres, self.levels, self.radii, self.runs, self.counts, self.below = (held[n] for n in _ARRAYS)
+        else:
+            self._grow()
+        self.sizes = self.runs[:, 1] - self.runs[:, 0]
+        self.starts = np.cumsum(self.counts) - self.counts
+
+    def _grow(self) -> None:
+        self.order = np.arange(len(self.points))
         self.centre: list[int] = []
+        self.level: list[float] = []
         self.radius: list[float] = []
         self.run: list[tuple[int, int]] = []
         self.children: list[list[int]] = []
-        self._build(0, len(points), 0, 2.0)
-        self.centres, self.radii = np.array(self.centre), np.array(self.radius)
+        self._build(0, len(self.points), 0, 2.0, self.points @ self.points.T)
+        self.centres, self.levels, self.radii, self.runs = (np.array(c) for c in (self.centre, self.level, self.radius, self.run))
         self.counts = np.array([len(c) for c in self.children])
-        self.starts = np.cumsum(self.counts) - self.counts
         self.below = np.array([c for own in self.children for c in own], np.int64)
+        del self.centre, self.level, self.radius, self.run, self.children
 
-    def _build(self, start: int, stop: int, centre: int, level: float) -> int:
-        """A node for the points order[start:stop] around `centre`, whose children are at most level / 2 from the points below them."""
-        node, inside = len(self.centre), self.order[start:stop]
-        far = self._from(centre, inside)
+    def packed(self) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, **dict(zip(_ARRAYS, (self.order, self.centres, self.levels, self.radii, self.runs, self.counts, self.below), strict=True)))
+        return held.getvalue()
+
+    def _add(self, start: int, stop: int, centre: int, level: float, radius: float) -> int:
         self.centre.append(centre)
-        self.radius.append(float(far.max()))
+        self.level.append(level)
+        self.radius.append(radius)
         self.run.append((start, stop))
         self.children.append([])
-        if stop - start <= LEAF or self.radius[node] <= SLACK:
+        return len(self.centre) - 1
+
+    def _build(self, start: int, stop: int, centre: int, level: float, cosines: np.ndarray) -> int:
+        """A node for the points order[start:stop] around `centre`, the first of them. `cosines` has a row and a column for each of them, in that order."""
+        if stop - start == 1:
+            return self._add(start, stop, centre, level, 0.0)
+        inside = self.order[start:stop]
+        radius = float(np.linalg.norm(self.points[inside] - self.points[centre], axis=1).max())
+        node = self._add(start, stop, centre, level, radius)
+        if stop - start <= LEAF or radius <= ROUGH:
             return node
-        level = min(level, 2 * self.radius[node])
-        while True:
+        while level >= radius:
             level /= 2
-            groups = self._net(inside, far, centre, level)
-            if groups is None:
-                return node
-            if len(groups) > 1:
+        while True:
+            net = self._net(cosines, 1 - level * level / 2)
+            if len(net) > 1:
                 break
-        self.order[start:stop] = np.concatenate([inside[g] for _, g in groups])
-        at = start
-        for own, group in groups:
-            self.children[node].append(self._build(at, at + len(group), own, level))
-            at += len(group)
+            level /= 2
+        owner = cosines[:, net].argmax(axis=1)
+        owner[net] = np.arange(len(net))
+        by_owner = np.lexsort((np.arange(len(owner)) != np.array(net)[owner], owner))  # each centre before the points below it
+        inside = inside[by_owner]
+        self.order[start:stop] = inside
+        ends = np.searchsorted(owner[by_owner], np.arange(len(net)), "right")
+        for at, end in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            own = cosines[np.ix_(by_owner[at:end], by_owner[at:end])] if end - at > LEAF else cosines[:0]
+            self.children[node].append(self._build(start + at, start + end, int(inside[at]), level, own))
         return node
 
-    def _from(self, centre: int, inside: np.ndarray) -> np.ndarray:
-        return np.linalg.norm(self.points[inside] - self.points[centre], axis=1)
-
-    def _net(self, inside: np.ndarray, far: np.ndarray, centre: int, reach: float) -> list[tuple[int, np.ndarray]] | None:
-        """Groups of points within `reach` of a centre, the parent's centre first, then the farthest point not yet reached; none if there are too many."""
-        nearest, owner, centres = far.copy(), np.zeros(len(inside), int), [centre]
-        while nearest.max() > reach:
-            if len(centres) > max(2, len(inside) // LEAF):
-                return None
-            new = int(nearest.argmax())
-            distance = self._from(int(inside[new]), inside)
-            closer = distance < nearest
-            nearest[closer], owner[closer] = distance[closer], len(centres)
-            centres.append(int(inside[new]))
-        return [(c, np.flatnonzero(owner == k)) for k, c in enumerate(centres) if (owner == k).any()]
+    @staticmethod
+    def _net(cosines: np.ndarray, least: float) -> list[int]:
+        """Places of centres, the first point first, of which no two have a cosine of `least` or more, while every point has that with one of them."""
+        covered, net = np.zeros(len(cosines), bool), []
+        for place in range(len(cosines)):
+            if not covered[place]:
+                net.append(place)
+                covered |= cosines[place] >= least
+                covered[place] = True
+        return net
 
     def inside(self, node: int) -> np.ndarray:
-        return self.order[slice(*self.run[node])]
+        return self.order[slice(*self.runs[node])]
+
+    def kids(self, node: int) -> np.ndarray:
+        return self.below[self.starts[node] : self.starts[node] + self.counts[node]]
 
     def opened(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The children of all `nodes`, and the place of the node that each belongs to."""
@@ -100,8 +129,9 @@ class Tree:
         return self.below[self.starts[nodes][of] + nth], of
 
 
-def dual_join(left: Tree, right: Tree | None, reach: float) -> Iterator[tuple[str, int, int]]:
-    """Pairs of nodes of two trees: ("all", x, y), all points below them are within `reach`; ("some", x, y), leaves of which pairs are still to be decided.
+def dual_join(left: Tree, right: Tree | None, reach: float) -> Iterator[tuple]:
+    """Pairs of nodes of two trees: ("all", x, y), all points below them are within `reach`; ("some", x, y), leaves of which pairs are still to
+    be decided; ("points", i, j), two arrays of points, the same for leaves of one point each.
 
     Without `right`, pairs within `left`, each once; a node beside itself stands for the pairs among its own points.
     """
@@ -116,21 +146,28 @@ def dual_join(left: Tree, right: Tree | None, reach: float) -> Iterator[tuple[st
         apart = np.linalg.norm(left.points[left.centres[a]] - right.points[right.centres[b]], axis=1)
         spread = left.radii[a] + right.radii[b]
         same = (a == b) & own
-        whole = np.where(same, 2 * left.radii[a], apart + spread) <= reach - SLACK
+        alone = (left.sizes[a] == 1) & (right.sizes[b] == 1)
+        whole = ~alone & (np.where(same, 2 * left.radii[a], apart + spread) <= reach - SLACK)
         for x, y in zip(a[whole].tolist(), b[whole].tolist(), strict=True):
             yield "all", x, y
-        stay = ~whole & (apart - spread <= reach + SLACK)
-        a, b, same = a[stay], b[stay], same[stay]
+        stay = ~whole & ~(alone & same) & (apart - spread <= reach + SLACK)
+        a, b, same, alone = a[stay], b[stay], same[stay], alone[stay]
         leaf_a, leaf_b = left.counts[a] == 0, right.counts[b] == 0
-        for x, y in zip(a[leaf_a & leaf_b].tolist(), b[leaf_a & leaf_b].tolist(), strict=True):
+        both = leaf_a & leaf_b
+        if alone.any():
+            yield "points", left.centres[a[alone]], right.centres[b[alone]]
+        for x, y in zip(a[both & ~alone].tolist(), b[both & ~alone].tolist(), strict=True):
             yield "some", x, y
-        by_left = ~leaf_a & ~same & (leaf_b | (left.radii[a] >= right.radii[b]))
-        by_right = ~leaf_b & ~same & ~by_left
+        many = ~leaf_a & ~leaf_b & (left.counts[a] * right.counts[b] >= BLOCK)
+        by_left = ~leaf_a & ~same & ~many & (leaf_b | (left.radii[a] >= right.radii[b]))
+        by_right = ~leaf_b & ~same & ~many & ~by_left
         p, of = left.opened(a[by_left])
         q, to = right.opened(b[by_right])
         next_ = [(p, b[by_left][of]), (a[by_right][to], q)]
-        for x in a[same & ~leaf_a].tolist():
-            children = np.array(left.children[x])
+        for x, y, within in zip(a[many].tolist(), b[many].tolist(), same[many].tolist(), strict=True):
+            next_.append(_near_children(left, right, x, y, within, reach))
+        for x in a[same & ~many & ~leaf_a].tolist():
+            children = left.kids(x)
             i, j = np.triu_indices(len(children))
             next_.append((children[i], children[j]))
         a, b = (np.concatenate(side) for side in zip(*next_, strict=True))
@@ -138,24 +175,36 @@ def dual_join(left: Tree, right: Tree | None, reach: float) -> Iterator[tuple[st
             open_.append((a, b))
 
 
+def _near_children(left: Tree, right: Tree, x: int, y: int, within: bool, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a child of `x` and a child of `y` that their radii do not keep apart; `within` one node, each pair once."""
+    p, q = left.kids(x), right.kids(y)
+    r, t = left.radii[p], right.radii[q]
+    cosines = left.points[left.centres[p]] @ right.points[right.centres[q]].T
+    i, j = np.nonzero(cosines >= 1 - (r.max() + t.max() + reach + ROUGH) ** 2 / 2)  # what the largest radii leave
+    near = cosines[i, j] >= 1 - (r[i] + t[j] + reach + ROUGH) ** 2 / 2
+    if within:
+        near &= i <= j
+    return p[i[near]], q[j[near]]
+
+
 def scaled(x: np.ndarray) -> np.ndarray:
     """The vectors times powers of two that bring their largest components near 1: the same cosines, and norms that neither overflow nor vanish."""
     exponent = np.frexp(np.abs(x).max(axis=1, initial=0))[1]
     return np.ldexp(x, -exponent[:, None])
 
 
-def linked(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def linked(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray | None, threshold: float, trees: tuple[bytes | None, bytes | None] = (None, None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights of the points linked with each point of `x` and of `y` (without `y`: of `x` alone), and for each point the least place that links join it with.
 
-    The rows are vectors, not yet of unit length. Products of unit vectors find the pairs of two leaves that may link; whether
+    The rows are vectors, not yet of unit length; `trees` are their cover trees as `Tree.packed` gives them, where there are any. Products of unit vectors find the pairs of two leaves that may link; whether
     one does is decided by its cosine in double precision.
     """
     own = y is None
     x = scaled(x)
     y, weight_y = (x, weight_x) if own else (scaled(y), weight_y)
     size_x, size_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    left = Tree(x / size_x[:, None])
-    right = left if own else Tree(y / size_y[:, None])
+    left = Tree(x / size_x[:, None], trees[0])
+    right = left if own else Tree(y / size_y[:, None], trees[1])
     count_x = np.zeros(len(x), np.int64)
     count_y = count_x if own else np.zeros(len(y), np.int64)
     shift = 0 if own else len(x)
@@ -172,7 +221,18 @@ def linked(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y:
             while not (root == root[root]).all():
                 root = root[root]
 
+    def decide(p: np.ndarray, q: np.ndarray) -> None:
+        near = np.einsum("ij,ij->i", x[p], y[q]) / (size_x[p] * size_y[q]) >= threshold
+        p, q = p[near], q[near]
+        if len(p):
+            np.add.at(count_x, p, weight_y[q])
+            np.add.at(count_y, q, weight_x[p])
+            join(p, q + shift)
+
     for kind, a, b in dual_join(left, None if own else right, math.sqrt(max(0.0, 2 - 2 * threshold))):
+        if kind == "points":
+            decide(a, b)
+            continue
         i, j = left.inside(a), right.inside(b)
         same = own and a == b
         if kind == "all":
@@ -184,13 +244,7 @@ def linked(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y:
         p, q = np.nonzero(left.points[i] @ right.points[j].T >= threshold - SLACK)
         if same:
             p, q = p[p < q], q[p < q]
-        p, q = i[p], j[q]
-        near = np.einsum("ij,ij->i", x[p], y[q]) / (size_x[p] * size_y[q]) >= threshold
-        p, q = p[near], q[near]
-        if len(p):
-            np.add.at(count_x, p, weight_y[q])
-            np.add.at(count_y, q, weight_x[p])
-            join(p, q + shift)
+        decide(i[p], j[q])
     return count_x, count_y, root
 
 
@@ -211,7 +265,8 @@ def _pair_batches(threshold: float):
                 x = _vectors(batch.column("vectors_x")[k].as_py())
                 own = batch.column("own")[k].as_py()
                 y = None if own else _vectors(batch.column("vectors_y")[k].as_py())
-                count_x, count_y, root = linked(x, y, w_x, None if own else w_y, threshold)
+                trees = tuple(batch.column(n)[k].as_py() for n in ("tree_x", "tree_y"))
+                count_x, count_y, root = linked(x, y, w_x, None if own else w_y, threshold, trees)
                 ids = ids_x if own else np.r_[ids_x, ids_y]
                 links = count_x if own else np.r_[count_x, count_y]
                 some = links > 0
@@ -220,8 +275,8 @@ def _pair_batches(threshold: float):
     return run
 
 
-_CHUNK_DDL = "label string, dims int, chunk long, centre array<double>, radius double, ids binary, weights binary, vectors binary"
-_CHUNK = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("chunk", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary())])
+_CHUNK_DDL = "label string, dims int, chunk long, centre array<double>, radius double, ids binary, weights binary, vectors binary, tree binary"
+_CHUNK = pa.schema([("label", pa.string()), ("dims", pa.int32()), ("chunk", pa.int64()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("tree", pa.binary())])
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +290,7 @@ def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         centre = unit.mean(axis=0)
         radius = float(np.linalg.norm(unit - centre, axis=1).max()) + SLACK
         packed = np.int64(vectors.shape[1]).tobytes() + vectors.tobytes()
-        return pa.RecordBatch.from_pylist([{"label": held[0][0], "dims": held[0][1], "chunk": int(ids[0]), "centre": centre.tolist(), "radius": radius, "ids": ids.tobytes(), "weights": weights.tobytes(), "vectors": packed}], schema=_CHUNK)
+        return pa.RecordBatch.from_pylist([{"label": held[0][0], "dims": held[0][1], "chunk": int(ids[0]), "centre": centre.tolist(), "radius": radius, "ids": ids.tobytes(), "weights": weights.tobytes(), "vectors": packed, "tree": Tree(unit).packed()}], schema=_CHUNK)
 
     for batch in batches:
         for at in range(0, batch.num_rows, 1_024):
@@ -311,10 +366,10 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, key: str = "
     reach = F.lit(math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK)
     near = l.join(r, (F.col("l.label") == F.col("r.label")) & (F.col("l.dims") == F.col("r.dims")) & (F.col("l.chunk") <= F.col("r.chunk")) & (apart <= F.col("l.radius") + F.col("r.radius") + reach))
     near = near.select(F.col("l.label").alias("label"), F.col("l.dims").alias("dims"), F.col("l.chunk").alias("chunk_x"), F.col("r.chunk").alias("chunk_y"))
-    side = lambda s: chunks.select("label", "dims", *[F.col(c).alias(f"{c}_{s}") for c in ("chunk", "ids", "weights", "vectors")])
+    side = lambda s: chunks.select("label", "dims", *[F.col(c).alias(f"{c}_{s}") for c in ("chunk", "ids", "weights", "vectors", "tree")])
     pairs = near.join(side("x"), ["label", "dims", "chunk_x"]).join(side("y"), ["label", "dims", "chunk_y"])
     pairs = pairs.withColumn("own", F.col("chunk_x") == F.col("chunk_y")).repartition("label", "chunk_x", "chunk_y")
-    found = kept(pairs.select("own", "ids_x", "weights_x", "vectors_x", "ids_y", "weights_y", "vectors_y").mapInArrow(_pair_batches(threshold), _LINK_DDL))
+    found = kept(pairs.select("own", "ids_x", "weights_x", "vectors_x", "tree_x", "ids_y", "weights_y", "vectors_y", "tree_y").mapInArrow(_pair_batches(threshold), _LINK_DDL))
     counts = found.groupBy(F.col("id").alias("point")).agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     classes = points.select("label", "v", "point", "weight", "least").join(counts, "point", "left").join(parts.withColumnRenamed("node", "point"), "point", "left")

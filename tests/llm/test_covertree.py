@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from reelmetrics.llm import covertree
@@ -44,15 +45,59 @@ def test_linked_against_all_pairs(seed, threshold):
     assert (root == groups(both)).all()
 
 
-def test_tree_covers_and_halves():
-    tree = covertree.Tree((lambda p: p / np.linalg.norm(p, axis=1)[:, None])(clouds(5)))
-    for node, children in enumerate(tree.children):
-        below = tree.order[slice(*tree.run[node])]
-        assert tree.radius[node] == pytest.approx(np.linalg.norm(tree.points[below] - tree.points[tree.centre[node]], axis=1).max())
-        assert all(tree.radius[c] <= tree.radius[node] + 1e-12 for c in children)
-        if children:
-            assert sorted(i for c in children for i in tree.order[slice(*tree.run[c])]) == sorted(below)
-            assert tree.centre[children[0]] == tree.centre[node]
+def unit(points):
+    return points / np.linalg.norm(points, axis=1)[:, None]
+
+
+def check_tree(tree):
+    """Covering, nesting, separation, halving levels and small leaves, and that every point lies below the root once."""
+    apart = lambda a, b: np.linalg.norm(tree.points[a] - tree.points[b], axis=-1)
+    assert sorted(tree.order) == list(range(len(tree.points)))
+    for node in range(len(tree.centres)):
+        children = tree.kids(node)
+        below = tree.inside(node)
+        assert tree.radii[node] == pytest.approx(apart(below, tree.centres[node]).max(), abs=1e-9)
+        assert below[0] == tree.centres[node] and (not node or tree.radii[node] <= tree.levels[node] + 1e-6)
+        if not len(children):
+            assert len(below) <= covertree.LEAF or tree.radii[node] <= covertree.ROUGH
+            continue
+        assert np.array_equal(np.concatenate([tree.inside(c) for c in children]), below)
+        (level,) = {tree.levels[c] for c in children}
+        assert level <= tree.levels[node] / 2 and math.log2(level).is_integer()
+        centres = np.array([tree.centres[c] for c in children])
+        between = apart(centres[:, None], centres[None])
+        assert tree.centres[node] == centres[0] and (between[~np.eye(len(centres), dtype=bool)] > level - 1e-6).all()
+        assert (apart(below[:, None], centres[None]).min(axis=1) >= np.concatenate([apart(tree.inside(c), tree.centres[c]) for c in children]) - 1e-6).all()
+
+
+@pytest.mark.parametrize("dims", [2, 8, 64])
+def test_tree_covers_and_halves(dims):
+    tree = covertree.Tree(unit(clouds(5, dims=dims)))
+    check_tree(tree)
+    assert len(set(tree.levels)) > 4
+    again = covertree.Tree(tree.points, tree.packed())
+    check_tree(again)
+    assert np.array_equal(again.order, tree.order)
+
+
+def test_tree_on_given_vectors():
+    """Every label of the given vectors has a tree of more than one level; its bounds leave few pairs, and all that link are among them."""
+    table = pq.read_table("/root/testdata/sf0.01/embeddings.parquet").to_pylist()
+    reach = math.sqrt(2 - 2 * 0.98)
+    for label in {r["label"] for r in table if r["label"] is not None}:
+        points = np.array([r["embedding"] for r in table if r["label"] == label and r["embedding"]], np.float64)
+        tree = covertree.Tree(unit(points))
+        check_tree(tree)
+        assert len(set(tree.levels)) > 1
+        left = set()
+        for kind, a, b in covertree.dual_join(tree, None, reach):
+            if kind == "points":
+                left |= {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+            else:
+                left |= {frozenset((i, j)) for i in tree.inside(a).tolist() for j in tree.inside(b).tolist() if i != j}
+        near = np.triu(brute(points, points, 0.98), 1)
+        assert {frozenset(p) for p in np.argwhere(near).tolist()} <= left
+        assert len(left) <= near.sum() + 0.1 * len(points) * (len(points) - 1) / 2
 
 
 def test_far_clusters_are_pruned():
@@ -60,7 +105,7 @@ def test_far_clusters_are_pruned():
     points = np.repeat(np.eye(20), 30, axis=0) + rng.normal(size=(600, 20)) * 0.01
     tree = covertree.Tree(points / np.linalg.norm(points, axis=1)[:, None])
     size = lambda node: len(tree.inside(node))
-    decided = sum(size(a) * size(b) for kind, a, b in covertree.dual_join(tree, None, math.sqrt(0.04)) if kind == "some")
+    decided = sum(len(a) if kind == "points" else size(a) * size(b) for kind, a, b in covertree.dual_join(tree, None, math.sqrt(0.04)) if kind != "all")
     assert decided < 600 * 30
 
 
