@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from reelmetrics.llm.common import kept
 
 UNDETERMINED = "und"
+_SIGN = -(1 << 63)
 #: Rows and characters worked on together, and rounds of expectation-maximisation.
 SLICE, CHARS, ROUNDS = 128, 1 << 20, 12
 #: Weights of the three-, two- and one-letter estimates; the rest is even over all letters.
@@ -91,15 +92,22 @@ def _count_batches(languages: list[str], letters: str):
 def learn(rows: DataFrame, sample: int = 1_000, most: int = 64) -> Model:
     """Letter models from `rows` (doc_id, text, lang), of the `sample` documents of each language with the least hash.
 
-    At most the `most` languages with the most documents are learned. Rows without a language or text teach nothing. Up to
-    1,000 documents a language (Spark's threshold for limiting groups), each task passes on no more of one than are taken.
+    At most the `most` languages with the most documents are learned. Rows without a language or text teach nothing. The documents
+    of a language are counted by how many bits their hashes have, at most 65 counts; only those up to the number of bits at which `sample` are
+    reached are ranked, about `sample` to twice as many however many there are (and all rows of a doc_id that repeats).
     """
     rows = rows.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("hash"))
     languages = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect())
     if not languages:
         return Model((), "", *(np.zeros(0, np.int64),) * 3)
+    # Above the least possible value, in bits, which keeps the order of the hashes.
+    sized = rows.where(F.col("lang").isin(languages)).select("lang", "hash", "doc_id", F.length(F.ltrim(F.bin(F.col("hash").bitwiseXOR(F.lit(_SIGN))), F.lit("0"))).alias("bits"))
+    before = Window.partitionBy("lang").orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)
+    few = sized.groupBy("lang", "bits").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).where(F.col("before") < sample)
+    least = few.groupBy("lang").agg(F.max("bits").alias("most"))  # one row per language
+    near = sized.join(F.broadcast(least), "lang").where("bits <= most")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    chosen = rows.where(F.col("lang").isin(languages)).select("lang", "hash", "doc_id").withColumn("rank", rank).where(F.col("rank") <= sample)
+    chosen = near.select("lang", "hash", "doc_id").withColumn("rank", rank).where(F.col("rank") <= sample)
     edges = chosen.groupBy("lang").agg(F.max(F.struct("hash", "doc_id")).alias("edge"))  # one row per language
     sampled = kept(rows.join(F.broadcast(edges), "lang").where(F.struct("hash", "doc_id") <= F.col("edge")).select("lang", "text"))
     singles = sampled.select(F.explode(F.split(F.lower("text"), "")).alias("letter")).where(F.col("letter").rlike(r"^\p{L}$"))
