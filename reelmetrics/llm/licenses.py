@@ -71,13 +71,45 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "this work is in the public domain": "PublicDomain",
     "all rights reserved": "AllRights",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "IscAsIs",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "IscLiable",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Agpl3OrLater",
+    "see the gnu affero general public license for more details": "AgplSee",
+    "you should have received a copy of the gnu affero general public license along with this program": "AgplCopy",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "Lgpl21OrLater",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "Lgpl3OrLater",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "LgplNoWarranty",
+    "see the gnu lesser general public license for more details": "LgplSee",
+    "you should have received a copy of the gnu lesser general public license along with this library": "LgplCopy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "Epl2Terms",
+    "spdx license identifier bsd 2 clause": "Bsd2Name",
+    "spdx license identifier bsd 3 clause": "Bsd3Name",
+    "spdx license identifier isc": "IscName",
+    "spdx license identifier mpl 2 0": "Mpl2Name",
+    "spdx license identifier epl 2 0": "Epl2Name",
+    "spdx license identifier lgpl 2 1 or later": "Lgpl21OrLater",
+    "spdx license identifier lgpl 3 0 or later": "Lgpl3OrLater",
+    "spdx license identifier agpl 3 0 only": "Agpl3Name",
+    "spdx license identifier agpl 3 0 or later": "Agpl3OrLater",
 }
 
+# Sentences in which licences leave a place for names, shown by a star, which stands for one to SLOT_WORDS words.
+SLOTTED = {
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
+    "neither the name of * nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BsdEndorse",
+    "this software is provided by * as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "BsdAsIs",
+    "in no event shall * be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "BsdLiable",
+    "in no event shall * be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "MitLiable",
+}
+SLOT_WORDS = 12
+
 # Licences and the runs of identifiers that make them up, in the order of trying.
 RULES = [
     ("MIT", "MitTitle MitGrant MitNotice MitAsIs MitLiable"),
     ("MIT", "MitGrant MitNotice MitAsIs MitLiable"),
     ("MIT", "MitGrant MitNotice"),
+    ("BSD-3-Clause", "BsdGrant BsdSource BsdBinary BsdEndorse BsdAsIs BsdLiable"),
+    ("BSD-2-Clause", "BsdGrant BsdSource BsdBinary BsdAsIs BsdLiable"),
     ("BSD-3-Clause", "BsdGrant BsdSource BsdBinary BsdEndorse"),
     ("BSD-2-Clause", "BsdGrant BsdSource BsdBinary"),
     ("Apache-2.0", "Apache2Name Apache2Comply Apache2Copy Apache2AsIs Apache2See"),
@@ -85,6 +117,13 @@ RULES = [
     ("GPL-3.0-or-later", "Gpl3OrLater GplNoWarranty GplSee GplCopy"),
     ("GPL-2.0-or-later", "Gpl2OrLater GplNoWarranty GplSee"),
     ("GPL-3.0-or-later", "Gpl3OrLater GplNoWarranty GplSee"),
+    ("AGPL-3.0-or-later", "Agpl3OrLater GplNoWarranty AgplSee AgplCopy"),
+    ("AGPL-3.0-or-later", "Agpl3OrLater GplNoWarranty AgplSee"),
+    ("LGPL-2.1-or-later", "Lgpl21OrLater LgplNoWarranty LgplSee LgplCopy"),
+    ("LGPL-3.0-or-later", "Lgpl3OrLater LgplNoWarranty LgplSee LgplCopy"),
+    ("LGPL-2.1-or-later", "Lgpl21OrLater LgplNoWarranty LgplSee"),
+    ("LGPL-3.0-or-later", "Lgpl3OrLater LgplNoWarranty LgplSee"),
+    ("ISC", "IscGrant IscAsIs IscLiable"),
     ("MPL-2.0", "Mpl2Terms Mpl2Copy"),
     ("MIT", "MitTitle MitName"),
     ("MIT", "MitName"),
@@ -100,7 +139,14 @@ RULES = [
     ("BSD-2-Clause", "Bsd2Name"),
     ("BSD-3-Clause", "Bsd3Name"),
     ("ISC", "IscGrant"),
+    ("ISC", "IscName"),
     ("MPL-2.0", "Mpl2Terms"),
+    ("MPL-2.0", "Mpl2Name"),
+    ("EPL-2.0", "Epl2Terms"),
+    ("EPL-2.0", "Epl2Name"),
+    ("AGPL-3.0-or-later", "Agpl3OrLater"),
+    ("LGPL-2.1-or-later", "Lgpl21OrLater"),
+    ("LGPL-3.0-or-later", "Lgpl3OrLater"),
     ("CC-BY-4.0", "CcBy4"),
     ("CC-BY-SA-4.0", "CcBySa4"),
     ("CC-BY-NC-4.0", "CcByNc4"),
@@ -127,12 +173,24 @@ _BEFORE = r"(?:^|(?<=\n)|(?<=[.!?;][ \t\f\r\x0B]))[^A-Za-z0-9\n]*+(?:[A-Za-z0-9]
 _AFTER = r"(?![A-Za-z0-9])(?=[^A-Za-z0-9\n.!?;]*+(?:\n|\z|;|[.!?]+[^A-Za-z0-9\s]*+(?:\s|\z)))"
 
 
+#: After a word of a name, which may end in a full stop, as 'Inc.' does.
+_NAME_GAP = r"[^A-Za-z0-9\n]*+\n?+[^A-Za-z0-9\n]*+(?<=[^A-Za-z0-9])"
+
+
 def _wrapped(sentence: str) -> str:
+    if "*" in sentence:
+        before, after = map(str.strip, sentence.split("*"))
+        return f"{_wrapped(before)}{_GAP}(?:[A-Za-z0-9]++{_NAME_GAP}){{1,{SLOT_WORDS}}}?{_wrapped(after)}"
     words = sentence.split()
     return words[0] + "".join(_GAPS.get(pair, _GAP) + pair[1] for pair in zip(words, words[1:], strict=False))
 
 
-_KNOWN = f"(?i){_BEFORE}({'|'.join(_wrapped(s) for s in sorted(SENTENCES, key=len, reverse=True))}){_AFTER}"
+def _slotted(sentence: str) -> str:
+    """A pattern for the normal forms of a sentence with a place for names."""
+    return f"^{sentence.replace('* ', f'([a-z0-9]+ ){{1,{SLOT_WORDS}}}')}$"
+
+
+_KNOWN = f"(?i){_BEFORE}({'|'.join(_wrapped(s) for s in sorted([*SENTENCES, *SLOTTED], key=len, reverse=True))}){_AFTER}"
 
 
 def normal_form(sentence: Column) -> Column:
@@ -140,8 +198,13 @@ def normal_form(sentence: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(sentence, "[^A-Za-z0-9]+", " ")))
 
 
-def _known() -> Column:
-    return F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+def _name_of(form: Column) -> Column:
+    """The identifier of a sentence in normal form; empty for one that is not known."""
+    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
+    slotted = F.lit("")
+    for sentence, name in SLOTTED.items():
+        slotted = F.when(form.rlike(_slotted(sentence)), F.lit(name)).otherwise(slotted)
+    return F.coalesce(F.element_at(known, form), slotted)
 
 
 def _parts(text: Column) -> Column:
@@ -159,7 +222,7 @@ def license_columns(text: Column) -> Column:
     forms = F.transform(_parts(text), normal_form)
     # Sentences without a hint need no look-up: but for a few, all known ones have one.
     telling = F.filter(forms, lambda s: s.rlike(_PROBE))
-    named = F.transform(telling, lambda s: F.struct(F.coalesce(F.element_at(_known(), s), F.lit("")).alias("name"), s.rlike(_HINT).alias("hint")))
+    named = F.transform(telling, lambda s: F.struct(_name_of(s).alias("name"), s.rlike(_HINT).alias("hint")))
     return let(named, _resolve)
 
 
@@ -196,7 +259,7 @@ def _match(sentences: Column) -> Column:
 
 
 #: Known sentences have a hint or one of these words.
-_OTHERS = sorted({next(w for w in s.split() if len(w) > 4) for s in SENTENCES if not any(h in s for h in HINTS)})
+_OTHERS = sorted({next(w for w in s.split() if len(w) > 4) for s in [*SENTENCES, *SLOTTED] if not any(h in s for h in HINTS)})
 _PROBE = "|".join([*HINTS, *_OTHERS])
 
 
@@ -208,7 +271,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def check_sql() -> str:
     """DuckDB SQL for what op4_licenses returns on texts whose known sentences are not wrapped."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    names = ", ".join(f"({quote(s)}, {quote(n)})" for s, n in SENTENCES.items())
+    names = ", ".join(f"({quote(s)}, {quote(n)})" for s, n in (SENTENCES | SLOTTED).items())
+    slots = " ".join(f"WHEN regexp_matches(form, {quote(_slotted(s))}) THEN {quote(s)}" for s in SLOTTED)
     steps, rest, counts = [], "s0", []
     for i, (_, run) in enumerate(RULES, 1):
         needle = quote(f" {run.replace(' ', '  ')} ")
@@ -221,7 +285,8 @@ WITH known(form, name) AS (VALUES {names}),
 cut AS (
   SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\f\\r\\x0B]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM documents
 ),
-forms AS (SELECT r, generate_subscripts(parts, 1) AS nth, trim(lower(regexp_replace(unnest(parts), '[^A-Za-z0-9]+', ' ', 'g'))) AS form FROM cut),
+plain AS (SELECT r, generate_subscripts(parts, 1) AS nth, trim(lower(regexp_replace(unnest(parts), '[^A-Za-z0-9]+', ' ', 'g'))) AS form FROM cut),
+forms AS (SELECT r, nth, CASE {slots} ELSE form END AS form FROM plain),
 seen AS (
   SELECT r, list(name ORDER BY nth) FILTER (name IS NOT NULL) AS names, count(*) FILTER (name IS NULL AND regexp_matches(form, {quote(_HINT)})) AS n_unknown
   FROM forms LEFT JOIN known USING (form) GROUP BY r

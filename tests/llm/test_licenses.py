@@ -1,10 +1,11 @@
 import re
 import textwrap
 
+import duckdb
 import pytest
 
 from reelmetrics.llm import licenses
-from reelmetrics.llm.licenses import RULES, SENTENCES
+from reelmetrics.llm.licenses import RULES, SENTENCES, SLOTTED
 
 
 def plain(text):
@@ -65,7 +66,7 @@ def test_sentences_are_in_normal_form_and_probed(sentence):
 
 
 def test_rules_name_known_sentences():
-    assert {n for _, run in RULES for n in run.split()} <= set(SENTENCES.values())
+    assert {n for _, run in RULES for n in run.split()} <= {*SENTENCES.values(), *SLOTTED.values()}
 
 
 MIT_END = """The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -101,6 +102,18 @@ NOTICES = [
 ]
 
 
+BSD_END = """THIS SOFTWARE IS PROVIDED BY EXAMPLE INC. AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL EXAMPLE INC. BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""
+NAMED = BSD3.replace("the copyright holder", "Example Inc.")
+NOTICES += [
+    (NAMED, "BSD-3-Clause", f"{BSD_RUN} BsdEndorse"), (f"{NAMED}\n\n{BSD_END}", "BSD-3-Clause", f"{BSD_RUN} BsdEndorse BsdAsIs BsdLiable"),
+    (f"{BSD}\n\n{BSD_END}", "BSD-2-Clause", f"{BSD_RUN} BsdAsIs BsdLiable"), (LGPL, "LGPL-2.1-or-later", "Lgpl21OrLater LgplNoWarranty LgplSee"),
+    (MIT.partition("The above")[0] + MIT_END.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "SOME ONE, ANOTHER ONE"), "MIT", f"MitTitle {MIT_RUN}"),
+]
+
+
 def wrap(text, width, mark):
     paragraphs = [textwrap.wrap(p, width, break_on_hyphens=False, break_long_words=False) for p in text.split("\n\n")]
     return ("\n" + mark.rstrip() + "\n").join("\n".join(mark + line for line in p) for p in paragraphs)
@@ -108,12 +121,32 @@ def wrap(text, width, mark):
 
 @pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
 def test_wrapped_notices(spark, mark):
-    texts = [(9 * w + k, f"int main;\n\n{wrap(text, w, mark)}\n\nint x;") for w in (40, 72, 80, 5_000) for k, (text, _, _) in enumerate(NOTICES)]
+    texts = [(19 * w + k, f"int main;\n\n{wrap(text, w, mark)}\n\nint x;") for w in (40, 72, 80, 5_000) for k, (text, _, _) in enumerate(NOTICES)]
     got = licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.licenses, " ".join(r.sentences)) for r in got} == {9 * w + k: ([n], run) for w in (40, 72, 80, 5_000) for k, (_, n, run) in enumerate(NOTICES)}
+    assert {r.doc_id: (r.licenses, " ".join(r.sentences)) for r in got} == {19 * w + k: ([n], run) for w in (40, 72, 80, 5_000) for k, (_, n, run) in enumerate(NOTICES)}
 
 
 def test_lines_that_are_no_wrapped_sentence(spark):
     texts = ["MIT\n\nLicense", "Released under the MIT\nLicense for users", "Not released under the MIT\nLicense", "MIT. License"]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert all(r.sentences == [] for r in got)
+
+
+def test_names_have_a_bound(spark):
+    """A slot takes names of one to twelve words: not none, and not whole sentences of other words."""
+    line = "Neither the name of{} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    names = [" Example", " the University of California, Berkeley", " a b c d e f g h i j k l", "", " a b c d e f g h i j k l m"]
+    got = licenses.scan(spark.createDataFrame([(i, line.format(n)) for i, n in enumerate(names)], "doc_id long, text string")).collect()
+    assert [r.sentences for r in sorted(got, key=lambda r: r.doc_id)] == [["BsdEndorse"]] * 3 + [[]] * 2
+
+
+def test_sql_finds_the_same(spark):
+    """The SQL check agrees on sentences that stand each in a line of its own, those with names included."""
+    lines = [*SENTENCES, *(s.replace("*", "some one else") for s in SLOTTED), "some license of another kind"]
+    texts = ["\n".join(lines[k:] + lines[:k]) for k in range(0, len(lines), 9)] + [t.replace("INC.", "INC").replace("Inc.", "Inc").replace(". ", ".\n").replace("or\n", "or ") for t, _, _ in NOTICES[:3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (" ".join(r.sentences), " ".join(r.licenses), *r[3:]) for r in licenses.scan(docs).collect()}
+    base = duckdb.connect()
+    base.register("documents", docs.toPandas())
+    want = {r[0]: r[1:] for r in base.sql(f"SELECT doc_id, sentences, licenses, n_matches, n_unmatched, n_unknown FROM ({licenses.check_sql()})").fetchall()}
+    assert got == want
