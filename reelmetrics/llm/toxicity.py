@@ -205,10 +205,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int =
     Of the labelled ids, the `sample` with the least hash take part. Of the `candidates` words and stems in most toxic rows,
     the `features` that stand out most are the classifier's vocabulary, and the first `terms` of these that are mostly in
     toxic rows the lexicon. Labels that are null or neither 0 nor 1 are left out; an id with several takes part with each.
+    Where ids repeat in `docs`, the first `sample` rows by the same hash take part, so learning is bounded in rows too.
     """
     marked = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = kept(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"))  # at most `sample` ids
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` ids, of which some may repeat
+    rows = kept(found.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", F.xxhash64("text")).limit(sample).select("text", "toxic"))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean + toxic:

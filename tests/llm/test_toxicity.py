@@ -77,6 +77,18 @@ def test_odd_rows(spark, tables):
     assert classifier.voters[-1] == "human label" and len(classifier.labels.accuracy) == len(classifier.voters)
 
 
+def test_rows_learned_from_are_bounded(spark, tables, monkeypatch):
+    """A labelled document that occurs a thousand times adds no more rows than the sample has."""
+    docs, labels = tables
+    many = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(1_000)).select(docs.columns))
+    seen = []
+    fit = toxicity.fit_labels
+    monkeypatch.setattr(toxicity, "fit_labels", lambda votes, start: seen.append(len(votes)) or fit(votes, start))
+    classifier = toxicity.learn(many, labels, sample=120)
+    toxicity.learn(docs, labels, sample=120)
+    assert seen[0] == 120 and seen[1] <= 120 and classifier.offset is not None
+
+
 def test_no_or_one_kind_of_labels(spark, tables):
     docs, labels = tables
     none = toxicity.learn(docs, labels.where("false"))
