@@ -70,15 +70,20 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKS["op4_licenses"] = licenses.check_sql()
 
 
-#: Stands for a secret, which a user passes.
+#: Stands for a secret where the session names none.
 PSEUDONYM_KEY = "not a secret"
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of the pseudonyms: `spark.reelmetrics.pseudonymKey`, without which they can be undone by anyone."""
+    return spark.conf.get("spark.reelmetrics.pseudonymKey", PSEUDONYM_KEY)
+
+
 @query
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms for personal data, and where they are."""
     docs = table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", pseudonyms.pseudonyms_of(docs["text"], PSEUDONYM_KEY).alias("found"))
+    found = docs.select("doc_id", pseudonyms.pseudonyms_of(docs["text"], pseudonym_key(spark)).alias("found"))
     return found.select("doc_id", "found.text", F.size("found.spans").alias("n_replaced"), "found.spans")
 
 

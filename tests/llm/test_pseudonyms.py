@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from reelmetrics.llm import pseudonyms
+from reelmetrics.llm import pseudonyms, registry
 from reelmetrics.llm.pseudonyms import Permutation, replace
 
 DO, UNDO = Permutation(b"key"), Permutation(b"key", undo=True)
@@ -102,3 +102,40 @@ def test_documents(spark):
     assert got[2].text is None and got[3].text == "" and got[5].text == "no"
     assert got[4].text.startswith("w 1 w 1 ") and not got[4].text.endswith("10.20.30.40") and len(got[4].text) == len(rows[4][1])
     assert pseudonyms.pseudonymise(docs.where("false"), "key").count() == 0
+
+
+def test_whole_query_comes_back_and_links(spark, small):
+    """All documents: only spans differ, each span keeps its format, equal values have equal pseudonyms and other values others, and all comes back."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in registry.QUERIES["op5_pseudonyms"](spark, small).collect()}
+    assert got.keys() == texts.keys()
+    back = Permutation(registry.PSEUDONYM_KEY.encode(), undo=True)
+    links, spans = {}, 0
+    for key, text in texts.items():
+        r = got[key]
+        assert r.n_replaced == len(r.spans) and len(r.text or "") == len(text or "")
+        at, kept = 0, []
+        for s in r.spans:
+            old, new = text[s.start : s.start + s.length], r.text[s.start : s.start + s.length]
+            assert s.start >= at and r.text[at : s.start] == text[at : s.start]
+            shape = lambda v: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "0", v)))
+            assert shape(old) == shape(new)
+            links.setdefault((s.kind, old), set()).add(new)
+            kept.append((s.start, s.start + s.length))
+            at, spans = s.start + s.length, spans + 1
+        assert (r.text or "")[at:] == (text or "")[at:]
+        assert text is None or replace(r.text, back)[0] == text
+        for simple in (r"(?<!\S)[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}(?!\S)", r"(?<!\S)(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?!\S)", r"(?<!\S)(?:(?:[1-9]\d?|1\d\d)\.){3}(?:[1-9]\d?|1\d\d)(?!\S)"):
+            assert all(any(a <= m.start() and m.end() <= b for a, b in kept) for m in re.finditer(simple, text or ""))
+    assert spans > 20 and all(len(new) == 1 for new in links.values())
+    assert len({(kind, *new) for (kind, _), new in links.items()}) == len(links)
+
+
+def test_key_of_the_session(spark, small):
+    mine = lambda: [r.text for r in registry.QUERIES["op5_pseudonyms"](spark, small).orderBy("doc_id").collect()]
+    first = mine()
+    spark.conf.set("spark.reelmetrics.pseudonymKey", "another key")
+    try:
+        assert mine() != first
+    finally:
+        spark.conf.unset("spark.reelmetrics.pseudonymKey")
