@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelmetrics.llm import language, mixing, packing, pseudonyms, simhash
 from reelmetrics.llm.common import scratch
-from reelmetrics.llm.registry import PSEUDONYM_KEY, tokenizer_path
+from reelmetrics.llm.registry import pseudonym_key, tokenizer_path
 
 # No stage but the mix could be put into SQL; tests compare the whole with a brute-force version.
 ORACLE_SQL = None
@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data in the text."""
-    return pseudonyms.pseudonymise(docs, PSEUDONYM_KEY)
+    """All documents, with pseudonyms for personal data in the text, by the key that the session names."""
+    return pseudonyms.pseudonymise(docs, pseudonym_key(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str | None, float] | None = None) -> DataFrame:
