@@ -764,10 +764,10 @@ def episode_documents(d: Inputs) -> DataFrame:
     folder = scratch_folder(d.spark, "episodes")
     start = F.concat(F.lit("01:02:"), F.lpad((F.col("chapter_idx") % 60).cast("string"), 2, "0"))
     claimed = chapters.episode_chapters(d.v_chapters).withColumns({"uid": F.col("chapter_idx") + 1, "start_text": start, "end_text": F.lit("")})
-    writers.write_episode_documents(claimed, folder)
-    docs = d.spark.read.text(f"{folder}/*/*.xml", wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).cast("long").alias("disc_id"),
-        F.regexp_extract("_metadata.file_path", r"([^/]+)\.xml$", 1).cast("long").alias("episode"), F.col("value").alias("doc"),
+    manifest = writers.write_episode_documents(claimed, folder)
+    docs = readers.read_documents(manifest, folder).select(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).cast("long").alias("disc_id"),
+        F.regexp_extract("path", r"([^/]+)\.xml$", 1).cast("long").alias("episode"), "doc",
     )
     read = documents.parse_chapters(docs)
     return read.select("disc_id", "episode", (F.col("chapter_idx") + 1).alias("number"), "uid", "title", "language", "start_text")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +12,12 @@ from reelmetrics import schemas
 from reelmetrics.functions.text import file_stem, safe_id
 from reelmetrics.settings import DEFAULTS, Settings
 from reelmetrics.sources import documents
-from reelmetrics.sources.folders import list_files
+from reelmetrics.sources.folders import list_files, open_store
 
 # Streams take this many files per trigger, which bounds what one batch brings in.
 FILES_PER_TRIGGER = 64
+# A task that reads written documents takes about this many files or bytes, and hands texts on in batches of so many bytes.
+TASK_FILES, TASK_BYTES, BATCH_BYTES = 5_000, 64 << 20, 4 << 20
 
 
 def _video_key(column: str = "path"):
@@ -40,6 +45,41 @@ def _whole_files(spark: SparkSession, path: str, key: str) -> DataFrame:
     return rows.select(_video_key("_metadata.file_path").alias(key), F.col("value").alias("doc"))
 
 
+def _read_batches(folder: str):
+    """The whole text of each file, by its path below `folder`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_store(folder)
+        paths, texts, size = [], [], 0
+
+        def held() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["path", "doc"])
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{root}/{path}", compression=None) as file:
+                    data = file.read()
+                paths.append(path)
+                texts.append(data.decode(errors="replace"))
+                size += len(data)
+                if size >= BATCH_BYTES:
+                    yield held()
+                    paths, texts, size = [], [], 0
+        yield held()
+
+    return run
+
+
+def read_documents(manifest: DataFrame, folder: str) -> DataFrame:
+    """The documents that `write_documents` put below `folder`, whole, as path and doc.
+
+    Files come from the manifest, so that the driver lists none, and a task opens many. One that is not there raises an error.
+    """
+    found = manifest.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = 2 + max(found["files"] // TASK_FILES, found["bytes"] // TASK_BYTES)
+    return manifest.select("path").repartition(tasks, "path").mapInArrow(_read_batches(folder), "path string, doc string")
+
+
 def read_probes(spark: SparkSession, path: str) -> DataFrame:
     return documents.parse_probe(_whole_files(spark, path, "video_id"))
 

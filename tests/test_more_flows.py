@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reelmetrics.functions import probe
 from reelmetrics.operators import chapters, quality, search, usage
 from reelmetrics.plans.registry import QUERIES
+from reelmetrics.plans.views import view
 from reelmetrics.settings import DEFAULTS
 from reelmetrics.sources import documents, folders, readers, writers
 
@@ -149,3 +150,34 @@ def test_chapter_documents_round_trip(spark, tmp_path):
     got = rows(documents.parse_chapters(docs), "uid")
     assert [(r["uid"], r["start_text"], r["end_text"], r["title"]) for r in got] == sorted((d + k * 100, s, e, "Chapter & <1>") for d, k, _, s, e, *_ in data)
     assert chapters.chapter_document_lines(claimed).count() == 16 + 8
+
+
+def test_written_documents_are_read_by_many_files_to_a_task(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "docs")
+    lines = spark.createDataFrame([(f"{k % 3}/{k % 40}.txt", k, f"é {k}") for k in range(200)], "path string, line int, text string")
+    manifest = writers.write_documents(lines, folder)
+    want = {f"{k % 3}/{k % 40}.txt": "" for k in range(200)}
+    for k in range(200):
+        want[f"{k % 3}/{k % 40}.txt"] += f"é {k}\n"
+    for files, size, batch, tasks in ((5_000, 1 << 20, 1 << 20, 2), (25, 1 << 20, 1, 2 + len(want) // 25), (5_000, 100, 7, 2 + sum(len(t.encode()) for t in want.values()) // 100)):
+        monkeypatch.setattr(readers, "TASK_FILES", files)
+        monkeypatch.setattr(readers, "TASK_BYTES", size)
+        monkeypatch.setattr(readers, "BATCH_BYTES", batch)
+        read = readers.read_documents(manifest, folder)
+        assert {r["path"]: r["doc"] for r in rows(read)} == want and read.count() == len(want) and read.rdd.getNumPartitions() == tasks
+    (tmp_path / "docs/1/1.txt").unlink()
+    with pytest.raises(Exception, match="1/1.txt"):
+        read.collect()
+    assert readers.read_documents(writers.write_documents(lines.where("false"), str(tmp_path / "none")), str(tmp_path / "none")).count() == 0
+
+
+def test_episode_documents_list_no_file_on_the_driver(spark, tmp_path):
+    orders = spark.range(3_000).selectExpr("id as o_orderkey", "id * 7 as o_custkey", "cast(xxhash64(id) & 524287 as double) as o_totalprice")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    df = QUERIES["episode_documents"](spark, str(tmp_path))
+    assert not [f for f in df.inputFiles() if f.endswith(".xml")]
+    assert df.rdd.getNumPartitions() == 2  # one for each 32 documents where Spark lists them
+    claimed = chapters.episode_chapters(view(spark, str(tmp_path), "v_chapters"))
+    want = claimed.selectExpr("disc_id", "episode", "number", "chapter_idx + 1", "label", "label_language", "concat('01:02:', lpad(string(chapter_idx % 60), 2, '0'))")
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
+    assert want.select("disc_id", "episode").distinct().count() > 300
